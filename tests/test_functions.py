@@ -86,3 +86,28 @@ def test_unmatched_reads_only_keys_of_the_label_table(spark, folder):
     plan = assembly.unmatched(docs, labels, "doc_id")._jdf.queryExecution().toString()
     assert "ReadSchema: struct<doc_id:bigint>" in plan
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
+def test_hot_join_key_is_split(spark):
+    """A key that owns a third of the rows is handled by several tasks."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    kept = {key: spark.conf.get(key, None) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        key = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id"))
+        features = spark.range(0, 60000, 1, 12).select(key.alias("k"), F.rand(1).alias("v"), "id")
+        labels = spark.range(0, 60000, 1, 4).select(F.col("id").alias("k"), (F.col("id") % 2).alias("y"))
+        joined = assembly.join_labels(features, labels, "k")
+        assert len(joined.collect()) == 60000
+        assert "SortMergeJoin(skew=true)" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in kept.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -24,7 +24,7 @@ def _sorted_counts(values: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def _quantiles(counts: DataFrame, group: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    pieces = settle(slices(counts, group, "n"))
+    pieces = slices(counts, group, "n")
     wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
     point = F.col("share") * (F.col("_total") - 1)
     ranks = (

@@ -72,8 +72,11 @@ def top_columns(
 
 
 def as_positions(columns: DataFrame) -> Column:
-    """The `pos` values of a short table as one array, evaluated inside the plan that uses it."""
-    return columns.agg(F.array_sort(F.collect_list("pos"))).scalar()
+    """The `pos` values of a short table as one array, for use inside another plan.
+
+    The table is settled first: a plan that looks at its rows twice must not rank columns twice.
+    """
+    return settle(columns).agg(F.array_sort(F.collect_list("pos"))).scalar()
 
 
 def class_histogram(

@@ -66,7 +66,7 @@ CHUNK = 8192
 BLOCK_BYTES = 4 * 1024 * 1024
 BLOCK_ROWS = 8192
 BUFFER_BYTES = 256 * 1024 * 1024
-DIRECT_BYTES = 64 * 1024 * 1024
+DIRECT_BYTES = 256 * 1024 * 1024
 VALIDATION = -1
 HISTORY_SCHEMA = (
     "epoch int, steps int, rows bigint, learning_rate double, loss double, accuracy double, "
@@ -199,10 +199,10 @@ def dense_rows(values: pa.Array, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(values), width)
 
 
-def _pack(width: int, classes: int, batches_per_pass: int, item: int) -> Callable:
+def _pack(width: int, classes: int, batches_per_pass: int, item: str) -> Callable:
     """Task that packs rows into blocks, one open block per mini-batch."""
     room = min(BLOCK_BYTES, BUFFER_BYTES // (batches_per_pass + 1))
-    limit = max(1, min(BLOCK_ROWS, room // (width * item)))
+    limit = max(1, min(BLOCK_ROWS, room // (width * np.dtype(item).itemsize)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -227,7 +227,7 @@ def _pack(width: int, classes: int, batches_per_pass: int, item: int) -> Callabl
             labels = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32)
             if labels.min() < 0 or labels.max() >= classes:
                 raise ValueError(f"labels must be whole numbers from 0 to {classes - 1}")
-            rows = dense_rows(batch.column(3), width)
+            rows = dense_rows(batch.column(3), width).astype(item, copy=False)
             order = np.argsort(slots, kind="stable")
             for piece in np.split(order, np.flatnonzero(np.diff(slots[order])) + 1):
                 slot = int(slots[piece[0]])
@@ -243,14 +243,13 @@ def _pack(width: int, classes: int, batches_per_pass: int, item: int) -> Callabl
 
 
 def _summing_task(
-    shared: Any, nets: list[_Net], width: int, item: str, work: str, learn: bool
+    shared: Any, nets: list[_Net], width: int, item: str, work: str, learn: bool, whole: bool
 ) -> Callable:
-    """Task that sums over its blocks, per network, and emits the sums in chunks."""
+    """Task that sums over its blocks, per network, and emits each sum whole or in chunks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         totals = [np.zeros((len(flat) if learn else 0) + 3) for flat in weights]
-        views = [flat.astype(work, copy=False) for flat in weights]
         seen = False
         for batch in batches:
             for keys, labels, rows in zip(*(batch.column(i) for i in range(3))):
@@ -258,7 +257,7 @@ def _summing_task(
                 y = np.frombuffer(labels.as_buffer(), np.int32)
                 key = np.frombuffer(keys.as_buffer(), np.int64)
                 seen = True
-                for total, net, flat in zip(totals, nets, views):
+                for total, net, flat in zip(totals, nets, weights):
                     if learn:
                         add_gradient(total, net, flat, x, y, key)
                     else:
@@ -266,13 +265,19 @@ def _summing_task(
         if not seen:
             return
         for number, total in enumerate(totals):
-            starts = np.arange(0, len(total), CHUNK)
-            offsets = np.append(starts, len(total)).astype(np.int32)
+            starts = np.arange(0, len(total), len(total) if whole else CHUNK)
+            if whole:
+                # The three counters at the end stay double, whatever the arithmetic.
+                packed = total[:-3].astype(work, copy=False).tobytes() + total[-3:].tobytes()
+                parts = pa.array([packed], pa.binary())
+            else:
+                offsets = np.append(starts, len(total)).astype(np.int32)
+                parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(total))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(starts), number, np.int32)),
                     pa.array(np.arange(len(starts), dtype=np.int32)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(total)),
+                    parts,
                 ],
                 names=["net", "chunk", "part"],
             )
@@ -302,27 +307,28 @@ class _Blocks:
 
     def sum(self, slot: int, nets: list[_Net], weights: list[np.ndarray], learn: bool) -> list[np.ndarray]:
         sizes = [(len(flat) if learn else 0) + 3 for flat in weights]
-        shared = self.frame.sparkSession.sparkContext.broadcast(weights)
+        whole = self.partitions * sum(sizes) * 8 <= DIRECT_BYTES
+        sent = [flat.astype(self.work, copy=False) for flat in weights]
+        shared = self.frame.sparkSession.sparkContext.broadcast(sent)
         try:
-            task = _summing_task(shared, nets, self.width, self.item, self.work, learn)
-            parts = self._rows(slot).mapInArrow(task, "net int, chunk int, part array<double>")
-            if self.partitions * sum(sizes) * 8 > DIRECT_BYTES:
-                parts = (
-                    parts.groupBy("net", "chunk")
-                    .agg(Summarizer.sum(array_to_vector("part")).alias("part"))
-                    .select("net", "chunk", vector_to_array("part").alias("part"))
-                )
-                table = parts.toArrow().sort_by([("net", "ascending"), ("chunk", "ascending")])
-            else:
-                table = parts.toArrow()
+            task = _summing_task(shared, nets, self.width, self.item, self.work, learn, whole)
+            kind = "binary" if whole else "array<double>"
+            parts = self._rows(slot).mapInArrow(task, f"net int, chunk int, part {kind}")
+            if not whole:
+                added = Summarizer.sum(array_to_vector("part"))
+                parts = parts.groupBy("net", "chunk").agg(vector_to_array(added).alias("part"))
+            table = parts.toArrow()
         finally:
             shared.destroy()
-        net = table.column("net").to_numpy()
-        chunks = table.column("part").combine_chunks()
-        sums = []
-        for number, size in enumerate(sizes):
-            flat = chunks.filter(pa.array(net == number)).flatten().to_numpy(zero_copy_only=False)
-            sums.append(flat.reshape(-1, size).sum(axis=0))
+        sums = [np.zeros(size) for size in sizes]
+        for net, chunk, part in zip(*(table.column(name) for name in ("net", "chunk", "part"))):
+            if whole:
+                total, packed = sums[net.as_py()], part.as_buffer()
+                total[:-3] += np.frombuffer(packed[:-24], self.work)
+                total[-3:] += np.frombuffer(packed[-24:], np.float64)
+            else:
+                low = chunk.as_py() * CHUNK
+                sums[net.as_py()][low : low + CHUNK] += part.values.to_numpy()
         return sums
 
 
@@ -582,11 +588,11 @@ def _blocks(dataset: DataFrame, settings: ReluPerceptronClassifier) -> _Blocks:
     rows = _slotted(dataset, settings, batches)
     kind = rows.schema["features"].dataType
     single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    work = "float32" if settings.getOrDefault(settings.precision) == "single" else "float64"
+    item = "float32" if single or work == "float32" else "float64"
     if not single:
         rows = rows.withColumn("features", F.col("features").cast("array<double>"))
-    item = "float32" if single else "float64"
-    work = "float32" if settings.getOrDefault(settings.precision) == "single" else "float64"
-    pack = _pack(layers[0], layers[-1], batches, np.dtype(item).itemsize)
+    pack = _pack(layers[0], layers[-1], batches, item)
     packed = "slot int, keys binary, labels binary, rows binary"
     frame = rows.mapInArrow(pack, packed).persist(StorageLevel.MEMORY_AND_DISK)
     present = frame.rdd.getNumPartitions()
