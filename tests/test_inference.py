@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_sources import image_root  # noqa: F401
@@ -8,26 +9,38 @@ from vectorloom.sources import scan_images
 
 
 def test_bilinear_by_hand():
-    image = np.array([[0.0, 4.0], [8.0, 12.0]])[:, :, None]
-    got = inference.bilinear(image, 4, 4)[:, :, 0]
+    image = np.array([[0.0, 4.0], [8.0, 12.0]])[None, :, :, None]
+    got = inference.bilinear(image, 4, 4)[0, :, :, 0]
     wanted = [[0, 1, 3, 4], [2, 3, 5, 6], [6, 7, 9, 10], [8, 9, 11, 12]]
     np.testing.assert_allclose(got, wanted)
 
 
 def test_bilinear_identity_and_constant():
-    image = np.random.default_rng(0).integers(0, 255, (5, 7, 3)).astype(np.uint8)
-    np.testing.assert_allclose(inference.bilinear(image, 5, 7), image)
-    np.testing.assert_allclose(inference.bilinear(np.full((9, 4, 3), 8), 3, 6), 8)
+    images = np.random.default_rng(0).integers(0, 255, (2, 5, 7, 3)).astype(np.uint8)
+    np.testing.assert_allclose(inference.bilinear(images, 5, 7), images)
+    np.testing.assert_allclose(inference.bilinear(np.full((1, 9, 4, 3), 8), 3, 6), 8)
 
 
 @pytest.mark.parametrize("channels", [1, 3, 4])
 def test_channels_become_rgb(channels):
     stored = np.arange(2 * 2 * channels, dtype=np.uint8)
-    got = inference.rgb(2, 2, channels, stored.tobytes())
-    assert got.shape == (2, 2, 3)
-    wanted = [0, 0, 0] if channels == 1 else [2, 1, 0]
-    assert got[0, 0].tolist() == wanted
-    assert inference.rgb(-1, -1, -1, b"") is None
+    got = inference.rgb(2, 2, channels, [stored.tobytes()])
+    assert got.shape == (1, 2, 2, 3)
+    assert got[0, 0, 0].tolist() == ([0, 0, 0] if channels == 1 else [2, 1, 0])
+
+
+def test_frames_with_images_of_several_sizes():
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 255, shape).astype(np.uint8) for shape in ((2, 3, 3), (4, 4, 1), (2, 3, 3))]
+    rows = [(*i.shape, i.tobytes()) for i in images]
+    rows.insert(1, (-1, -1, -1, b""))
+    frame = pd.DataFrame(rows, columns=["height", "width", "nChannels", "data"])
+    pixels, places = inference.resized(frame, 3, 3)
+    assert places.tolist() == [0, 2, 3]
+    for found, image in zip(pixels, images):
+        alone = inference.rgb(*image.shape, [image.tobytes()])
+        np.testing.assert_array_equal(found, inference.bilinear(alone, 3, 3)[0])
+    assert inference.resized(frame.iloc[1:2], 3, 3)[0].shape == (0, 3, 3, 3)
 
 
 def short(path):

@@ -19,43 +19,67 @@ from pyspark.sql.types import ArrayType, DataType, FloatType, StructField, Struc
 Factory = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
-def bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear resize with half-pixel centres and clamped borders, without anti-aliasing."""
+def bilinear(images: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear resize of equally large images (count, rows, columns, channels).
+
+    Half-pixel centres and clamped borders, without anti-aliasing.
+    """
 
     def axis(size: int, target: int):
         at = np.clip((np.arange(target) + 0.5) * (size / target) - 0.5, 0, size - 1)
         low = np.floor(at).astype(np.int64)
         return low, np.minimum(low + 1, size - 1), (at - low).astype(np.float32)
 
-    top, bottom, down = axis(image.shape[0], height)
-    left, right, along = axis(image.shape[1], width)
-    pixels = image.astype(np.float32)
-    rows = pixels[top] * (1 - down)[:, None, None] + pixels[bottom] * down[:, None, None]
-    return rows[:, left] * (1 - along)[None, :, None] + rows[:, right] * along[None, :, None]
+    top, bottom, down = axis(images.shape[1], height)
+    left, right, along = axis(images.shape[2], width)
+    down, along = down[:, None, None], along[:, None]
+    pixels = images.astype(np.float32)
+    rows = pixels[:, top] * (1 - down) + pixels[:, bottom] * down
+    return rows[:, :, left] * (1 - along) + rows[:, :, right] * along
+
+
+def rgb(height: int, width: int, channels: int, data: Sequence[bytes]) -> np.ndarray:
+    """Pixels of equally large images, stored as grey, BGR or BGRA bytes, as RGB."""
+    pixels = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), height, width, channels)
+    return np.repeat(pixels, 3, axis=3) if channels == 1 else pixels[..., 2::-1]
+
+
+def resized(frame: pd.DataFrame, height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Resized pixels of the valid images of a frame, and the places of these images in it."""
+    shapes = list(zip(frame["height"], frame["width"], frame["nChannels"]))
+    groups: dict[tuple, list[int]] = {}
+    for place, shape in enumerate(shapes):
+        if min(shape) > 0:
+            groups.setdefault(shape, []).append(place)
+    data = frame["data"].to_numpy()
+    places = np.array([p for group in groups.values() for p in group], dtype=np.int64)
+    parts = [bilinear(rgb(*shape, data[group]), height, width) for shape, group in groups.items()]
+    pixels = np.concatenate(parts) if parts else np.zeros((0, height, width, 3), np.float32)
+    order = np.argsort(places)
+    return pixels[order], places[order]
 
 
-def rgb(height: int, width: int, channels: int, data: bytes) -> np.ndarray | None:
-    """Pixels of Spark's image struct (grey, BGR or BGRA bytes) as RGB; none for an invalid image."""
-    if height <= 0 or width <= 0 or not data:
-        return None
-    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
-    return np.repeat(pixels, 3, axis=2) if channels == 1 else pixels[:, :, 2::-1]
+def batches_of(frame: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    for start in range(0, len(frame), size):
+        yield frame.iloc[start : start + size]
 
 
-def resize_images(image: str | Column, height: int, width: int) -> Column:
+def resize_images(image: str | Column, height: int, width: int, batch_size: int = 64) -> Column:
     """Image struct to a flat `array<float>` of height x width x 3; null for an invalid image."""
 
     @F.pandas_udf(ArrayType(FloatType()))
-    def resized(images: pd.DataFrame) -> pd.Series:
-        out = []
-        for h, w, c, data in zip(images["height"], images["width"], images["nChannels"], images["data"]):
-            pixels = rgb(h, w, c, data)
-            out.append(None if pixels is None else bilinear(pixels, height, width).ravel())
-        return pd.Series(out, dtype=object)
+    def resize(images: pd.DataFrame) -> pd.Series:
+        out = np.full(len(images), None, dtype=object)
+        start = 0
+        for part in batches_of(images, batch_size):
+            for pixels, place in zip(*resized(part, height, width)):
+                out[start + place] = pixels.ravel()
+            start += len(part)
+        return pd.Series(out)
 
     struct = F.col(image) if isinstance(image, str) else image
     parts = [struct[name].alias(name) for name in ("height", "width", "nChannels", "data")]
-    return resized(F.struct(*parts))
+    return resize(F.struct(*parts))
 
 
 def featurise(
@@ -95,16 +119,13 @@ def featurise_images(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                part = frame.iloc[start : start + batch_size]
-                decoded = [rgb(*x) for x in zip(part["height"], part["width"], part["nChannels"], part["data"])]
-                good = [i for i, pixels in enumerate(decoded) if pixels is not None]
-                out: list = [None] * len(part)
-                if good:
-                    batch = np.stack([bilinear(decoded[i], height, width) for i in good])
-                    for i, row in zip(good, np.asarray(model(batch), np.float32)):
-                        out[i] = row.ravel()
-                yield part[list(keep)].assign(**{alias: pd.Series(out, index=part.index, dtype=object)})
+            for part in batches_of(frame, batch_size):
+                pixels, places = resized(part, height, width)
+                out = np.full(len(part), None, dtype=object)
+                if len(places):
+                    for place, row in zip(places, np.asarray(model(pixels), np.float32)):
+                        out[place] = row.ravel()
+                yield part[list(keep)].assign(**{alias: pd.Series(out, index=part.index)})
 
     schema = StructType(
         [images.schema[name] for name in keep] + [StructField(alias, ArrayType(FloatType()))]

@@ -245,30 +245,34 @@ def _pack(width: int, classes: int, batches_per_pass: int, item: str) -> Callabl
 def _summing_task(
     shared: Any, nets: list[_Net], width: int, item: str, work: str, learn: bool, whole: bool
 ) -> Callable:
-    """Task that sums over its blocks, per network, and emits each sum whole or in chunks."""
+    """Task that sums over its blocks, per network, and emits each sum whole or in chunks.
+
+    A sum is the gradient (when learning), then loss, hits and rows of training rows, then the same
+    three of held-out rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        totals = [np.zeros((len(flat) if learn else 0) + 3) for flat in weights]
+        totals = [np.zeros((len(flat) if learn else 0) + 6) for flat in weights]
         seen = False
         for batch in batches:
-            for keys, labels, rows in zip(*(batch.column(i) for i in range(3))):
+            for slot, keys, labels, rows in zip(*(batch.column(i) for i in range(4))):
                 x = np.frombuffer(rows.as_buffer(), item).reshape(-1, width).astype(work, copy=False)
                 y = np.frombuffer(labels.as_buffer(), np.int32)
-                key = np.frombuffer(keys.as_buffer(), np.int64)
                 seen = True
                 for total, net, flat in zip(totals, nets, weights):
-                    if learn:
-                        add_gradient(total, net, flat, x, y, key)
+                    if slot.as_py() == VALIDATION:
+                        add_scores(total[-3:], net, flat, x, y)
                     else:
-                        add_scores(total, net, flat, x, y)
+                        key = np.frombuffer(keys.as_buffer(), np.int64)
+                        add_gradient(total[:-3], net, flat, x, y, key)
         if not seen:
             return
         for number, total in enumerate(totals):
             starts = np.arange(0, len(total), len(total) if whole else CHUNK)
             if whole:
-                # The three counters at the end stay double, whatever the arithmetic.
-                packed = total[:-3].astype(work, copy=False).tobytes() + total[-3:].tobytes()
+                # The six numbers at the end stay double, whatever the arithmetic.
+                packed = total[:-6].astype(work, copy=False).tobytes() + total[-6:].tobytes()
                 parts = pa.array([packed], pa.binary())
             else:
                 offsets = np.append(starts, len(total)).astype(np.int32)
@@ -297,23 +301,28 @@ class _Blocks:
     work: str
     batches: int
     validated: bool
-    _by_slot: dict[int, DataFrame] = field(default_factory=dict)
-
-    def _rows(self, slot: int) -> DataFrame:
-        if slot not in self._by_slot:
-            chosen = self.frame.where(F.col("slot") == slot)
-            self._by_slot[slot] = chosen.select("keys", "labels", "rows")
-        return self._by_slot[slot]
-
-    def sum(self, slot: int, nets: list[_Net], weights: list[np.ndarray], learn: bool) -> list[np.ndarray]:
-        sizes = [(len(flat) if learn else 0) + 3 for flat in weights]
+    _chosen: dict[tuple, DataFrame] = field(default_factory=dict)
+
+    def _rows(self, slots: tuple[int, ...]) -> DataFrame:
+        if slots not in self._chosen:
+            rows = self.frame.where(F.col("slot").isin(*slots))
+            self._chosen[slots] = rows.select("slot", "keys", "labels", "rows")
+        return self._chosen[slots]
+
+    def sum(
+        self, nets: list[_Net], weights: list[np.ndarray], batch: int | None, held_out: bool
+    ) -> list[np.ndarray]:
+        """Sums over a mini-batch, over the held-out rows, or over both in one job."""
+        learn = batch is not None
+        slots = ((batch,) if learn else ()) + ((VALIDATION,) if held_out else ())
+        sizes = [(len(flat) if learn else 0) + 6 for flat in weights]
         whole = self.partitions * sum(sizes) * 8 <= DIRECT_BYTES
         sent = [flat.astype(self.work, copy=False) for flat in weights]
         shared = self.frame.sparkSession.sparkContext.broadcast(sent)
         try:
             task = _summing_task(shared, nets, self.width, self.item, self.work, learn, whole)
             kind = "binary" if whole else "array<double>"
-            parts = self._rows(slot).mapInArrow(task, f"net int, chunk int, part {kind}")
+            parts = self._rows(slots).mapInArrow(task, f"net int, chunk int, part {kind}")
             if not whole:
                 added = Summarizer.sum(array_to_vector("part"))
                 parts = parts.groupBy("net", "chunk").agg(vector_to_array(added).alias("part"))
@@ -324,8 +333,8 @@ class _Blocks:
         for net, chunk, part in zip(*(table.column(name) for name in ("net", "chunk", "part"))):
             if whole:
                 total, packed = sums[net.as_py()], part.as_buffer()
-                total[:-3] += np.frombuffer(packed[:-24], self.work)
-                total[-3:] += np.frombuffer(packed[-24:], np.float64)
+                total[:-6] += np.frombuffer(packed[:-48], self.work)
+                total[-6:] += np.frombuffer(packed[-48:], np.float64)
             else:
                 low = chunk.as_py() * CHUNK
                 sums[net.as_py()][low : low + CHUNK] += part.values.to_numpy()
@@ -434,6 +443,27 @@ class _PerceptronParams(
         return F.col(name)
 
 
+@dataclass
+class _Epoch:
+    """Sums over the steps of an epoch."""
+
+    number: int
+    rate: float
+    steps: int = 0
+    loss: float = 0.0
+    hits: float = 0.0
+    rows: float = 0.0
+
+    def add(self, sums: np.ndarray) -> None:
+        self.steps += 1
+        self.loss, self.hits, self.rows = self.loss + sums[0], self.hits + sums[1], self.rows + sums[2]
+
+    def record(self) -> tuple:
+        seen = max(self.rows, 1.0)
+        return (self.number, self.steps, int(self.rows), self.rate,
+                float(self.loss / seen), float(self.hits / seen))
+
+
 @dataclass
 class _Run:
     """State of one network while it is trained."""
@@ -446,6 +476,7 @@ class _Run:
     plateau: Plateau | None
     best: BestWeights | None
     history: list[tuple] = field(default_factory=list)
+    open: _Epoch | None = None
     done: bool = False
 
 
@@ -648,6 +679,19 @@ def _penalty(run: _Run) -> np.ndarray:
     return pull
 
 
+class _BatchOrder:
+    """Mini-batch numbers, every pass over the data in a new order."""
+
+    def __init__(self, batches: int, seed: int):
+        self.batches, self.seed, self.passes, self.queue = batches, seed, 0, []
+
+    def next(self) -> int:
+        if not self.queue:
+            rng = np.random.default_rng([self.seed, self.passes])
+            self.queue, self.passes = rng.permutation(self.batches).tolist(), self.passes + 1
+        return self.queue.pop(0)
+
+
 def _train(
     dataset: DataFrame, estimators: list[ReluPerceptronClassifier]
 ) -> list[ReluPerceptronModel]:
@@ -656,58 +700,68 @@ def _train(
     try:
         runs = [_start(e, blocks.validated) for e in estimators]
         steps = lead.getOrDefault(lead.stepsPerEpoch) or blocks.batches
-        queue: list[int] = []
-        passes = taken = 0
+        order, taken = _BatchOrder(blocks.batches, lead.getSeed()), 0
+        waiting: list[_Run] = []
         for epoch in range(max(e.getMaxIter() for e in estimators)):
             active = [r for r in runs if not r.done and epoch < r.estimator.getMaxIter()]
-            if not active:
-                break
-            rates = [r.optimiser.rate for r in active]
-            tally = [np.zeros(3) for _ in active]
-            for _ in range(steps):
-                if not queue:
-                    order = np.random.default_rng([lead.getSeed(), passes]).permutation(blocks.batches)
-                    queue, passes = order.tolist(), passes + 1
+            for step in range(steps):
                 for run in active:
                     run.net.salt = run.estimator.getSeed() * 1_000_003 + taken
+                taken += 1
+                # Scores of held-out rows after an epoch come with the first step of the next one:
+                # both need the same weights.
                 sums = blocks.sum(
-                    queue.pop(0), [r.net for r in active], [r.weights for r in active], learn=True
+                    [r.net for r in active], [r.weights for r in active], order.next(), bool(waiting)
                 )
-                taken += 1
-                for run, total, counted in zip(active, sums, tally):
-                    counted += total[-3:]
-                    if total[-1] == 0:
-                        continue
-                    gradient = total[:-3] / total[-1]
-                    if run.estimator.getRegParam() > 0:
-                        gradient += _penalty(run)
-                    run.weights = run.optimiser.update(run.weights, gradient)
-            if tally[0][2] == 0 and epoch == 0 and steps >= blocks.batches:
+                if waiting:
+                    for run, total in zip(active, sums):
+                        _close_epoch(run, total[-3:])
+                    sums = [total for run, total in zip(active, sums) if not run.done]
+                    active, waiting = [r for r in active if not r.done], []
+                for run, total in zip(active, sums):
+                    _step(run, total[:-3], epoch, first=step == 0)
+                if not active:
+                    break
+            if not active:
+                break
+            if epoch == 0 and steps >= blocks.batches and not active[0].open.rows:
                 raise ValueError("there are no training rows")
-            held = [np.full(3, np.nan)] * len(active)
+            last = any(epoch + 1 == r.estimator.getMaxIter() for r in active)
+            if blocks.validated and not last:
+                waiting = active
+                continue
+            held = [np.zeros(3)] * len(active)
             if blocks.validated:
-                held = blocks.sum(VALIDATION, [r.net for r in active], [r.weights for r in active], learn=False)
-            for run, rate, train, valid in zip(active, rates, tally, held):
-                _close_epoch(run, epoch, steps, rate, train, valid)
+                held = blocks.sum([r.net for r in active], [r.weights for r in active], None, True)
+            for run, total in zip(active, held):
+                _close_epoch(run, total[-3:])
     finally:
         blocks.cached.unpersist()
     return [_finish(run) for run in runs]
 
 
-def _close_epoch(
-    run: _Run, epoch: int, steps: int, rate: float, train: np.ndarray, valid: np.ndarray
-) -> None:
-    seen = max(train[2], 1.0)
+def _step(run: _Run, total: np.ndarray, epoch: int, first: bool) -> None:
+    """One update from a summed gradient, loss, hits and rows."""
+    if first:
+        run.open = _Epoch(epoch, run.optimiser.rate)
+    run.open.add(total[-3:])
+    if total[-1] == 0:
+        return
+    gradient = total[:-3] / total[-1]
+    if run.estimator.getRegParam() > 0:
+        gradient += _penalty(run)
+    run.weights = run.optimiser.update(run.weights, gradient)
+
+
+def _close_epoch(run: _Run, valid: np.ndarray) -> None:
+    """Record an epoch and decide from its held-out scores how to go on."""
     checked = valid[2] > 0
     val_loss = float(valid[0] / valid[2]) if checked else None
     val_accuracy = float(valid[1] / valid[2]) if checked else None
-    run.history.append(
-        (epoch, steps, int(train[2]), rate, float(train[0] / seen), float(train[1] / seen),
-         val_loss, val_accuracy)
-    )
+    run.history.append((*run.open.record(), val_loss, val_accuracy))
     if not checked:
         return
-    if run.best is not None and run.best.seen(epoch, val_loss, run.weights):
+    if run.best is not None and run.best.seen(run.open.number, val_loss, run.weights):
         path = run.estimator._optional(run.estimator.checkpointPath)
         if path:
             _model_of(run, run.weights).write().overwrite().save(path)

@@ -12,18 +12,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectorloom.session import checkpoint_root
+from vectorloom.session import checkpoint_root, scratch_path
 
 MAX_BROADCAST_ROWS = 500_000
 SALTS = 64
 
 
 def settle(rows: DataFrame) -> DataFrame:
-    """Compute `rows` once into the shared checkpoint folder and cut the lineage there."""
+    """Compute a small `rows` once into the shared checkpoint folder and cut the lineage there."""
     checkpoint_root(rows.sparkSession)
     return rows.checkpoint()
 
 
+def settle_as_table(rows: DataFrame, stem: str) -> DataFrame:
+    """The same for a large `rows`, as a Parquet table: later steps read only the columns they need."""
+    path = scratch_path(rows.sparkSession, stem)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def attach(
     rows: DataFrame, summary: DataFrame, on: Sequence[str], max_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
@@ -43,11 +50,11 @@ def attach(
 
 
 def sort_across(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Settle `rows` in global order, with the partition and the place within it.
+    """A table of `rows` in global order, with the partition and the place within it.
 
     Range partitioning cuts large groups at values of `order`, so equal work lands in every task
-    as long as (group, order) has no massive ties. The result is settled because range bounds are
-    sampled: a second evaluation could cut elsewhere.
+    as long as (group, order) has no massive ties. The result is written out because range bounds
+    are sampled: a second evaluation could cut elsewhere.
     """
     spark = rows.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -58,7 +65,7 @@ def sort_across(rows: DataFrame, group: Sequence[str], order: Sequence[str]) ->
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id())
     )
-    return settle(placed)
+    return settle_as_table(placed, "sorted")
 
 
 def slices(
