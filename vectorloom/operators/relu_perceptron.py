@@ -379,7 +379,7 @@ class _PerceptronParams(
         Params._dummy(), "stepsPerEpoch", "steps per epoch, 0 for all rows", TypeConverters.toInt
     )
     numPartitions: Param = Param(
-        Params._dummy(), "numPartitions", "parallel slots, 0 for all cores", TypeConverters.toInt
+        Params._dummy(), "numPartitions", "parallel slots, 0 to derive them", TypeConverters.toInt
     )
     idCol: Param = Param(
         Params._dummy(), "idCol", "unique row id behind mini-batches and dropout", TypeConverters.toString
@@ -613,6 +613,19 @@ def _slotted(dataset: DataFrame, settings: ReluPerceptronClassifier, batches: in
     return marked.select(slot.cast("int").alias("slot"), "key", "label", "features")
 
 
+def _slot_range(settings: ReluPerceptronClassifier, spark: SparkSession) -> tuple[int, int]:
+    """Fewest and most partitions to train on.
+
+    The number of cores may still grow when executors come and go, so the upper bound also looks at
+    the parallelism set for shuffles.
+    """
+    wanted = settings.getOrDefault(settings.numPartitions)
+    if wanted:
+        return wanted, wanted
+    cores = spark.sparkContext.defaultParallelism
+    return cores, max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _blocks(dataset: DataFrame, settings: ReluPerceptronClassifier) -> _Blocks:
     layers = settings._checked_layers()
     batches = max(1, round(1.0 / settings.getOrDefault(settings.miniBatchFraction)))
@@ -627,17 +640,17 @@ def _blocks(dataset: DataFrame, settings: ReluPerceptronClassifier) -> _Blocks:
     packed = "slot int, keys binary, labels binary, rows binary"
     frame = rows.mapInArrow(pack, packed).persist(StorageLevel.MEMORY_AND_DISK)
     present = frame.rdd.getNumPartitions()
-    wanted = settings.getOrDefault(settings.numPartitions)
-    wanted = wanted or dataset.sparkSession.sparkContext.defaultParallelism
-    if present < wanted:
+    fewest, most = _slot_range(settings, dataset.sparkSession)
+    if present < fewest:
         # Few input splits: only then is it worth moving rows, so that every slot has some.
         frame.unpersist()
-        frame = rows.repartition(wanted).mapInArrow(pack, packed).persist(StorageLevel.MEMORY_AND_DISK)
-    # Many input splits are packed as they are and read back by `wanted` tasks per step, which keeps
-    # the number of partial sums at the number of slots without a shuffle.
-    read = frame.coalesce(wanted) if present > wanted else frame
+        frame = rows.repartition(fewest).mapInArrow(pack, packed).persist(StorageLevel.MEMORY_AND_DISK)
+    # Many input splits are packed as they are and read back by fewer tasks per step, which bounds
+    # the number of partial sums without a shuffle.
+    read = frame.coalesce(most) if present > most else frame
+    slots = min(max(present, fewest), most)
     validated = settings._optional(settings.validationIndicatorCol) is not None
-    return _Blocks(frame, read, wanted, layers[0], item, work, batches, validated)
+    return _Blocks(frame, read, slots, layers[0], item, work, batches, validated)
 
 
 def _start(estimator: ReluPerceptronClassifier, validated: bool) -> _Run:
