@@ -133,6 +133,15 @@ def test_positions_equal_row_number(spark):
     assert pair(got.select("id", "g", "position", "total")) == pair(wanted)
 
 
+def test_rows_without_a_group_are_kept(spark):
+    rows = spark.createDataFrame([(1, None), (2, None), (3, 5)], "id long, g int")
+    got = sorted(tuple(r) for r in sizing.positions(rows, ["g"], ["id"]).select("id", "position", "total").collect())
+    assert got == [(1, 0, 2), (2, 1, 2), (3, 0, 1)]
+    values = spark.createDataFrame([([1.0], None), ([2.0], None), ([3.0], 1)], "v array<double>, label int")
+    bins = profile.class_histogram(values, "v", F.array(F.lit(0)))
+    assert {r.label: r.n for r in bins.groupBy("label").agg(F.sum("n").alias("n")).collect()} == {None: 2, 1: 1}
+
+
 def test_sorting_cuts_the_hot_group(spark):
     placed = sizing.sort_across(skewed(spark), ["g"], ["id"])
     held = [r["count"] for r in placed.groupBy("_part").count().collect()]

@@ -109,17 +109,19 @@ def class_histogram(
         attach(values, limits, groups)
         .withColumn("bin", F.least(place, F.lit(bins - 1)).cast("int"))
         .groupBy("pos", label, "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     )
     # From here on everything has one row per column, class and bin.
-    seen = counted.select("pos", label).distinct()
-    grid = seen.join(limits, groups).withColumn(
-        "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
+    per_bin = counted.groupBy("pos", label).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"),
+        F.first("lo").alias("lo"),
+        F.first("hi").alias("hi"),
     )
-    return grid.join(counted, ["pos", label, "bin"], "left").select(
+    listed = per_bin.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return listed.select(
         "pos",
         label,
         "bin",
         (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("edge"),
-        F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
+        F.coalesce(F.try_element_at("held", F.col("bin")), F.lit(0).cast("bigint")).alias("n"),
     )

@@ -8,6 +8,8 @@ few keys, a window over one key). The forms here do not.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,15 +40,17 @@ def attach(
 
     The summary is counted first. Up to `max_rows` it is broadcast, and `rows` do not move. Beyond
     that the join is shuffled, with every key spread over `SALTS` tasks, because a key may own a
-    large share of `rows`.
+    large share of `rows`. Null keys match each other, as they do in grouping.
     """
-    if summary.limit(max_rows + 1).count() <= max_rows:
-        return rows.join(F.broadcast(summary), list(on))
-    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    copies = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies.withColumn("_salt", F.col("_salt").cast("bigint")), [*on, "_salt"]).drop(
-        "_salt"
-    )
+    keys, broadcast = list(on), summary.limit(max_rows + 1).count() <= max_rows
+    if not broadcast:
+        keys.append("_salt")
+        rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        summary = summary.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    other = summary.withColumnsRenamed({key: f"_other_{key}" for key in keys})
+    match = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_other_{key}")) for key in keys])
+    joined = rows.join(F.broadcast(other) if broadcast else other, match)
+    return joined.drop("_salt", *[f"_other_{key}" for key in keys])
 
 
 def sort_across(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:

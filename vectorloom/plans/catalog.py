@@ -404,6 +404,19 @@ def image_resize(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def image_label_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Resized pixels and one-hot label of every image, the class name standing for its folder."""
+    labels = table(spark, folder, "embeddings").select("vec_id", "label")
+    images = image_rows(spark, folder).join(labels, "vec_id")
+    folders = F.concat(F.lit("images/class-"), F.col("label"), F.lit("/"), F.col("vec_id"), F.lit(".png"))
+    named = images.withColumn("path", folders).withColumn("class_name", X.parent_dir(F.col("path")))
+    classes = assembly.class_names(named, "class_name")
+    rows = inference.image_label_rows(named, classes, 4, 4)
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return rows.select("path", rounded(total, "total"), flat_text(F.col("label")).alias("onehot"))
+
+
 @query
 def image_featurise(spark: SparkSession, folder: str) -> DataFrame:
     found = inference.featurise_images(
@@ -481,6 +494,28 @@ def lr_penalised_predict(spark: SparkSession, folder: str) -> DataFrame:
     return _test_predictions(spark, folder, classify.penalised_logistic_regression(n))
 
 
+@query
+def lr_stationarity(spark: SparkSession, folder: str) -> DataFrame:
+    """Slope of the penalised loss at the fit, per class and column: zero at the optimum."""
+    rows = vectors(train_rows(spark, folder))
+    estimator = classify.penalised_logistic_regression(rows.count(), tol=1e-10)
+    model = estimator.fit(rows)
+    weights = model.coefficientMatrix.toArray()
+    fitted = spark.createDataFrame(
+        [(k, j, float(w)) for (k, j), w in np.ndenumerate(weights)], "class int, pos int, weight double"
+    )
+    scored = model.transform(rows).select(
+        "label",
+        vector_to_array("features").alias("features"),
+        F.posexplode(vector_to_array("probability")).alias("class", "chance"),
+    )
+    miss = F.col("chance") - (F.col("label") == F.col("class")).cast("double")
+    long = profile.long_form(scored.withColumn("miss", miss), "features", ["class", "miss"])
+    slopes = long.groupBy("class", "pos").agg(F.sum(F.col("miss") * F.col("value")).alias("pull"))
+    total = F.col("pull") + F.col("weight")
+    return slopes.join(fitted, ["class", "pos"]).select("class", "pos", rounded(total, "slope", 2))
+
+
 @query
 def mlpc_predict(spark: SparkSession, folder: str) -> DataFrame:
     return _test_predictions(spark, folder, classify.sigmoid_perceptron([64, 16, CLASSES], max_iter=10))
@@ -510,6 +545,21 @@ def relu_mlp_predict(spark: SparkSession, folder: str) -> DataFrame:
     return with_int_prediction(scored).select("vec_id", "label", "prediction")
 
 
+@query
+def relu_mlp_forward(spark: SparkSession, folder: str) -> DataFrame:
+    """Prediction and its probability under given weights."""
+    weights = [linear_map(64, 6).ravel(), np.zeros(6), linear_map(6, 5).ravel(), np.zeros(5)]
+    model = ReluPerceptronModel(np.concatenate(weights))
+    model.set(model.layers, [64, 6, 5])
+    model.set(model.featuresCol, "embedding")
+    scored = model.transform(table(spark, folder, "embeddings"))
+    return scored.select(
+        "vec_id",
+        F.col("prediction").cast("int").alias("prediction"),
+        rounded(F.array_max(vector_to_array("probability")), "probability"),
+    )
+
+
 @query
 def relu_mlp_history(spark: SparkSession, folder: str) -> DataFrame:
     return _relu_model(spark, folder).history

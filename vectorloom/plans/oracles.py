@@ -122,6 +122,11 @@ _SQUARE = "({}) / 4".format(
     " + ".join(_PIXEL.format(f"(16 * (i // 4) + 2 * (i % 4) + {d})") for d in (0, 1, 8, 9))
 )
 
+_HIDDEN = ", ".join(
+    f"greatest({_dot(64, o, 'CAST(embedding[j + 1] AS DOUBLE)')}, 0)" for o in range(6)
+)
+_OUTPUT = ", ".join(_dot(6, o, "h[j + 1]") for o in range(5))
+
 ORACLES: dict[str, str] = {
     "matrix_scan_split": f"""WITH {_E}
         SELECT split, count(*) AS n_rows, min(len(embedding))::INT AS narrowest,
@@ -202,6 +207,14 @@ ORACLES: dict[str, str] = {
     "image_resize": f"""WITH i AS (
           SELECT vec_id, embedding, unnest(range(16))::INT AS i FROM embeddings)
         SELECT vec_id, i AS pos, {_SQUARE} AS value FROM i""",
+    "image_label_rows": f"""WITH i AS (
+          SELECT vec_id, label, list_sum(list_transform(range(0, 16), lambda i: {_SQUARE})) * 3
+                   AS total FROM embeddings),
+        c AS (SELECT list_sort(list(DISTINCT 'class-' || label)) AS names FROM embeddings)
+        SELECT 'images/class-' || label || '/' || vec_id || '.png' AS path,
+               round(total, 6) + 0.0 AS total,
+               {_TEXT.format("list_transform(names, lambda n: n = 'class-' || label)")} AS onehot
+        FROM i CROSS JOIN c""",
     "image_featurise": f"""WITH i AS (
           SELECT vec_id, list_transform(range(0, 16), lambda i: {_SQUARE}) AS px FROM embeddings)
         SELECT vec_id, {_dot(48, 0, "px[j // 3 + 1]")} AS f0, {_dot(48, 1, "px[j // 3 + 1]")} AS f1
@@ -223,6 +236,15 @@ ORACLES: dict[str, str] = {
         SELECT label, pos, round(pi, 8) + 0.0 AS pi, round(mu, 8) + 0.0 AS theta,
                round(s2, 8) + 0.0 AS sigma FROM st JOIN pr USING (label)""",
     "gnb_predict": f"{_GNB} SELECT id AS vec_id, label, prediction FROM pd",
+    "lr_stationarity": f"""WITH {_X}
+        SELECT c.label AS class, pos, 0.0::DOUBLE AS slope
+        FROM (SELECT DISTINCT pos FROM x) CROSS JOIN (SELECT DISTINCT label FROM x) c""",
+    "relu_mlp_forward": f"""WITH h AS (
+          SELECT vec_id, [{_HIDDEN}] AS h FROM embeddings),
+        z AS (SELECT vec_id, [{_OUTPUT}] AS z FROM h)
+        SELECT vec_id, (list_position(z, list_max(z)) - 1)::INT AS prediction,
+               round(1 / list_sum(list_transform(z, lambda s: exp(s - list_max(z)))), 6) + 0.0
+                 AS probability FROM z""",
     "lineitem_gnb_confusion": f"""WITH {_LINES}, {_gnb(
         "SELECT id, label, 'train' AS split, unnest(range(4))::INT AS pos, unnest(f) AS v FROM l",
         "true")}
