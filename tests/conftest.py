@@ -21,6 +21,8 @@ def spark(tmp_path_factory):
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="4g",
+        # Small test data must still be spread over several partitions.
+        spark__sql__adaptive__coalescePartitions__enabled="false",
     )
     session.sparkContext.setLogLevel("ERROR")
     if session.sparkContext.getCheckpointDir() is None:

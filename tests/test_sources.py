@@ -16,6 +16,7 @@ from vectorloom.sources import (
     read_npy,
     read_splits,
     scan_images,
+    shard,
     shuffled,
     timed,
     write_matrix,
@@ -102,6 +103,12 @@ def test_read_splits_marks_rows(spark, tmp_path):
     assert {r.split: r["count"] for r in rows.groupBy("split").count().collect()} == {"train": 5, "test": 3}
 
 
+def test_sharding_only_where_splits_are_few(spark):
+    rows = spark.range(0, 100, 1, 2)
+    assert shard(rows, 5).rdd.getNumPartitions() == 5 and shard(rows, 5).count() == 100
+    assert shard(rows, 2) is rows and shard(rows, 1) is rows
+
+
 # ---- images --------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -66,13 +68,17 @@ def sigmoid_perceptron(
 
 def naive_bayes_parameters(spark: SparkSession, model: NaiveBayesModel) -> DataFrame:
     """The fitted parameters as a table: label, position, prior, mean or log rate, variance."""
-    pi = model.pi.toArray()
-    theta = model.theta.toArray()
+    pi, theta = model.pi.toArray(), model.theta.toArray()
+    classes, width = theta.shape
     gaussian = model.getModelType() == "gaussian"
-    sigma = model.sigma.toArray() if gaussian else None
-    rows = [
-        (k, j, float(pi[k]), float(theta[k, j]), float(sigma[k, j]) if gaussian else None)
-        for k in range(theta.shape[0])
-        for j in range(theta.shape[1])
-    ]
-    return spark.createDataFrame(rows, "label int, pos int, pi double, theta double, sigma double")
+    sigma = model.sigma.toArray().ravel() if gaussian else None
+    table = pa.table(
+        {
+            "label": pa.array(np.repeat(np.arange(classes, dtype=np.int32), width)),
+            "pos": pa.array(np.tile(np.arange(width, dtype=np.int32), classes)),
+            "pi": pa.array(np.repeat(pi, width)),
+            "theta": pa.array(theta.ravel()),
+            "sigma": pa.array(sigma) if gaussian else pa.nulls(classes * width, pa.float64()),
+        }
+    )
+    return spark.createDataFrame(table)

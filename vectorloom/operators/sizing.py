@@ -57,14 +57,12 @@ def sort_across(rows: DataFrame, group: Sequence[str], order: Sequence[str]) ->
     """A table of `rows` in global order, with the partition and the place within it.
 
     Range partitioning cuts large groups at values of `order`, so equal work lands in every task
-    as long as (group, order) has no massive ties. The result is written out because range bounds
+    as long as (group, order) has no massive ties. AQE merges neighbouring ranges of little data. The result is written out because range bounds
     are sampled: a second evaluation could cut elsewhere.
     """
-    spark = rows.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
     placed = (
-        rows.repartitionByRange(tasks, *keys)
+        rows.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id())

@@ -23,6 +23,7 @@ from vectorloom.sources import (
     list_files,
     read_log,
     read_matrix,
+    shard,
     shuffled,
     table,
     with_split,
@@ -468,7 +469,7 @@ def gnb_predict(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def lineitem_gnb_confusion(spark: SparkSession, folder: str) -> DataFrame:
-    rows = scan_rows(spark, folder)
+    rows = shard(scan_rows(spark, folder))
     classes = assembly.class_names(rows, "class_name")
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class_name")) - 1
     shaped = assembly.training_frame(rows, "features", index)

@@ -11,6 +11,7 @@ from vectorloom.sources.runlog import (  # noqa: F401
 from vectorloom.sources.tables import (  # noqa: F401
     read_matrix,
     read_splits,
+    shard,
     table,
     with_split,
     write_matrix,

@@ -43,3 +43,13 @@ def read_matrix(spark: SparkSession, path: str, split: str | None = None) -> Dat
     """Read a matrix back; naming a split prunes the other directories."""
     rows = spark.read.parquet(path)
     return rows if split is None else rows.where(F.col("split") == split)
+
+
+def shard(scan: DataFrame, slots: int | None = None) -> DataFrame:
+    """Spread a scan with few splits over `slots` partitions (default: all cores).
+
+    A scan with enough splits stays as it is, without a shuffle. Meant for plain scans: counting the
+    partitions of a plan with shuffles would run them.
+    """
+    wanted = slots or scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= wanted else scan.repartition(wanted)
