@@ -16,10 +16,6 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-def _kind(value_type: str) -> str:
-    return value_type.upper()
-
-
 def rows_of(frame) -> tuple[list[str], list[tuple]]:
     names = sorted(frame.columns)
     rows = [tuple(r) for r in frame[names].itertuples(index=False)]

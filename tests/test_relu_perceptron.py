@@ -238,7 +238,26 @@ def test_save_and_load(spark, blobs, tmp_path):
     assert ReluPerceptronClassifier.load(str(tmp_path / "e")).getOrDefault("dropout") == [0.5]
 
 
-def test_shared_fits_equal_single_fits(blobs):
+@pytest.mark.parametrize("params", [{}, {"idCol": None, "numPartitions": 6}])
+def test_lost_blocks_are_recomputed(spark, blobs, monkeypatch, params):
+    """Dropping all cached blocks before every step must not change what is learned."""
+    settings = {"maxIter": 2, "miniBatchFraction": 0.25, "dropout": [0.2]} | params
+    source = spark.createDataFrame(blobs.toPandas()).repartition(4, "id")
+    kept = learner(**settings).fit(source)
+    whole_sum = R._Blocks.sum
+
+    def forgetful(self, *args):
+        self.cached.unpersist(blocking=True)
+        return whole_sum(self, *args)
+
+    monkeypatch.setattr(R._Blocks, "sum", forgetful)
+    np.testing.assert_allclose(learner(**settings).fit(source).weights, kept.weights, rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("limit", [R.DIRECT_BYTES, 0], ids=["direct", "spread"])
+def test_shared_fits_equal_single_fits(blobs, monkeypatch, limit):
+    monkeypatch.setattr(R, "DIRECT_BYTES", limit)
+    monkeypatch.setattr(R, "CHUNK", 10)
     estimator = learner()
     grid = tune.grid_of(estimator, {"layers": [[4, 3, 2], [4, 5, 2]], "maxIter": [2, 3]})
     together = dict(estimator.fitMultiple(blobs, grid))

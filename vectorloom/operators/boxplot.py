@@ -25,22 +25,29 @@ def _sorted_counts(values: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def _quantiles(counts: DataFrame, group: Sequence[str], shares: Sequence[float]) -> DataFrame:
     pieces = slices(counts, group, "n")
-    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
+    each_share = F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")
     point = F.col("share") * (F.col("_total") - 1)
     ranks = (
-        pieces.select(*group, "_part", "_before", "_held", "_total", wanted)
+        pieces.select(*group, "_part", "_before", "_held", "_total", each_share)
         .withColumn("rank", F.explode(F.array_distinct(F.array(F.floor(point), F.ceil(point)))))
         .where((F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("_held")))
     )
     # One partition per wanted rank survives: two per group and share at most.
-    ranks = settle(ranks.select(*group, "_part", "_before", "_total", "share", "rank"))
-    held = attach(counts, ranks.select(*group, "_part", "_before").distinct(), [*group, "_part"])
+    wanted = settle(
+        ranks.groupBy(*group, "_part", "_before", "_total").agg(
+            F.collect_list(F.struct("share", "rank")).alias("_asked")
+        )
+    )
+    held = attach(counts, wanted, [*group, "_part"])
     upto = Window.partitionBy(*group, "_part").orderBy("_place")
-    reached = held.withColumn("_upto", F.col("_before") + F.sum("n").over(upto)).select(
-        *group, "_part", "value", (F.col("_upto") - F.col("n")).alias("_from"), "_upto"
+    reached = held.withColumn("_upto", F.col("_before") + F.sum("n").over(upto))
+    met = F.filter(
+        "_asked",
+        lambda ask: (F.col("_upto") - F.col("n") <= ask["rank"]) & (ask["rank"] < F.col("_upto")),
+    )
+    found = reached.select(*group, "value", "_total", met.alias("_met")).select(
+        *group, "value", "_total", F.inline("_met")
     )
-    hit = (F.col("_from") <= F.col("rank")) & (F.col("rank") < F.col("_upto"))
-    found = attach(reached, ranks.drop("_before"), [*group, "_part"]).where(hit)
     lower, upper = F.min("value"), F.max("value")
     part = F.col("share") * (F.max("_total") - 1) - F.floor(F.col("share") * (F.max("_total") - 1))
     return found.groupBy(*group, "share").agg(

@@ -42,7 +42,7 @@ def attach(
     that the join is shuffled, with every key spread over `SALTS` tasks, because a key may own a
     large share of `rows`. Null keys match each other, as they do in grouping.
     """
-    keys, broadcast = list(on), summary.limit(max_rows + 1).count() <= max_rows
+    keys, broadcast = list(on), summary.count() <= max_rows
     if not broadcast:
         keys.append("_salt")
         rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
