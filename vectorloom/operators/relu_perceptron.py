@@ -4,10 +4,11 @@ Spark's own perceptron has neither ReLU, Adam, dropout nor validation, so this i
 its own. How a fit runs:
 
 * The training rows are packed once, inside their partitions, into binary row blocks and cached.
-* A step broadcasts the weights. Every partition sums the gradient over its blocks, cuts the sum
-  into chunks, and the chunks are added up with `groupBy(chunk)`. The reduction is thereby spread
-  over many tasks, however large the network is and however many partitions report. Where all
-  partial sums together are known to stay below `DIRECT_BYTES`, the driver adds them up itself.
+* A step broadcasts the weights. Every partition sums the gradient over its blocks and cuts the sum
+  into chunks; the chunks are shuffled by number and added up as they arrive. The reduction is
+  thereby spread over many tasks, however large the network is and however many partitions report,
+  and no task holds more than its chunks. Where all partial sums together are known to stay below
+  `DIRECT_BYTES`, the driver adds them up itself.
 * The driver receives one summed vector as long as the weights and applies the optimiser.
 
 The weights are the only thing that is broadcast or brought to the driver. Their size follows from
@@ -43,7 +44,6 @@ from pyspark.ml.param.shared import (
     HasStepSize,
     HasValidationIndicatorCol,
 )
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import (
     DefaultParamsReadable,
     DefaultParamsReader,
@@ -68,6 +68,7 @@ BLOCK_ROWS = 8192
 BUFFER_BYTES = 256 * 1024 * 1024
 DIRECT_BYTES = 256 * 1024 * 1024
 VALIDATION = -1
+COUNTS = -1
 HISTORY_SCHEMA = (
     "epoch int, steps int, rows bigint, learning_rate double, loss double, accuracy double, "
     "val_loss double, val_accuracy double"
@@ -269,22 +270,41 @@ def _summing_task(
         if not seen:
             return
         for number, total in enumerate(totals):
-            starts = np.arange(0, len(total), len(total) if whole else CHUNK)
-            if whole:
-                # The six numbers at the end stay double, whatever the arithmetic.
-                packed = total[:-6].astype(work, copy=False).tobytes() + total[-6:].tobytes()
-                parts = pa.array([packed], pa.binary())
-            else:
-                offsets = np.append(starts, len(total)).astype(np.int32)
-                parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(total))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(starts), number, np.int32)),
-                    pa.array(np.arange(len(starts), dtype=np.int32)),
-                    parts,
-                ],
-                names=["net", "chunk", "part"],
-            )
+            gradient = total[:-6].astype(work, copy=False)
+            step = max(len(gradient), 1) if whole else CHUNK
+            pieces = [gradient[low : low + step] for low in range(0, len(gradient), step)]
+            # The six numbers stay double, whatever the arithmetic, and go as a piece of their own.
+            yield _parts_batch([number] * (len(pieces) + 1), [*range(len(pieces)), COUNTS], [*pieces, total[-6:]])
+
+    return run
+
+
+def _parts_batch(nets: list[int], chunks: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(nets, pa.int32()),
+            pa.array(chunks, pa.int32()),
+            pa.array([part.tobytes() for part in parts], pa.binary()),
+        ],
+        names=["net", "chunk", "part"],
+    )
+
+
+def _adding_task(work: str) -> Callable:
+    """Task that adds up the pieces it is given, holding one running sum per network and chunk."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for net, chunk, part in zip(*(batch.column(i) for i in range(3))):
+                key = (net.as_py(), chunk.as_py())
+                values = np.frombuffer(part.as_buffer(), "float64" if key[1] == COUNTS else work)
+                if key in held:
+                    held[key] += values
+                else:
+                    held[key] = values.astype(np.float64)
+        for (net, chunk), total in held.items():
+            yield _parts_batch([net], [chunk], [total])
 
     return run
 
@@ -316,28 +336,27 @@ class _Blocks:
         learn = batch is not None
         slots = ((batch,) if learn else ()) + ((VALIDATION,) if held_out else ())
         sizes = [(len(flat) if learn else 0) + 6 for flat in weights]
-        whole = self.partitions * sum(sizes) * 8 <= DIRECT_BYTES
+        whole = self.partitions * sum(sizes) * np.dtype(self.work).itemsize <= DIRECT_BYTES
         sent = [flat.astype(self.work, copy=False) for flat in weights]
         shared = self.frame.sparkSession.sparkContext.broadcast(sent)
+        columns = "net int, chunk int, part binary"
         try:
             task = _summing_task(shared, nets, self.width, self.item, self.work, learn, whole)
-            kind = "binary" if whole else "array<double>"
-            parts = self._rows(slots).mapInArrow(task, f"net int, chunk int, part {kind}")
+            parts = self._rows(slots).mapInArrow(task, columns)
             if not whole:
-                added = Summarizer.sum(array_to_vector("part"))
-                parts = parts.groupBy("net", "chunk").agg(vector_to_array(added).alias("part"))
+                parts = parts.repartition("net", "chunk").mapInArrow(_adding_task(self.work), columns)
             table = parts.toArrow()
         finally:
             shared.destroy()
         sums = [np.zeros(size) for size in sizes]
         for net, chunk, part in zip(*(table.column(name) for name in ("net", "chunk", "part"))):
-            if whole:
-                total, packed = sums[net.as_py()], part.as_buffer()
-                total[:-6] += np.frombuffer(packed[:-48], self.work)
-                total[-6:] += np.frombuffer(packed[-48:], np.float64)
-            else:
-                low = chunk.as_py() * CHUNK
-                sums[net.as_py()][low : low + CHUNK] += part.values.to_numpy()
+            total, place = sums[net.as_py()], chunk.as_py()
+            if place == COUNTS:
+                total[-6:] += np.frombuffer(part.as_buffer(), np.float64)
+                continue
+            values = np.frombuffer(part.as_buffer(), self.work if whole else "float64")
+            low = 0 if whole else place * CHUNK
+            total[low : low + len(values)] += values
         return sums
 
 
