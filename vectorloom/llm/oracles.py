@@ -42,3 +42,11 @@ SELECT d.doc_id, {COUNTS},
        sha256(coalesce(string_agg({ITEM}, ',' ORDER BY start, place) FILTER (place < {len(BASE_RULES)}), '')) AS base_sha256,
        coalesce(string_agg({ITEM}, ',' ORDER BY start, place), '') AS spans
 FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
+ORACLES["op4_warc_archives"] = """
+WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+digests AS (SELECT page_id, octet_length(raw) AS n, sha256(raw) AS digest FROM rows),
+firsts AS (SELECT digest, min(page_id) AS first FROM digests WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM digests d LEFT JOIN firsts f ON d.digest = f.digest"""

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import mixing, secret_scan
+from vectorloom.llm import archive, mixing, packing, secret_scan
 from vectorloom.llm.text import documents
+from vectorloom.operators.sizing import settle_as_table
 from vectorloom.session import scratch_path
+from vectorloom.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,3 +42,20 @@ def op1_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents(spark, folder).select("doc_id", "text", "source")
     return mixing.mix(rows).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, folder))
+
+
+@query
+def op4_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Write every page to packages in the shared folder, then read all records back."""
+    plan = archive.plan_records(table(spark, folder, "pages"), "page_id", "html", "url")
+    packages = settle_as_table(archive.write_packages(plan, scratch_path(spark, "archives")), "packages")
+    spots = archive.locate(packages.repartition(spark.sparkContext.defaultParallelism))
+    spots = settle_as_table(spots, "spots").repartition(spark.sparkContext.defaultParallelism * 2)
+    return archive.read_records(spots).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )

@@ -5,8 +5,10 @@ Words are runs of bytes other than space and U+0009..U+000D everywhere. A null t
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -82,15 +84,20 @@ def mix(values: np.ndarray) -> np.ndarray:
 BYTE_KEYS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+
+
+def worker_cache() -> dict:
+    """What this process keeps between tasks. Task code travels by value, so its globals do not stay."""
+    return sys.modules.setdefault("_vectorloom_cache", ModuleType("_vectorloom_cache")).__dict__
 
 
 def powers(base: int, count: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < count:
+    kept = worker_cache()
+    if len(kept.get(base, ())) < count:
         steps = np.full(max(count, 1 << 16), base, np.uint64)
         steps[0] = 1
-        _powers[base] = np.multiply.accumulate(steps)
-    return _powers[base][:count]
+        kept[base] = np.multiply.accumulate(steps)
+    return kept[base][:count]
 
 
 def lowered(raw: np.ndarray) -> np.ndarray:
