@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import archive, mixing, packing, secret_scan
+from vectorloom.llm import archive, mixing, packing, secret_scan, syncmers
 from vectorloom.llm.text import documents
 from vectorloom.operators.sizing import settle_as_table
 from vectorloom.session import scratch_path
@@ -59,3 +59,8 @@ def op4_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     return archive.read_records(spots).select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query
+def op5_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.compare_with_next(documents(spark, folder))
