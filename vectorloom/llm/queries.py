@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import archive, mixing, packing, quality, secret_scan, syncmers
+from vectorloom.llm import archive, mixing, ngram_join, packing, quality, secret_scan, syncmers
 from vectorloom.llm.text import documents
 from vectorloom.operators.sizing import settle_as_table
 from vectorloom.session import scratch_path
@@ -71,3 +71,8 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(documents(spark, folder).select("doc_id", "text"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *base, "base_failed", "kept", "votes", "posterior")
+
+
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(documents(spark, folder))
