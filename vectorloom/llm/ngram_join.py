@@ -8,14 +8,15 @@ How all links are found without comparing all pairs:
 * N-grams have one global order: rare ones by hash, then those that are frequent in the whole corpus. A
   set keeps as many leading n-grams (`prefix`) that two sets which link must share one. These short inverted
   lists are built by a shuffle on the n-gram; lists of one class are dropped.
-* A list does not emit its pairs. In each round one class of every list, its hub, searches the others of
-  the list: blocks of candidates get a local inverted index of the hub's n-grams, whose short lists are
-  merged with a heap and whose long lists are probed by binary search (`divide_skip`). Hubs that many lists
-  share search once.
-* Jaccard distance is a metric, so a search that reaches down to twice the distance of the threshold says which
-  pairs need no comparison: classes that link to the hub are connected already, and classes beyond
-  twice the distance cannot link to those. Only the rest of a list goes on, without its hub.
-* After `HUB_ROUNDS` rounds, the remaining short lists compare what they still hold; long ones go on with hubs.
+* A list does not emit its pairs. One class of every list, its hub, searches the others of its lists: blocks
+  of candidates get a local inverted index of the hub's n-grams, whose short lists are merged with a heap and
+  whose long lists are probed by binary search (`divide_skip`). A hub has then found all its links, and
+  leaves all lists.
+* Links make components, and within one no further comparison is needed. In the second turn a bounded number
+  of classes outside the largest component of each list search, in the third all that are still outside, and
+  only in other components. So no link between components is missed, and a group of thousands of near copies
+  is not compared pair by pair.
+* Pairs whose sizes or 256-bit parity maps already rule out the threshold are dropped within the join.
 
 Components are found by label propagation with jumps over the links.
 
@@ -35,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm.text import chunks, lowered, span_hashes, text_of, window_hashes, word_bounds
@@ -45,8 +46,9 @@ HOT = 16  # an n-gram in so many rows is frequent; raised until the frequent one
 MAX_HOT = 1_000_000  # n-grams broadcast as frequent, 8 bytes each
 SCOUT = 0.30  # share of a set whose n-grams are counted to find the frequent ones
 BLOCK_GRAMS = 400_000  # n-grams of the candidates that one search block holds, about
-HUB_ROUNDS = 3
-SHORT_LIST = 64
+SHORT_LIST = 64  # so many classes of a list search in the second turn
+HUBS = 16  # of more than that, so many
+BITS = ("b0", "b1", "b2", "b3")
 SPREAD = 4.0  # DivideSkip's weight of a long list
 
 
@@ -56,11 +58,6 @@ class Spec:
     num: int = 85  # similarity threshold as a fraction num / den
     den: int = 100
 
-    @property
-    def far(self) -> int:
-        """Numerator of the similarity at twice the distance of the threshold."""
-        return max(0, 2 * self.num - self.den)
-
     def prefix(self, n: int) -> int:
         """Leading n-grams of a set of `n` among which every set that links must share one."""
         return n - -(-self.num * n // self.den) + 1
@@ -173,8 +170,9 @@ def postings(rows: DataFrame, text: str, spec: Spec, hot) -> DataFrame:
 
 
 def set_table(rows: DataFrame, text: str, spec: Spec, wanted: DataFrame, id_column: str) -> DataFrame:
-    """(node, n, grams) of the classes in `wanted` (node, id), from the rows with these ids."""
+    """(node, n, grams, b0..b3) of the classes in `wanted` (node, id), from the rows with these ids."""
     size = spec.size
+    names = ["node", "n", "grams", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,11 +185,28 @@ def set_table(rows: DataFrame, text: str, spec: Spec, wanted: DataFrame, id_colu
                     pa.array([len(s) for _, s in same], pa.int64()),
                     pa.array([s.tobytes() for _, s in same], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "grams"])
+                bits = np.array([parity(s) for _, s in same], np.int64).reshape(len(same), len(BITS))
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, bits.T.copy())], names)
 
     texts = rows.select(F.col(id_column).alias("id"), text_of(text).alias("text"))
     texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select("node", "text")
-    return texts.mapInArrow(run, "node long, n long, grams binary")
+    return texts.mapInArrow(run, ", ".join(["node long, n long, grams binary", *[f"{b} long" for b in BITS]]))
+
+
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Per bit of a 256-bit map: whether an odd number of n-grams falls on it."""
+    odd = np.bincount((grams >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(spec: Spec) -> Column:
+    """Whether sets of sizes `n` and `hub_n` can link: by size, and by the bits in which their maps differ.
+
+    Each differing bit takes an n-gram that only one set has, and linking sets have few of those.
+    """
+    apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in BITS[1:]), F.bit_count(F.col(BITS[0]).bitwiseXOR(F.col(f"hub_{BITS[0]}"))))
+    sizes = F.least("n", "hub_n") * spec.den >= F.greatest("n", "hub_n") * spec.num
+    return sizes & (apart * (spec.num + spec.den) <= (F.col("n") + F.col("hub_n")) * (spec.den - spec.num))
 
 
 # ---- search --------------------------------------------------------------------------------------
@@ -247,22 +262,14 @@ def overlaps(query: np.ndarray, others: list[np.ndarray], least: int) -> dict[in
     return divide_skip([owner[order[a:b]] for a, b in zip(bounds[:-1], bounds[1:])], least)
 
 
-PAIR = "hub long, node long, near int"
-NEAR, SHELL = 2, 1  # `near`: links / lies within twice the distance; others give no row
-
-
 def search(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    """(hub, node, near) for the given (hub, node) that are within twice the distance of the threshold.
+    """Links (left, right) among the pairs (hub, node, n): each hub searches its candidates.
 
     The candidates of a hub are cut into blocks by size, each with the hub's set.
     """
-    num, den, far = spec.num, spec.den, spec.far
-    sized = pairs.join(sets.select("node", "n"), "node")
-    hubs = sets.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-    sized = sized.join(hubs, "hub")
-    sized = sized.where(F.least("n", "hub_n") * den >= F.greatest("n", "hub_n") * far)
-    blocks = sized.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
-    sized = sized.select("hub", "node").join(blocks, "hub")
+    num, den = spec.num, spec.den
+    blocks = pairs.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    sized = pairs.select("hub", "node").join(blocks, "hub")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     members = sized.select("hub", block.alias("block"), "node").join(sets.select("node", "grams"), "node")
     queries = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -278,15 +285,15 @@ def search(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
         out = []
         if len(others):
             sets_of = [np.frombuffer(raw, np.uint64) for raw in others["grams"]]
-            least = max(1, -(-far * len(query) // den))
+            least = -(-num * len(query) // den)
             names = others["node"].to_numpy()
             for k, shared in overlaps(query, sets_of, least).items():
                 union = len(query) + len(sets_of[k]) - shared
-                if den * shared >= far * union:
-                    out.append((hub, names[k], NEAR if den * shared >= num * union else SHELL))
-        return pd.DataFrame(out, columns=["hub", "node", "near"]).astype({"hub": "int64", "node": "int64", "near": "int32"})
+                if den * shared >= num * union:
+                    out.append((hub, names[k]))
+        return pd.DataFrame(out, columns=["left", "right"]).astype("int64")
 
-    return both.groupBy("hub", "block").applyInPandas(one, PAIR)
+    return both.groupBy("hub", "block").applyInPandas(one, "left long, right long")
 
 
 # ---- components ----------------------------------------------------------------------------------
@@ -317,55 +324,43 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_lists(lists: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    """All links (left, right) that components need, from the inverted `lists` (gram, node)."""
-    spark = lists.sparkSession
-    links = spark.createDataFrame([], "left long, right long")
-    known = spark.createDataFrame([], "node long, component long")
-    lists = lists.withColumn("done", F.lit(False))  # done: connected to a former hub, never a hub itself
-    rounds = 0
-    while True:
-        heads = lists.groupBy("gram").agg(
-            F.min(F.when(~F.col("done"), F.col("node"))).alias("hub"), F.count(F.lit(1)).alias("length")
-        )
-        heads = heads.where((F.col("length") > 1) & F.col("hub").isNotNull())
-        headed = lists.join(heads, "gram")
-        brief = F.lit(rounds >= HUB_ROUNDS) & (F.col("length") <= SHORT_LIST)
-        pairs = headed.where((F.col("node") != F.col("hub")) & ~brief).select("hub", "node")
-        if rounds >= HUB_ROUNDS:
-            few = headed.where(brief).select("gram", "node", "done")
-            left = few.where(~F.col("done")).select("gram", F.col("node").alias("hub"))
-            cross = few.join(left, "gram").where((F.col("node") > F.col("hub")) | F.col("done"))
-            pairs = pairs.union(cross.where(F.col("node") != F.col("hub")).select("hub", "node"))
-        pairs = settle_as_table(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            return links
-        near = settle_as_table(search(pairs, sets, spec), "near")
-        new = near.where(F.col("near") == NEAR).select(F.col("hub").alias("left"), F.col("node").alias("right"))
-        links = settle_as_table(links.union(new), "links")
+    """Components (node, component) from the inverted `lists` (gram, node), with enough links to find all."""
+    lists = lists.join(sets.drop("grams"), "node")
+    links, known = None, None
+    for turn in range(3):
+        rows = lists.withColumn("component", F.col("node"))
+        if known is not None:
+            rows = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        heads = rows.groupBy("gram").agg(F.min("node").alias("node")) if turn == 0 else open_rows(rows, last=turn == 2)
+        heads = heads.select("node").distinct().withColumn("is_hub", F.lit(True))
+        rows = rows.join(heads, "node", "left").withColumn("is_hub", F.col("is_hub").isNotNull())
+        rows = settle_as_table(rows, "lists")
+        kept = ["node", "n", "component", *BITS]
+        hubs = rows.where("is_hub").select("gram", *[F.col(c).alias(f"hub_{c}".replace("hub_node", "hub")) for c in kept])
+        other = (F.col("component") != F.col("hub_component")) & (~F.col("is_hub") | (F.col("hub") < F.col("node")))
+        same = rows["gram"] == hubs["gram"]
+        pairs = rows.join(hubs, same & other & may_link(spec)).select("hub", "node", "n").distinct()
+        found = search(settle_as_table(pairs, "pairs"), sets, spec)
+        links = settle_as_table(found if links is None else links.union(found), "links")
         known = components(links)
-        lists = settle_as_table(remaining(headed.where(~brief), near, known), "lists")
-        rounds += 1
+        lists = rows.where(~F.col("is_hub")).drop("is_hub", "component")
+    return known
 
 
-def remaining(headed: DataFrame, near: DataFrame, known: DataFrame) -> DataFrame:
-    """The lists (gram, node, done) without their hubs and without what needs no comparison.
+def open_rows(rows: DataFrame, last: bool) -> DataFrame:
+    """Which classes (node) search next: of lists with several components, those outside the largest one.
 
-    Without a class in the shell, the part that links to the hub is connected and cannot link to the rest.
-    With one, that part stays, to be searched by the others. A list within one component is finished.
+    Unless it is the last turn, long lists let only one class of each of `HUBS` parts search.
     """
-    rows = headed.join(near, ["hub", "node"], "left").where(F.col("node") != F.col("hub"))
-    rows = rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = known.select(F.col("node").alias("hub"), F.col("component").alias("home"))
-    rows = rows.join(heads, "hub", "left").withColumn("home", F.coalesce("home", "hub"))
-    rows = rows.withColumn("kin", F.coalesce(F.col("near") == NEAR, F.lit(False)))
-    shell = (F.col("near") == SHELL) & (F.col("component") != F.col("home"))
-    per = rows.groupBy("gram").agg(
-        F.max(F.coalesce(shell, F.lit(False))).alias("shell"),
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
-    )
-    rows = rows.join(per.where(F.col("low") != F.col("high")), "gram").where(F.col("shell") | ~F.col("kin"))
-    return rows.select("gram", "node", (F.col("done") | F.col("kin")).alias("done"))
+    cells = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("held"))
+    largest = F.max_by("component", F.struct("held", "component"))
+    per = cells.groupBy("gram").agg(largest.alias("main"), (F.sum("held") - F.max("held")).alias("outside"))
+    outside = rows.join(per.where(F.col("outside") > 0), "gram").where(F.col("component") != F.col("main"))
+    if last:
+        return outside
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS))
+    chosen = outside.where(F.col("outside") > SHORT_LIST).groupBy("gram", part.alias("part")).agg(F.min("node").alias("node"))
+    return outside.where(F.col("outside") <= SHORT_LIST).select("node").union(chosen.select("node"))
 
 
 def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
@@ -382,7 +377,7 @@ def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: S
     wanted = classes.join(lists.select("node").distinct(), "node", "left_semi")
     sets = set_table(rows, text, spec, wanted, id_column).dropDuplicates(["node"])
     sets = settle_as_table(sets, "sets")
-    found = components(link_lists(lists, sets, spec))
+    found = link_lists(lists, sets, spec)
     members = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = members.groupBy("component").agg(F.min("id").alias("component_id"))
     named = members.join(names, "component").select("node", F.col("id").alias("class_id"), "component_id")

@@ -6,8 +6,8 @@ passages give equal anchors wherever they stand, and their distances stay the sa
 The fingerprint is the sorted set of anchor hashes; likeness is the share of common ones (Jaccard).
 Column expressions only.
 
-Defined results: a null text is the empty text; a text shorter than `K` units has one anchor, the hash of
-the whole, so equal texts always have equal fingerprints; rows are ordered by id, nulls first, then by
+Defined results: a null text is the empty text; a text without anchors, such as one of fewer than `K`
+units, has the hash of the whole as its only one, so equal texts always have equal fingerprints; rows are ordered by id, nulls first, then by
 digest of the text, so ties have a fixed order and identical rows are interchangeable; an empty table gives
 no rows. Only the id and text columns are read, so other columns cannot clash.
 """
@@ -40,9 +40,12 @@ def units(text: Column) -> Column:
 
 def windows(hashes: Column, size: int) -> Column:
     """Hashes of all runs of `size` elements."""
-    count = F.size(hashes) - (size - 1)
-    head = F.slice(hashes, 1, F.greatest(count, F.lit(0)))
-    return F.transform(head, lambda _, i: F.xxhash64(*[F.get(hashes, i + j) for j in range(size)]))
+
+    def slide(found: Column) -> Column:
+        head = F.slice(found, 1, F.greatest(F.size(found) - (size - 1), F.lit(0)))
+        return F.transform(head, lambda _, i: F.xxhash64(*[F.get(found, i + j) for j in range(size)]))
+
+    return bound(hashes, slide)
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -63,8 +66,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
     whole = F.array(F.hash(text).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
     return bound(
-        units(text),
-        lambda found: F.when(F.size(found) < k, whole).otherwise(bound(windows(found, s), pick)),
+        bound(windows(units(text), s), pick), lambda found: F.when(F.size(found) > 0, found).otherwise(whole)
     )
 
 
