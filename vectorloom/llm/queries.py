@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import archive, mixing, ngram_join, packing, quality, secret_scan, syncmers
-from vectorloom.llm.text import documents
+from vectorloom.llm import archive, langid, mixing, ngram_join, packing, quality, secret_scan, syncmers
+from vectorloom.llm.text import crc_remainder, documents
 from vectorloom.operators.sizing import settle_as_table
 from vectorloom.session import scratch_path
 from vectorloom.sources import table
@@ -76,3 +76,12 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(documents(spark, folder))
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder).select("doc_id", "text", "lang")
+    held_out = crc_remainder("doc_id", 3) == 1
+    model = langid.train(langid.sample(rows.where(~held_out), "doc_id", "text", "lang"))
+    found = langid.identify(rows, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
