@@ -48,6 +48,8 @@ SCOUT = 0.30  # share of a set whose n-grams are counted to find the frequent on
 BLOCK_GRAMS = 400_000  # n-grams of the candidates that one search block holds, about
 SHORT_LIST = 64  # so many classes of a list search in the second turn
 HUBS = 16  # of more than that, so many
+SALTS = 64
+MAP_BITS = 1 << 26  # 8 MB
 BITS = ("b0", "b1", "b2", "b3")
 SPREAD = 4.0  # DivideSkip's weight of a long list
 
@@ -132,27 +134,31 @@ def frequent(rows: DataFrame, text: str, spec: Spec) -> np.ndarray:
     return np.sort(kept.to_numpy(np.int64).view(np.uint64))
 
 
-def ordered(grams: np.ndarray, hot: np.ndarray, count: int) -> np.ndarray:
-    """The first `count` n-grams in the global order: rare by hash, then frequent by hash."""
+def ordered(grams: np.ndarray, hot: np.ndarray, count: int) -> tuple[np.ndarray, int]:
+    """The first `count` n-grams in the global order, rare by hash, then frequent by hash; how many are rare."""
     if not len(hot):
-        return grams[:count]
+        return grams[:count], count
     place = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
     late = hot[place] == grams
     rare = grams[~late][:count]
-    return rare if len(rare) == count else np.concatenate([rare, grams[late][: count - len(rare)]])
+    return np.concatenate([rare, grams[late][: count - len(rare)]]), len(rare)
 
 
 def postings(rows: DataFrame, text: str, spec: Spec, hot) -> DataFrame:
-    """(gram, node) for the prefix of each row's set; `hot` is a broadcast variable."""
+    """(gram, salt, node) for the prefix of each row's set; `hot` is a broadcast variable.
+
+    `salt` is 0 for rare n-grams; the postings of a frequent one are spread over 1 to `SALTS`.
+    """
     size = spec.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts, nodes):
-            lengths = [len(p) for p in parts]
-            grams = np.concatenate(parts).view(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(grams), pa.array(np.repeat(np.array(nodes, np.int64), lengths))], ["gram", "node"]
-            )
+            lengths = [len(p) for p, _ in parts]
+            owner = np.repeat(np.array(nodes, np.int64), lengths)
+            rare = np.concatenate([np.arange(len(p)) < r for p, r in parts])
+            salt = np.where(rare, 0, 1 + (owner & (SALTS - 1))).astype(np.int32)
+            grams = np.concatenate([p for p, _ in parts]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(salt), pa.array(owner)], ["gram", "salt", "node"])
 
         for batch in batches:
             parts, nodes = [], []
@@ -166,30 +172,67 @@ def postings(rows: DataFrame, text: str, spec: Spec, hot) -> DataFrame:
             if parts:
                 yield flush(parts, nodes)
 
-    return rows.select(text_of(text).alias("text")).mapInArrow(run, "gram long, node long")
+    return rows.select(text_of(text).alias("text")).mapInArrow(run, "gram long, salt int, node long")
+
+
+def shared_lists(lists: DataFrame) -> DataFrame:
+    """(gram, node): the inverted lists that more than one class is in, shuffled once.
+
+    A rare n-gram's list is in one partition; lists of frequent ones, in many, are kept as they are.
+    """
+    dealt = lists.repartition("gram", "salt")
+    per = dealt.groupBy("gram", "salt").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    per = per.where((F.col("salt") > 0) | (F.col("low") != F.col("high"))).select("gram", "salt")
+    return dealt.join(per, ["gram", "salt"]).select("gram", "node").distinct()
+
+
+def mark(node: Column, id_value: Column) -> Column:
+    """Bit of a class and its first id in the map that `set_table` looks into."""
+    crc = F.crc32(F.coalesce(id_value.cast("string"), F.lit("")).cast("binary"))
+    return node.bitwiseXOR(crc).bitwiseAND(F.lit(MAP_BITS - 1))
+
+
+def bit_map(marks: DataFrame) -> np.ndarray:
+    """A map of `MAP_BITS` bits with those of the column `mark` set; at most 2^20 rows reach the driver."""
+    bit = F.expr("shiftleft(1L, cast(mark & 63 as int))")
+    words = marks.groupBy(F.shiftright("mark", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
 
 
 def set_table(rows: DataFrame, text: str, spec: Spec, wanted: DataFrame, id_column: str) -> DataFrame:
-    """(node, n, grams, b0..b3) of the classes in `wanted` (node, id), from the rows with these ids."""
-    size = spec.size
+    """(node, n, grams, b0..b3) of the classes in `wanted` (node, id), from the rows with these ids.
+
+    Rows are looked up in a bit map of fixed size, so that no text is shuffled. A few sets too many pass, and
+    do no harm.
+    """
+    size, mask = spec.size, MAP_BITS - 1
     names = ["node", "n", "grams", *BITS]
+    bits = bit_map(wanted.select(mark(F.col("node"), F.col("id")).alias("mark")))
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                sets = list(gram_sets(part.column(1), size))
-                same = [(node, s) for node, s in zip(part.column(0).to_pylist(), sets) if len(s) and digest(s) == node]
+            held: list[tuple[int, np.ndarray]] = []
+            for crc, grams in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1), size)):
+                if len(grams):
+                    node = digest(grams)
+                    at = (node ^ crc) & mask
+                    if int(shared.value[at >> 6]) >> (at & 63) & 1:
+                        held.append((node, grams))
+            for k in range(0, len(held), 512):
+                part = held[k : k + 512]
                 columns = [
-                    pa.array([node for node, _ in same], pa.int64()),
-                    pa.array([len(s) for _, s in same], pa.int64()),
-                    pa.array([s.tobytes() for _, s in same], pa.binary()),
+                    pa.array([node for node, _ in part], pa.int64()),
+                    pa.array([len(grams) for _, grams in part], pa.int64()),
+                    pa.array([grams.tobytes() for _, grams in part], pa.binary()),
                 ]
-                bits = np.array([parity(s) for _, s in same], np.int64).reshape(len(same), len(BITS))
-                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, bits.T.copy())], names)
+                odd = np.array([parity(grams) for _, grams in part], np.int64)
+                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, odd.T.copy())], names)
 
-    texts = rows.select(F.col(id_column).alias("id"), text_of(text).alias("text"))
-    texts = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select("node", "text")
+    crc = F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary"))
+    texts = rows.select(crc.alias("crc"), text_of(text).alias("text"))
     return texts.mapInArrow(run, ", ".join(["node long, n long, grams binary", *[f"{b} long" for b in BITS]]))
 
 
@@ -271,11 +314,10 @@ def search(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
     blocks = pairs.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
     sized = pairs.select("hub", "node").join(blocks, "hub")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = sized.select("hub", block.alias("block"), "node").join(sets.select("node", "grams"), "node")
-    queries = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    queries = queries.join(sets.select(F.col("node").alias("hub"), "grams"), "hub")
-    queries = queries.select("hub", "block", F.col("hub").alias("node"), "grams")
-    both = members.select("hub", "block", "node", "grams").unionByName(queries)
+    wanted = sized.select("hub", block.alias("block"), "node")
+    blocks = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    wanted = wanted.unionByName(blocks.select("hub", "block", F.col("hub").alias("node")))
+    both = wanted.join(sets.select("node", "grams"), "node").select("hub", "block", "node", "grams")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         hub = group["hub"].iloc[0]
@@ -325,7 +367,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def link_lists(lists: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
     """Components (node, component) from the inverted `lists` (gram, node), with enough links to find all."""
-    lists = lists.join(sets.drop("grams"), "node")
+    lists = lists.join(sets.drop("grams").dropDuplicates(["node"]), "node")
     links, known = None, None
     for turn in range(3):
         rows = lists.withColumn("component", F.col("node"))
@@ -370,13 +412,9 @@ def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: S
     classes = keys.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
     classes = settle_as_table(classes, "classes")
     hot = spark.sparkContext.broadcast(frequent(rows, text, spec))
-    lists = postings(rows, text, spec, hot)
-    shared = lists.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = shared.where(F.col("low") != F.col("high")).select("gram")
-    lists = settle_as_table(lists.join(shared, "gram").distinct(), "lists")
+    lists = settle_as_table(shared_lists(postings(rows, text, spec, hot)), "lists")
     wanted = classes.join(lists.select("node").distinct(), "node", "left_semi")
-    sets = set_table(rows, text, spec, wanted, id_column).dropDuplicates(["node"])
-    sets = settle_as_table(sets, "sets")
+    sets = settle_as_table(set_table(rows, text, spec, wanted, id_column), "sets")
     found = link_lists(lists, sets, spec)
     members = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = members.groupBy("component").agg(F.min("id").alias("component_id"))
