@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import archive, langid, mixing, ngram_join, packing, quality, secret_scan, syncmers, toxicity
+from vectorloom.llm import archive, langid, lm_score, mixing, ngram_join, packing, quality, secret_scan, syncmers, toxicity
 from vectorloom.llm.text import crc_remainder, documents
 from vectorloom.operators.sizing import settle_as_table
 from vectorloom.session import scratch_path
@@ -94,3 +94,11 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.train(toxicity.sample(rows, table(spark, folder, "labels").where(~held_out), "doc_id", "text", "toxic"))
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
     return toxicity.score(rows, model).select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
+@query
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = documents(spark, folder).select("doc_id", "text")
+    held_out = crc_remainder("doc_id", 5) == 1
+    scored = lm_score.score_texts(rows, rows.where(~held_out))
+    return scored.withColumn("held_out", held_out)
