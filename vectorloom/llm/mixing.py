@@ -95,6 +95,30 @@ def thresholds(rows: DataFrame, budgets: DataFrame, levels: int = LEVELS, digits
     return state.select("_source", "prefix", nearer.alias("closed"))
 
 
+def plan(narrow: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """Per source of `narrow` (source, size, place): size, target, whole copies and threshold."""
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+    wanted = settle_as_table(targets(sizes, weights, most), "targets")
+    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    wanted = wanted.withColumn("whole", copies.cast("bigint"))
+    budget = (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")
+    cuts = thresholds(narrow, wanted.select("source", budget))
+    joined = wanted.withColumnRenamed("source", "_wanted").join(cuts, same("_wanted", "_source"), "left")
+    return joined.select("_wanted", "source_size", "target", "whole", "prefix", "closed")
+
+
+def copies(most: int = MOST) -> Column:
+    """How often the mix takes a row that is joined with its source's plan."""
+    head = F.substring("place", 1, DIGITS * LEVELS)
+    inside = (head < F.col("prefix")) | (F.col("closed") & (head == F.col("prefix")))
+    more = F.when(F.coalesce(inside, F.lit(False)), 1).otherwise(0)
+    return F.least(F.col("whole") + more, F.lit(most)).cast("bigint")
+
+
+def size_of(text: str) -> Column:
+    return F.regexp_count(text_of(text), F.lit(WORD)).cast("bigint")
+
+
 def mix(
     rows: DataFrame,
     ids: Sequence[str] = ("doc_id",),
@@ -108,27 +132,36 @@ def mix(
     `copies` says how often the mix takes a row: the whole multiples of its source that the target
     holds, and once more for rows below the source's threshold.
     """
-    size = F.regexp_count(text_of(text), F.lit(WORD)).cast("bigint")
     kept = [c for c in rows.columns if c != text and c != source]
-    renamed = {c: "_" + c for c in kept if c in (*RESULT, "place")}
+    renamed = {c: "_" + c for c in kept if c in (*RESULT, "place", "source")}
     narrow = rows.select(
         *[F.col(c).alias(renamed.get(c, c)) for c in kept],
         F.col(source).alias("source"),
-        size.alias("size"),
+        size_of(text).alias("size"),
         place(*ids, F.xxhash64(text)).alias("place"),
     )
     narrow = settle_as_table(narrow, "mix")
-    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    wanted = settle_as_table(targets(sizes, weights, most), "targets")
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    wanted = wanted.withColumn("whole", copies.cast("bigint"))
-    budget = (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget")
-    cuts = thresholds(narrow.select("source", "size", "place"), wanted.select("source", budget))
-    plan = wanted.withColumnRenamed("source", "_wanted").join(cuts, same("_wanted", "_source"), "left")
-    plan = plan.select("_wanted", "source_size", "target", "whole", "prefix", "closed")
-    head = F.substring("place", 1, DIGITS * LEVELS)
-    inside = (head < F.col("prefix")) | (F.col("closed") & (head == F.col("prefix")))
-    more = F.when(F.coalesce(inside, F.lit(False)), 1).otherwise(0)
-    taken = narrow.join(plan, same("source", "_wanted")).withColumn("copies", F.least(F.col("whole") + more, F.lit(most)).cast("bigint"))
-    kept = [renamed.get(c, c) for c in kept]
-    return taken.select(*kept, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    taken = narrow.join(plan(narrow.select("source", "size", "place"), weights, most), same("source", "_wanted"))
+    taken = taken.withColumn("copies", copies(most)).withColumn("taken", F.col("copies") * F.col("size"))
+    return taken.select(*[renamed.get(c, c) for c in kept], "source", *RESULT)
+
+
+def take(
+    rows: DataFrame,
+    ids: Sequence[str] = ("doc_id",),
+    text: str = "text",
+    source: str = "source",
+    weights: Sequence[float] = WEIGHTS,
+    most: int = MOST,
+) -> DataFrame:
+    """The mix itself: every row as often as it is taken, with the columns of `rows`.
+
+    Rows without words weigh nothing in either direction and pass as they are drawn.
+    """
+    key = place(*ids, F.xxhash64(text))
+    narrow = rows.select(F.col(source).alias("source"), size_of(text).alias("size"), key.alias("place"))
+    narrow = settle_as_table(narrow, "mix")
+    held = rows.select(F.struct(*rows.columns).alias("row"), F.col(source).alias("source"), key.alias("place"))
+    drawn = held.join(plan(narrow, weights, most), same("source", "_wanted")).withColumn("copies", copies(most))
+    drawn = drawn.where(F.col("copies") > 0).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return drawn.select("row.*")

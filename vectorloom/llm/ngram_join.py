@@ -426,3 +426,20 @@ def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: S
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("component_id", "id").alias("component_id"),
     )
+
+
+def distinct_documents(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
+    """One document of each component, that with the smallest id; rows with equal id and text count once."""
+    found = join(rows, id_column, text, spec)
+    kept = found.where(F.col(id_column).eqNullSafe(F.col("component_id")))
+    kept = kept.groupBy(F.col(id_column).alias("_kept")).agg(F.count(F.lit(1)).alias("times"), F.max("n_shingles").alias("n"))
+    kept = settle_as_table(kept, "kept")
+    again = (F.col("times") > 1) & (F.col("n") > 0)
+
+    def having(condition: Column) -> DataFrame:
+        ids = kept.where(condition).select("_kept")
+        return rows.join(ids, F.col(id_column).eqNullSafe(F.col("_kept")), "left_semi")
+
+    if kept.where(again).isEmpty():
+        return having(F.lit(True))
+    return having(~again).unionByName(having(again).dropDuplicates([id_column, text]))

@@ -241,3 +241,14 @@ def judge(rows: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, ke
     judged = counted.withColumn("posterior", posterior_column(estimate(counted, rules), rules))
     judged = judged.withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= keep))
+
+
+def good_documents(rows: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, keep: float = KEEP) -> DataFrame:
+    """The rows that `judge` keeps, with their columns.
+
+    The texts are counted twice, for the estimate and for the filter, and are not shuffled or written.
+    """
+    fitted = estimate(with_stats(rows.select(text), text).withColumn("votes", votes(rules)), rules)
+    held = with_stats(rows.select(F.struct(*rows.columns).alias("row"), F.col(text).alias("_counted")), "_counted")
+    held = held.withColumn("votes", votes(rules))
+    return held.where(~base_failed() & (posterior_column(fitted, rules) >= keep)).select("row.*")
