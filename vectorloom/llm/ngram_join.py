@@ -16,7 +16,7 @@ How all links are found without comparing all pairs:
   of classes outside the largest component of each list search, in the third all that are still outside, and
   only in other components. So no link between components is missed, and a group of thousands of near copies
   is not compared pair by pair.
-* Pairs whose sizes or 256-bit parity maps already rule out the threshold are dropped within the join.
+* Pairs whose sizes, places of the n-gram or 256-bit parity maps already rule out the threshold are dropped within the join.
 
 Components are found by label propagation with jumps over the links.
 
@@ -85,23 +85,28 @@ def digest(grams: np.ndarray) -> int:
 
 
 def keyed_sets(rows: DataFrame, id_column: str, text: str, spec: Spec) -> DataFrame:
-    """(id, n, node) per row: the size and the digest of its set; node is null without n-grams."""
+    """(id, n, node, b0..b3) per row: size, digest and parity map of its set; node is null without n-grams."""
     kind = rows.schema[id_column].dataType.simpleString()
     size = spec.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, nodes = [], []
-            for grams in gram_sets(batch.column(1), size):
+            counts, nodes, bits = [], [], np.zeros((batch.num_rows, len(BITS)), np.int64)
+            for k, grams in enumerate(gram_sets(batch.column(1), size)):
                 counts.append(len(grams))
                 nodes.append(digest(grams) if len(grams) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64())], ["id", "n", "node"]
-            )
+                bits[k] = parity(grams)
+            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), *map(pa.array, bits.T.copy())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "node", *BITS])
 
-    return rows.select(F.col(id_column).alias("id"), text_of(text).alias("text")).mapInArrow(
-        run, f"id {kind}, n long, node long"
-    )
+    schema = ", ".join([f"id {kind}, n long, node long", *[f"{b} long" for b in BITS]])
+    return rows.select(F.col(id_column).alias("id"), text_of(text).alias("text")).mapInArrow(run, schema)
+
+
+def parity(grams: np.ndarray) -> np.ndarray:
+    """Per bit of a 256-bit map: whether an odd number of n-grams falls on it."""
+    odd = np.bincount((grams >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def scouted(rows: DataFrame, text: str, spec: Spec) -> DataFrame:
@@ -145,9 +150,9 @@ def ordered(grams: np.ndarray, hot: np.ndarray, count: int) -> tuple[np.ndarray,
 
 
 def postings(rows: DataFrame, text: str, spec: Spec, hot) -> DataFrame:
-    """(gram, salt, node) for the prefix of each row's set; `hot` is a broadcast variable.
+    """(gram, salt, at, node) for the prefix of each row's set; `hot` is a broadcast variable.
 
-    `salt` is 0 for rare n-grams; the postings of a frequent one are spread over 1 to `SALTS`.
+    `at` is the place in the order of the set. `salt` is 0 for rare n-grams; the postings of a frequent one are spread over 1 to `SALTS`.
     """
     size = spec.size
 
@@ -158,7 +163,9 @@ def postings(rows: DataFrame, text: str, spec: Spec, hot) -> DataFrame:
             rare = np.concatenate([np.arange(len(p)) < r for p, r in parts])
             salt = np.where(rare, 0, 1 + (owner & (SALTS - 1))).astype(np.int32)
             grams = np.concatenate([p for p, _ in parts]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(salt), pa.array(owner)], ["gram", "salt", "node"])
+            at = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+            arrays = [pa.array(grams), pa.array(salt), pa.array(at), pa.array(owner)]
+            return pa.RecordBatch.from_arrays(arrays, ["gram", "salt", "at", "node"])
 
         for batch in batches:
             parts, nodes = [], []
@@ -172,24 +179,24 @@ def postings(rows: DataFrame, text: str, spec: Spec, hot) -> DataFrame:
             if parts:
                 yield flush(parts, nodes)
 
-    return rows.select(text_of(text).alias("text")).mapInArrow(run, "gram long, salt int, node long")
+    return rows.select(text_of(text).alias("text")).mapInArrow(run, "gram long, salt int, at int, node long")
 
 
 def shared_lists(lists: DataFrame) -> DataFrame:
-    """(gram, node): the inverted lists that more than one class is in, shuffled once.
+    """(gram, at, node): the inverted lists that more than one class is in, shuffled once.
 
     A rare n-gram's list is in one partition; lists of frequent ones, in many, are kept as they are.
     """
     dealt = lists.repartition("gram", "salt")
     per = dealt.groupBy("gram", "salt").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     per = per.where((F.col("salt") > 0) | (F.col("low") != F.col("high"))).select("gram", "salt")
-    return dealt.join(per, ["gram", "salt"]).select("gram", "node").distinct()
+    return dealt.join(per, ["gram", "salt"]).select("gram", "at", "node").distinct()
 
 
-def mark(node: Column, id_value: Column) -> Column:
-    """Bit of a class and its first id in the map that `set_table` looks into."""
-    crc = F.crc32(F.coalesce(id_value.cast("string"), F.lit("")).cast("binary"))
-    return node.bitwiseXOR(crc).bitwiseAND(F.lit(MAP_BITS - 1))
+def mark(id_column: str) -> Column:
+    """Bit of an id in the map that `set_table` looks into."""
+    crc = F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary"))
+    return crc.bitwiseAND(F.lit(MAP_BITS - 1)).alias("mark")
 
 
 def bit_map(marks: DataFrame) -> np.ndarray:
@@ -202,53 +209,38 @@ def bit_map(marks: DataFrame) -> np.ndarray:
 
 
 def set_table(rows: DataFrame, text: str, spec: Spec, wanted: DataFrame, id_column: str) -> DataFrame:
-    """(node, n, grams, b0..b3) of the classes in `wanted` (node, id), from the rows with these ids.
+    """(node, grams) of the rows whose ids are in `wanted` (id).
 
-    Rows are looked up in a bit map of fixed size, so that no text is shuffled. A few sets too many pass, and
+    Ids are looked up in a bit map of fixed size, so that no text is shuffled. A few sets too many pass, and
     do no harm.
     """
-    size, mask = spec.size, MAP_BITS - 1
-    names = ["node", "n", "grams", *BITS]
-    bits = bit_map(wanted.select(mark(F.col("node"), F.col("id")).alias("mark")))
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    size = spec.size
+    shared = rows.sparkSession.sparkContext.broadcast(bit_map(wanted.select(mark("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[tuple[int, np.ndarray]] = []
-            for crc, grams in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1), size)):
-                if len(grams):
-                    node = digest(grams)
-                    at = (node ^ crc) & mask
-                    if int(shared.value[at >> 6]) >> (at & 63) & 1:
-                        held.append((node, grams))
-            for k in range(0, len(held), 512):
-                part = held[k : k + 512]
-                columns = [
-                    pa.array([node for node, _ in part], pa.int64()),
-                    pa.array([len(grams) for _, grams in part], pa.int64()),
-                    pa.array([grams.tobytes() for _, grams in part], pa.binary()),
-                ]
-                odd = np.array([parity(grams) for _, grams in part], np.int64)
-                yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, odd.T.copy())], names)
+            marks = batch.column(0).to_numpy()
+            batch = batch.filter(pa.array((shared.value[marks >> 6] >> (marks & 63) & 1).astype(bool)))
+            for k in range(0, batch.num_rows, 512):
+                held = [grams for grams in gram_sets(batch.column(1).slice(k, 512), size) if len(grams)]
+                nodes, raw = [digest(grams) for grams in held], [grams.tobytes() for grams in held]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], ["node", "grams"])
 
-    crc = F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary"))
-    texts = rows.select(crc.alias("crc"), text_of(text).alias("text"))
-    return texts.mapInArrow(run, ", ".join(["node long, n long, grams binary", *[f"{b} long" for b in BITS]]))
-
-
-def parity(grams: np.ndarray) -> np.ndarray:
-    """Per bit of a 256-bit map: whether an odd number of n-grams falls on it."""
-    odd = np.bincount((grams >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    texts = rows.select(mark(id_column), text_of(text).alias("text"))
+    return texts.mapInArrow(run, "node long, grams binary")
 
 
 def may_link(spec: Spec) -> Column:
-    """Whether sets of sizes `n` and `hub_n` can link: by size, and by the bits in which their maps differ.
+    """Whether two sets can link: by size, by place, and by the bits in which their parity maps differ.
 
-    Each differing bit takes an n-gram that only one set has, and linking sets have few of those.
+    If the n-gram is the first that both have, what follows it must hold enough for the threshold. Each differing
+    bit takes an n-gram that only one set has, and linking sets have few of those.
     """
     apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"hub_{b}"))) for b in BITS[1:]), F.bit_count(F.col(BITS[0]).bitwiseXOR(F.col(f"hub_{BITS[0]}"))))
     sizes = F.least("n", "hub_n") * spec.den >= F.greatest("n", "hub_n") * spec.num
+    needed = (F.col("n") + F.col("hub_n")) * spec.num
+    for size, at in (("n", "at"), ("hub_n", "hub_at")):
+        sizes = sizes & ((F.col(size) - F.col(at)) * (spec.num + spec.den) >= needed)
     return sizes & (apart * (spec.num + spec.den) <= (F.col("n") + F.col("hub_n")) * (spec.den - spec.num))
 
 
@@ -317,7 +309,7 @@ def search(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
     wanted = sized.select("hub", block.alias("block"), "node")
     blocks = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     wanted = wanted.unionByName(blocks.select("hub", "block", F.col("hub").alias("node")))
-    both = wanted.join(sets.select("node", "grams"), "node").select("hub", "block", "node", "grams")
+    both = wanted.join(sets.dropDuplicates(["node"]), "node").select("hub", "block", "node", "grams")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         hub = group["hub"].iloc[0]
@@ -365,9 +357,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link_lists(lists: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
-    """Components (node, component) from the inverted `lists` (gram, node), with enough links to find all."""
-    lists = lists.join(sets.drop("grams").dropDuplicates(["node"]), "node")
+def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> DataFrame | None:
+    """Components (node, component) from the inverted `lists` (gram, at, node), with enough links to find all.
+
+    `classes` has (node, id, n, b0..b3); `sets_of(ids)` gives the sets (node, grams) of some of them.
+    """
+    lists = lists.join(classes.drop("id"), "node")
     links, known = None, None
     for turn in range(3):
         rows = lists.withColumn("component", F.col("node"))
@@ -377,14 +372,18 @@ def link_lists(lists: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
         heads = heads.select("node").distinct().withColumn("is_hub", F.lit(True))
         rows = rows.join(heads, "node", "left").withColumn("is_hub", F.col("is_hub").isNotNull())
         rows = settle_as_table(rows, "lists")
-        kept = ["node", "n", "component", *BITS]
+        kept = ["node", "n", "at", "component", *BITS]
         hubs = rows.where("is_hub").select("gram", *[F.col(c).alias(f"hub_{c}".replace("hub_node", "hub")) for c in kept])
         other = (F.col("component") != F.col("hub_component")) & (~F.col("is_hub") | (F.col("hub") < F.col("node")))
         same = rows["gram"] == hubs["gram"]
         pairs = rows.join(hubs, same & other & may_link(spec)).select("hub", "node", "n").distinct()
-        found = search(settle_as_table(pairs, "pairs"), sets, spec)
-        links = settle_as_table(found if links is None else links.union(found), "links")
-        known = components(links)
+        pairs = settle_as_table(pairs, "pairs")
+        if not pairs.isEmpty():
+            nodes = pairs.select("node").union(pairs.select("hub")).distinct()
+            sets = settle_as_table(sets_of(classes.join(nodes, "node", "left_semi").select("id")), "sets")
+            found = search(pairs, sets, spec)
+            links = settle_as_table(found if links is None else links.union(found), "links")
+            known = components(links)
         lists = rows.where(~F.col("is_hub")).drop("is_hub", "component")
     return known
 
@@ -409,14 +408,16 @@ def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: S
     """Per row: id, `n_shingles`, `class_id` (smallest id with the same set) and `component_id`."""
     spark: SparkSession = rows.sparkSession
     keys = settle_as_table(keyed_sets(rows, id_column, text, spec), "keys")
-    classes = keys.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
+    least = [F.first(c).alias(c) for c in ("n", *BITS)]
+    classes = keys.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), *least)
     classes = settle_as_table(classes, "classes")
     hot = spark.sparkContext.broadcast(frequent(rows, text, spec))
     lists = settle_as_table(shared_lists(postings(rows, text, spec, hot)), "lists")
-    wanted = classes.join(lists.select("node").distinct(), "node", "left_semi")
-    sets = settle_as_table(set_table(rows, text, spec, wanted, id_column), "sets")
-    found = link_lists(lists, sets, spec)
-    members = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = link_lists(lists, classes, lambda ids: set_table(rows, text, spec, ids, id_column), spec)
+    members = classes.select("node", "id").withColumn("component", F.col("node"))
+    if found is not None:
+        members = classes.select("node", "id").join(found, "node", "left")
+        members = members.withColumn("component", F.coalesce("component", "node"))
     names = members.groupBy("component").agg(F.min("id").alias("component_id"))
     named = members.join(names, "component").select("node", F.col("id").alias("class_id"), "component_id")
     out = keys.join(named, "node", "left")
