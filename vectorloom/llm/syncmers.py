@@ -72,12 +72,14 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
 def fingerprint(anchor_array: Column) -> Column:
     """Sorted distinct anchor hashes, as ints."""
-    return F.sort_array(F.array_distinct(F.transform(anchor_array, lambda a: a.bitwiseAND(F.lit(0xFFFFFFFF)))))
+    low = lambda a: F.shiftright(F.shiftleft(a, 32), 32).cast("int")
+    return F.sort_array(F.array_distinct(F.transform(anchor_array, low)))
 
 
 def written(hashes: Column) -> Column:
     """A fingerprint as text: eight hexadecimal digits per hash."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 8, "0")), "")
+    digits = lambda h: F.lpad(F.hex(h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+    return F.array_join(F.transform(hashes, digits), "")
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -128,18 +130,22 @@ def with_next(rows: DataFrame, order: str, tie: str, carried: list[str], ranges:
     cuts = rows.select(F.percentile_approx(order, shares, 10 * MAX_RANGES).alias("c")).first()["c"]
     part = F.when(F.col(order).isNull(), -1).otherwise(range_of(F.col(order), sorted(set(cuts or []))))
     window = Window.partitionBy("_range").orderBy(F.col(order).asc_nulls_first(), tie)
+    # One lead per column: a struct would be built, and shuffled, beside the columns that it holds.
     placed = rows.withColumn("_range", part).select(
         "*",
-        F.lead(F.struct(*carried)).over(window).alias("next"),
-        F.row_number().over(window).alias("_place"),
+        *[F.lead(c).over(window).alias(f"_next_{c}") for c in carried],
+        F.lead(F.lit(True)).over(window).isNull().alias("_last"),
+        F.lag(F.lit(True)).over(window).isNull().alias("_first"),
     )
-    inner = placed.where(F.col("next").isNotNull())
-    last = placed.where(F.col("next").isNull()).drop("next")
+    kept = [F.col(c) for c in rows.columns]
+    after = F.struct(*[F.col(f"_next_{c}").alias(c) for c in carried]).alias("next")
+    inner = placed.where(~F.col("_last")).select(*kept, after)
+    last = placed.where("_last").select(*kept, "_range")
     by_range = Window.orderBy("_range")
-    firsts = placed.where(F.col("_place") == 1).select("_range", F.struct(*carried).alias("next"))
+    firsts = placed.where("_first").select("_range", F.struct(*carried).alias("next"))
     before = F.coalesce(F.lag("_range").over(by_range), F.max("_range").over(Window.partitionBy()))
     joined = last.join(firsts.select(before.alias("_range"), "next"), "_range")
-    return inner.unionByName(joined).drop("_range", "_place")
+    return inner.unionByName(joined.drop("_range"))
 
 
 def edited(text: Column, other: Column) -> Column:
