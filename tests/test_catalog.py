@@ -4,6 +4,7 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as contract
+from vectorloom.plans import ORACLES, QUERIES
 
 ROWS_ONLY = {
     "file_listing": ["class_name", "file_name", "length"],
@@ -23,7 +24,7 @@ def tables(folder):
     return duck(folder)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, folder, tables, name):
     got = contract.queries()[name](spark, folder).toPandas()
     wanted = tables.sql(contract.oracle_sql()[name]).df()
@@ -40,8 +41,9 @@ def test_query_runs(spark, folder, name):
 
 
 def test_every_query_is_listed():
-    assert set(contract.queries()) == set(contract.oracle_sql()) | set(ROWS_ONLY)
-    assert not set(contract.oracle_sql()) & set(ROWS_ONLY)
+    assert set(QUERIES) == set(ORACLES) | set(ROWS_ONLY)
+    assert not set(ORACLES) & set(ROWS_ONLY)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):

@@ -16,7 +16,8 @@ def parent_dir(path: Column) -> Column:
 def split_of(row_id: Column) -> Column:
     """Deterministic 70/20/10 split by id: `train`, `test`, `validation`."""
     bucket = F.pmod(row_id, F.lit(10))
-    return F.when(bucket <= 6, "train").when(bucket <= 8, "test").otherwise("validation")
+    named = F.when(bucket <= 6, "train").when(bucket <= 8, "test").when(bucket == 9, "validation")
+    return F.coalesce(named, F.raise_error(F.lit("a row without an id belongs to no split")).cast("string"))
 
 
 def fold_of(row_id: Column, folds: int = 3) -> Column:
@@ -33,10 +34,17 @@ def hours(seconds: Column) -> Column:
 
 
 def iso_shifted(instant: Column, offset_hours: int = -5) -> Column:
-    """ISO text of an instant moved by whole hours; the text carries the offset it was moved by."""
-    moved = instant + F.make_dt_interval(hours=F.lit(offset_hours))
-    text = F.date_format(moved, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(text, F.lit(f"{offset_hours:+03d}:00"))
+    """ISO text of an instant moved by whole hours; the text carries the offset it was moved by.
+
+    The session's time zone does not matter. A timestamp without a zone is taken as UTC.
+    """
+    plain = instant.cast("timestamp_ntz")
+    at_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), plain)
+    at_utc = F.when(F.typeof(instant) == "timestamp_ntz", plain).otherwise(at_utc)
+    text = (at_utc + F.make_dt_interval(hours=F.lit(offset_hours))).cast("string")
+    seconds = F.translate(F.substring(text, 1, 19), " ", "T")
+    fraction = F.rpad(F.substring(text, 21, 6), 6, "0")
+    return F.concat(seconds, F.lit("."), fraction, F.lit(f"{offset_hours:+03d}:00"))
 
 
 def percent_text(share: Column) -> Column:

@@ -37,17 +37,16 @@ def arg_max(values: Column) -> Column:
 
 
 def one_hot_index(index: Column, classes: int) -> Column:
-    """`array<bigint>` with a one at `index`."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: (i == index).cast("bigint")
-    )
+    """`array<bigint>` with a one at `index`; null for a null index, an error for one out of range."""
+    row = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda i: (i == index).cast("bigint"))
+    problem = F.concat(F.lit(f"index outside 0..{classes - 1}: "), index.cast("string"))
+    return F.when(index.between(0, classes - 1), row).when(index.isNotNull(), F.raise_error(problem).cast("array<bigint>"))
 
 
 def one_hot_name(name: Column, classes: Sequence[str]) -> Column:
-    """`array<bigint>` with a one where the class name matches."""
-    return F.transform(
-        F.array(*[F.lit(c) for c in classes]), lambda c: (c == name).cast("bigint")
-    )
+    """`array<bigint>` with a one where the class name matches; null for a null name."""
+    row = F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: (c == name).cast("bigint"))
+    return F.when(name.isNotNull(), row)
 
 
 def with_one_hot(features: Column, one_hot: Column) -> Column:
@@ -66,10 +65,10 @@ def pick_columns(row: Column, indices: Sequence[int]) -> Column:
 
 
 def softmax(row: Column) -> Column:
-    """Row-wise class probabilities of a score row."""
-    powers = F.transform(row, lambda v: F.exp(v.cast("double")))
+    """Row-wise class probabilities of a score row; the largest score is subtracted, so none overflows."""
+    powers = lambda top: F.transform(row, lambda v: F.exp(v.cast("double") - top))
     return _let(
-        powers,
+        _let(F.array_max(row).cast("double"), powers),
         lambda e: _let(
             F.aggregate(e, F.lit(0.0), lambda total, v: total + v),
             lambda total: F.transform(e, lambda v: v / total),

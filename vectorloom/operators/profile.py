@@ -91,9 +91,12 @@ def class_histogram(
 
     Each class has its own value range unless `common_range` is set. The last bin is closed; a
     constant column gets a range of width one around its value. Bins without rows are listed with
-    zero. Ranges are one row per column and class.
+    zero. Ranges are one row per column and class. NaN and infinity have no bin and are an error.
     """
     values = chosen_columns(rows, features, positions, [label])
+    odd = F.isnan("value") | (F.abs("value") == float("inf"))
+    problem = F.raise_error(F.lit("a histogram takes finite numbers only")).cast("double")
+    values = values.withColumn("value", F.when(odd, problem).otherwise(F.col("value")))
     groups = ["pos"] if common_range else ["pos", label]
     limits = values.groupBy(*groups).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     flat = F.col("lo") == F.col("hi")

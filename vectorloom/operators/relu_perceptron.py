@@ -197,7 +197,10 @@ def dense_rows(values: pa.Array, width: int) -> np.ndarray:
     flat = values.flatten()
     if values.null_count or flat.null_count or len(flat) != len(values) * width:
         raise ValueError(f"every feature row must hold {width} non-null numbers")
-    return flat.to_numpy(zero_copy_only=False).reshape(len(values), width)
+    rows = flat.to_numpy(zero_copy_only=False).reshape(len(values), width)
+    if not np.isfinite(rows).all():
+        raise ValueError("feature rows must hold finite numbers")
+    return rows
 
 
 def _pack(width: int, classes: int, batches_per_pass: int, item: str) -> Callable:
@@ -612,6 +615,13 @@ class _SharedFits:
             return self.ready.pop(0)
 
 
+def whole_label(label: Column) -> Column:
+    """The label as an int; an error if that changes its value."""
+    whole = label.cast("int")
+    problem = F.concat(F.lit("labels must be whole numbers, found "), label.cast("string"))
+    return F.when(whole == label, whole).otherwise(F.raise_error(problem).cast("int"))
+
+
 def _slotted(dataset: DataFrame, settings: ReluPerceptronClassifier, batches: int) -> DataFrame:
     """Rows with a mini-batch number and a stable key."""
     unique = settings._optional(settings.idCol)
@@ -620,7 +630,7 @@ def _slotted(dataset: DataFrame, settings: ReluPerceptronClassifier, batches: in
     key = F.xxhash64(F.col(unique), seed) if unique else F.monotonically_increasing_id()
     marked = dataset.select(
         key.alias("key"),
-        F.col(settings.getLabelCol()).cast("int").alias("label"),
+        whole_label(F.col(settings.getLabelCol())).alias("label"),
         settings._feature_array(dataset).alias("features"),
         (
             F.col(settings.getValidationIndicatorCol())
@@ -728,6 +738,9 @@ def _train(
     dataset: DataFrame, estimators: list[ReluPerceptronClassifier]
 ) -> list[ReluPerceptronModel]:
     lead = estimators[0]
+    held_out = lead._optional(lead.validationIndicatorCol)
+    if (dataset.where(~F.col(held_out)) if held_out else dataset).isEmpty():
+        raise ValueError("there are no training rows")
     blocks = _blocks(dataset, lead)
     try:
         runs = [_start(e, blocks.validated) for e in estimators]
@@ -756,8 +769,6 @@ def _train(
                     break
             if not active:
                 break
-            if epoch == 0 and steps >= blocks.batches and not active[0].open.rows:
-                raise ValueError("there are no training rows")
             last = any(epoch + 1 == r.estimator.getMaxIter() for r in active)
             if blocks.validated and not last:
                 waiting = active

@@ -122,6 +122,10 @@ class _NpyReader(DataSourceReader):
 
     def _batch(self, inner: str, low: int, rows: np.ndarray) -> pa.RecordBatch:
         count, width = rows.shape
+        if rows.dtype.kind in "iu" and rows.size:
+            limit = 2**63 - 1 if self.element is np.int64 else 2**53
+            if int(rows.max()) > limit or int(rows.min()) < -limit - 1:
+                raise ValueError(f"{inner} holds whole numbers that {np.dtype(self.element)} cannot keep")
         values = pa.array(np.ascontiguousarray(rows, dtype=self.element).ravel())
         offsets = pa.array(np.arange(count + 1, dtype=np.int32) * width)
         return pa.RecordBatch.from_arrays(
@@ -137,8 +141,9 @@ class _NpyReader(DataSourceReader):
 class NpyMatrixSource(DataSource):
     """`spark.read.format("npy").load(path)` → `path`, `row_index`, `features`.
 
-    `path` is a file or a folder of `.npy` files. Elements are `float` when the first file holds
-    single (or half) precision numbers and `double` otherwise. Option `splitBytes` sets the range
+    `path` is a file or a folder of `.npy` files. Elements are `float` if all files hold
+    single (or half) precision numbers, `long` if all hold whole numbers, and `double` otherwise; files of
+    different width are an error. Option `splitBytes` sets the range
     size.
     """
 
@@ -147,16 +152,25 @@ class NpyMatrixSource(DataSource):
         return "npy"
 
     def _element(self) -> type:
+        """The narrowest of float, long and double that holds the elements of every file."""
         files = _list_npy(self.options["path"])
         if not files:
             raise FileNotFoundError(f"no .npy file below {self.options['path']}")
         filesystem, _ = _open_filesystem(self.options["path"])
-        with filesystem.open_input_file(files[0][0]) as stream:
-            dtype = _read_header(stream).dtype
-        return np.float32 if dtype.kind == "f" and dtype.itemsize <= 4 else np.float64
+        headers = []
+        for inner, _ in files:
+            with filesystem.open_input_file(inner) as stream:
+                headers.append(_read_header(stream))
+        widths = {h.width for h in headers}
+        if len(widths) > 1:
+            raise ValueError(f"files of different width: {sorted(widths)}")
+        kinds = {h.dtype.kind for h in headers}
+        if kinds <= set("iub"):
+            return np.int64
+        return np.float32 if kinds == {"f"} and max(h.dtype.itemsize for h in headers) <= 4 else np.float64
 
     def schema(self) -> StructType:
-        element = FloatType() if self._element() is np.float32 else DoubleType()
+        element = {np.float32: FloatType(), np.int64: LongType(), np.float64: DoubleType()}[self._element()]
         return StructType(
             [
                 StructField("path", StringType()),
@@ -170,7 +184,7 @@ class NpyMatrixSource(DataSource):
         return _NpyReader(
             self.options["path"],
             int(self.options.get("splitBytes", SPLIT_BYTES)),
-            np.float32 if isinstance(element, FloatType) else np.float64,
+            {FloatType: np.float32, LongType: np.int64}.get(type(element), np.float64),
         )
 
 

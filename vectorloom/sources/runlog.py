@@ -111,7 +111,7 @@ def import_array_log(spark: SparkSession, path: str, shift_hours: int = 0) -> Da
 
     Older writers moved the clock by five hours and still marked it as UTC; `shift_hours=5` undoes
     that. `accuracy` was written as a number by some runs and as a list by others; both are kept. A file
-    that does not parse yields one row with its text in `_corrupt_record`.
+    that does not parse yields one row with its text in `_corrupt_record`; so does a record whose time does not.
     """
     schema = StructType(
         [StructField(k, _TYPES[t]) for k, t in ARRAY_LOG_FIELDS.items()] + [StructField(_BAD, StringType())]
@@ -129,10 +129,12 @@ def import_array_log(spark: SparkSession, path: str, shift_hours: int = 0) -> Da
         raise
     seconds = F.col("tiempo_ejecucion")
     is_list = F.col("accuracy").startswith("[")
+    instant = F.try_to_timestamp("timestamp")
+    unread = F.when(instant.isNull(), F.concat(F.lit("timestamp: "), F.col("timestamp")))
     return raw.select(
         F.col("Tipo Ejecucion").alias("mode"),
         F.col("Metodo").alias("method"),
-        (F.to_timestamp("timestamp") + F.make_dt_interval(hours=F.lit(shift_hours))).alias("started_at"),
+        (instant + F.make_dt_interval(hours=F.lit(shift_hours))).alias("started_at"),
         F.col("Epochs").alias("epochs"),
         F.col("Steps_per_epoch").alias("steps_per_epoch"),
         seconds.alias("elapsed_seconds"),
@@ -142,7 +144,7 @@ def import_array_log(spark: SparkSession, path: str, shift_hours: int = 0) -> Da
         F.coalesce("parallelism", "paralelism").alias("parallelism"),
         F.when(~is_list, F.col("accuracy").try_cast("double")).alias("accuracy"),
         F.when(is_list, F.from_json("accuracy", "array<double>")).alias("accuracy_history"),
-        _BAD,
+        F.coalesce(F.col(_BAD), unread).alias(_BAD),
     )
 
 
