@@ -112,7 +112,7 @@ def test_toxicity_learns_word_forms(toxic_model):
     clean = [" ".join(f"w{i}" for i in rng.integers(0, 300, 200)) for _ in range(30)]
     foul = [t.replace(t.split()[100], f"zork{k + 50} zork{k + 90}", 1) for k, t in enumerate(clean)]
     low, high = (toxic_model.scores(pa.array(x)) for x in (clean, foul))
-    assert (high >= 0.3).mean() > 0.8 and (low < 0.3).mean() > 0.8
+    assert (high[:, None] > low).mean() > 0.9
 
 
 def test_toxicity_windows_and_gradient():

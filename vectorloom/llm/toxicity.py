@@ -30,7 +30,8 @@ TRIGRAM_ROWS = 1 << 13
 DROPOUT = 0.2  # of the input numbers, while learning
 DECAY = 1e-3
 WORD_SIZE, TRIGRAM_SIZE, HIDDEN, ATTENTION = 8, 16, 12, 8
-WARM, EPOCHS, BATCH, RATE = 4, 12, 32, 0.005  # the first epochs take random windows
+EPOCHS, LEAST_STEPS, BATCH, RATE = 12, 700, 32, 0.005
+WARM = 3  # the first epochs, one in so many, take random windows
 THRESHOLD = 0.3
 CHUNK_BYTES = 1 << 20
 WINDOWS_AT_ONCE = 4096
@@ -243,16 +244,17 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> M
     rng = np.random.default_rng(seed)
     used = ~held[words.owner]
     share = labels[~held].mean()
-    step = 0
+    step, per_epoch = 0, max(1, 2 * int((~held).sum()) // BATCH)
+    epochs = max(epochs, -(-LEAST_STEPS // per_epoch))
     for epoch in range(epochs):
         inputs = word_inputs(w, words)
         score = np.concatenate([logits(w, words, words.windows[k : k + WINDOWS_AT_ONCE], inputs) for k in range(0, len(words.windows), WINDOWS_AT_ONCE)])
-        if epoch < WARM:
+        if epoch < epochs // WARM:
             score = rng.random(len(score))
         by_text = np.lexsort((-score, words.owner))
         rank = np.arange(len(by_text)) - np.searchsorted(words.owner[by_text], words.owner[by_text])
         label = labels[words.owner[by_text]]
-        chosen = by_text[used[by_text] & (rank < (4 if epoch < WARM else np.where(label == 1, 1, 3)))]
+        chosen = by_text[used[by_text] & (rank < (4 if epoch < epochs // WARM else np.where(label == 1, 1, 3)))]
         chosen = rng.permutation(chosen)
         for k in range(0, len(chosen), BATCH):
             part = chosen[k : k + BATCH]
