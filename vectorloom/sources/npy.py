@@ -142,7 +142,7 @@ class NpyMatrixSource(DataSource):
     """`spark.read.format("npy").load(path)` → `path`, `row_index`, `features`.
 
     `path` is a file or a folder of `.npy` files. Elements are `float` if all files hold
-    single (or half) precision numbers, `long` if all hold whole numbers, and `double` otherwise; files of
+    single (or half) precision numbers, `long` if all hold whole numbers and some of them 64-bit ones, and `double` otherwise; files of
     different width are an error. Option `splitBytes` sets the range
     size.
     """
@@ -165,8 +165,8 @@ class NpyMatrixSource(DataSource):
         if len(widths) > 1:
             raise ValueError(f"files of different width: {sorted(widths)}")
         kinds = {h.dtype.kind for h in headers}
-        if kinds <= set("iub"):
-            return np.int64
+        if kinds <= set("iub") and max(h.dtype.itemsize for h in headers) == 8:
+            return np.int64  # double would round them
         return np.float32 if kinds == {"f"} and max(h.dtype.itemsize for h in headers) <= 4 else np.float64
 
     def schema(self) -> StructType:
