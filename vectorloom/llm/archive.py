@@ -84,16 +84,17 @@ class ZipReader:
         """Where the central directory begins, its bytes and its entries."""
         tail_size = min(self.size, calcsize(END) + FULL16)
         tail = self.fetch(self.size - tail_size, tail_size)
-        at = tail.rfind(b"PK\x05\x06")
+        mark = b"PK\x05\x06"
+        at = tail.rfind(mark, 0, max(0, len(tail) - calcsize(END) + len(mark)))
         while at >= 0 and at + calcsize(END) + struct.unpack_from(END, tail, at)[7] != len(tail):
-            at = tail.rfind(b"PK\x05\x06", 0, at)
+            at = tail.rfind(mark, 0, at + len(mark) - 1)
         if at < 0:
             raise ValueError("no end record: not a ZIP file, or a cut one")
         _, _, _, _, entries, size, start, _ = struct.unpack_from(END, tail, at)
         if entries == FULL16 or FULL32 in (size, start):
             where = self.size - tail_size + at - calcsize(LOCATOR64)
-            mark, _, end64, _ = struct.unpack(LOCATOR64, self.fetch(where, calcsize(LOCATOR64)))
-            if mark != b"PK\x06\x07":
+            found, _, end64, _ = struct.unpack(LOCATOR64, self.fetch(where, calcsize(LOCATOR64)))
+            if found != b"PK\x06\x07":
                 raise ValueError("a field overflows, but there is no ZIP64 locator")
             fields = struct.unpack(END64, self.fetch(end64, calcsize(END64)))
             if fields[0] != b"PK\x06\x06":
