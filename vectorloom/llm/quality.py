@@ -225,13 +225,11 @@ def estimate(voted: DataFrame, rules: Sequence[Rule] = RULES) -> Estimate:
 
 
 def posterior_column(fitted: Estimate, rules: Sequence[Rule] = RULES) -> Column:
-    """Posterior probability of `votes`, as an expression."""
+    """Posterior probability of a document by its counts, as an expression."""
     log_odds = np.log(fitted.on_good / fitted.on_bad)
     total = F.lit(float(np.log(fitted.share / (1 - fitted.share))))
-    for i in range(len(rules)):
-        vote = F.substring("votes", i + 1, 1)
-        good, bad, none = (float(x) for x in log_odds[i])
-        total = total + F.when(vote == "g", good).when(vote == "b", bad).otherwise(none)
+    for rule, (good, bad, none) in zip(rules, log_odds.tolist()):
+        total = total + F.when(F.expr(rule.bad), bad).when(F.expr(rule.good), good).otherwise(none)
     return 1 / (1 + F.exp(-total))
 
 
@@ -250,5 +248,4 @@ def good_documents(rows: DataFrame, text: str = "text", rules: Sequence[Rule] =
     """
     fitted = estimate(with_stats(rows.select(text), text).withColumn("votes", votes(rules)), rules)
     held = with_stats(rows.select(F.struct(*rows.columns).alias("row"), F.col(text).alias("_counted")), "_counted")
-    held = held.withColumn("votes", votes(rules))
     return held.where(~base_failed() & (posterior_column(fitted, rules) >= keep)).select("row.*")
