@@ -18,7 +18,7 @@ How all links are found without comparing all pairs:
   is not compared pair by pair.
 * Pairs whose sizes, places of the n-gram or 256-bit parity maps already rule out the threshold are dropped within the join.
 
-Components are found by label propagation with jumps over the links.
+Components are found by hooking each class to its smallest neighbour and contracting the links.
 
 Defined results: a null text has no n-grams; sets without n-grams link with nothing; rows with equal
 ids are kept each, and the smallest id of a component names it; rows with a null id are kept, and name their
@@ -333,28 +333,41 @@ def search(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
 # ---- components ----------------------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of `links` (left, right): the smallest node that each one reaches.
+def renamed(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """`rows` with the values of `column` replaced as `names` (root, parent) says, where it says so."""
+    found = rows.join(names, rows[column] == names["root"], "left")
+    return found.withColumn(column, F.coalesce("parent", column)).drop("root", "parent")
 
-    Every node takes the smallest label among its neighbours and then that label's own label, until no
-    label changes.
+
+def components(links: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(node, component) after adding `links` (left, right) to the `known` components; the smallest node names one.
+
+    Each vertex goes to its smallest neighbour, chains are followed to their ends, and links are contracted
+    with it, so that a dense group costs its links once.
     """
-    edges = links.select("left", "right").union(links.select("right", "left")).distinct()
-    edges = settle_as_table(edges, "edges")
-    labels = edges.groupBy(F.col("left").alias("node")).agg(F.least("node", F.min("right")).alias("component"))
-    labels = settle_as_table(labels, "labels")
+    ends = links.select(F.col("left").alias("node")).union(links.select("right")).distinct()
+    nodes = ends.withColumn("component", F.col("node"))
+    edges = links.select("left", "right")
+    if known is not None:
+        old = known.select(F.col("node").alias("root"), F.col("component").alias("parent"))
+        edges = renamed(renamed(edges, "left", old), "right", old)
+        nodes = known.union(nodes.join(known, "node", "left_anti"))
+    nodes = settle_as_table(nodes, "nodes")
     while True:
-        near = edges.join(labels.select(F.col("node").alias("right"), "component"), "right")
-        near = near.groupBy(F.col("left").alias("node")).agg(F.min("component").alias("least"))
-        stepped = labels.join(near, "node").select("node", "component", F.least("component", "least").alias("least"))
-        jump = labels.select(F.col("node").alias("least"), F.col("component").alias("beyond"))
-        moved = stepped.join(jump, "least", "left").select(
-            "node", F.coalesce(F.least("least", "beyond"), "least").alias("component"), F.col("component").alias("old")
-        )
-        moved = settle_as_table(moved, "labels")
-        labels = moved.drop("old")
-        if moved.where(F.col("component") != F.col("old")).isEmpty():
-            return labels
+        edges = settle_as_table(edges.where(F.col("left") != F.col("right")).distinct(), "edges")
+        if edges.isEmpty():
+            return nodes
+        both = edges.union(edges.select("right", "left")).groupBy(F.col("left").alias("root"))
+        hooks = settle_as_table(both.agg(F.least("root", F.min("right")).alias("parent")), "hooks")
+        while True:
+            above = hooks.select(F.col("root").alias("parent"), F.col("parent").alias("beyond"))
+            jumped = hooks.join(above, "parent").select("root", F.col("beyond").alias("parent"), F.col("parent").alias("old"))
+            jumped = settle_as_table(jumped, "hooks")
+            hooks = jumped.drop("old")
+            if jumped.where(F.col("parent") != F.col("old")).isEmpty():
+                break
+        nodes = settle_as_table(renamed(nodes, "component", hooks), "nodes")
+        edges = renamed(renamed(edges, "left", hooks), "right", hooks)
 
 
 def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> DataFrame | None:
@@ -363,7 +376,7 @@ def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> Dat
     `classes` has (node, id, n, b0..b3); `sets_of(ids)` gives the sets (node, grams) of some of them.
     """
     lists = lists.join(classes.drop("id"), "node")
-    links, known = None, None
+    known = None
     for turn in range(3):
         rows = lists.withColumn("component", F.col("node"))
         if known is not None:
@@ -381,9 +394,7 @@ def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> Dat
         if not pairs.isEmpty():
             nodes = pairs.select("node").union(pairs.select("hub")).distinct()
             sets = settle_as_table(sets_of(classes.join(nodes, "node", "left_semi").select("id")), "sets")
-            found = search(pairs, sets, spec)
-            links = settle_as_table(found if links is None else links.union(found), "links")
-            known = components(links)
+            known = components(settle_as_table(search(pairs, sets, spec), "links"), known)
         lists = rows.where(~F.col("is_hub")).drop("is_hub", "component")
     return known
 
