@@ -98,7 +98,7 @@ def toxic_model():
     rng = np.random.default_rng(0)
     draw = lambda n: [f"w{i}" for i in rng.integers(0, 300, n)]
     rows = []
-    for k in range(160):
+    for k in range(400):
         text = draw(60)
         if k % 2:
             for at in rng.integers(0, 60, 3):
