@@ -151,6 +151,41 @@ def test_stages(spark, folder):
     assert len(clean) == len(odd.TEXTS) and not any("AKIA" in (r["text"] or "") for r in clean)
 
 
+def test_one_row_of_each_group(spark):
+    base = [f"b{i}" for i in range(60)]
+    near = lambda k: " ".join([*base, f"end{k}"])
+    other = lambda k: " ".join([*[f"o{i}" for i in range(60)], f"end{k}"])
+    alone = " ".join(f"a{i}" for i in range(30))
+    rows = [
+        *[(None, other(k)) for k in range(4)],  # a group without any id
+        (5, near(0)), (9, near(1)), (None, near(2)), (None, near(2)),  # copies without id of a numbered document
+        (9, alone), (9, alone), (5, near(3)),  # ids with several texts
+        (None, None), (None, ""), (9, " "),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in ngram_join.distinct_documents(docs, spec=corpus_pipeline.NEAR).collect()]
+    assert Counter(key for key, _ in got) == Counter([None, 5, 9, None, None, 9])
+    assert sum(text in {other(k) for k in range(4)} for _, text in got) == 1
+    assert [key for key, text in got if (text or "").startswith("b0 ")] == [5]
+    assert got.count((9, alone)) == 1 and len(set(got)) == len(got)
+
+
+def test_pipeline_keeps_every_copy(spark, folder):
+    docs = corpus_pipeline.documents(spark, folder)
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.settle_as_table(stage(spark, docs, folder), "test-stage")
+    good = {r["doc_id"] for r in QUERIES["op9_quality_rules"](spark, folder).where("kept").collect()}
+    texts = [(r["doc_id"], r["text"]) for r in corpus_pipeline.documents(spark, folder).collect() if r["doc_id"] in good]
+    single = {key for (key, _), (_, _, home) in zip(texts, brute_components(texts, corpus_pipeline.NEAR)) if key == home}
+    assert Counter(r["doc_id"] for r in docs.collect()) == Counter(single)
+    taken = Counter({r["doc_id"]: r["copies"] for r in corpus_pipeline.mixing.mix(docs).collect() if r["copies"]})
+    covered, tokens = Counter(), {}
+    for p in corpus_pipeline.run(spark, folder).collect():
+        covered[p["doc_id"]] += p["length"]
+        tokens[p["doc_id"]] = p["doc_tokens"]
+    assert {key: n / tokens[key] for key, n in covered.items()} == taken
+
+
 def test_pipeline(spark, folder):
     pieces = corpus_pipeline.run(spark, folder).collect()
     quality = QUERIES["op9_quality_rules"](spark, folder)

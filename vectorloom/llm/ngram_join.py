@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm.text import chunks, lowered, span_hashes, text_of, window_hashes, word_bounds
+from vectorloom.llm.text import WORD, chunks, lowered, span_hashes, text_of, window_hashes, word_bounds
 from vectorloom.operators.sizing import settle_as_table
 
 HOT = 16  # an n-gram in so many rows is frequent; raised until the frequent ones fit `MAX_HOT`
@@ -85,22 +85,23 @@ def digest(grams: np.ndarray) -> int:
 
 
 def keyed_sets(rows: DataFrame, id_column: str, text: str, spec: Spec) -> DataFrame:
-    """(id, n, node, b0..b3) per row: size, digest and parity map of its set; node is null without n-grams."""
+    """(id, mark, n, node, b0..b3) per row: hash of the text, size, digest and parity map of its set; node is null without n-grams."""
     kind = rows.schema[id_column].dataType.simpleString()
     size = spec.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, nodes, bits = [], [], np.zeros((batch.num_rows, len(BITS)), np.int64)
-            for k, grams in enumerate(gram_sets(batch.column(1), size)):
+            for k, grams in enumerate(gram_sets(batch.column(2), size)):
                 counts.append(len(grams))
                 nodes.append(digest(grams) if len(grams) else None)
                 bits[k] = parity(grams)
-            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), *map(pa.array, bits.T.copy())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "node", *BITS])
+            arrays = [*batch.columns[:2], pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), *map(pa.array, bits.T.copy())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "mark", "n", "node", *BITS])
 
-    schema = ", ".join([f"id {kind}, n long, node long", *[f"{b} long" for b in BITS]])
-    return rows.select(F.col(id_column).alias("id"), text_of(text).alias("text")).mapInArrow(run, schema)
+    schema = ", ".join([f"id {kind}, mark long, n long, node long", *[f"{b} long" for b in BITS]])
+    texts = rows.select(F.col(id_column).alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
+    return texts.mapInArrow(run, schema)
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
@@ -415,8 +416,8 @@ def open_rows(rows: DataFrame, last: bool) -> DataFrame:
     return outside.where(F.col("outside") <= SHORT_LIST).select("node").union(chosen.select("node"))
 
 
-def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
-    """Per row: id, `n_shingles`, `class_id` (smallest id with the same set) and `component_id`."""
+def labelled(rows: DataFrame, id_column: str, text: str, spec: Spec) -> DataFrame:
+    """Per row: id, mark, n, node, and of rows with n-grams class_id, component (its smallest node) and component_id."""
     spark: SparkSession = rows.sparkSession
     keys = settle_as_table(keyed_sets(rows, id_column, text, spec), "keys")
     least = [F.first(c).alias(c) for c in ("n", *BITS)]
@@ -430,9 +431,13 @@ def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: S
         members = classes.select("node", "id").join(found, "node", "left")
         members = members.withColumn("component", F.coalesce("component", "node"))
     names = members.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = members.join(names, "component").select("node", F.col("id").alias("class_id"), "component_id")
-    out = keys.join(named, "node", "left")
-    return out.select(
+    named = members.join(names, "component").select("node", F.col("id").alias("class_id"), "component", "component_id")
+    return keys.drop(*BITS).join(named, "node", "left")
+
+
+def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
+    """Per row: id, `n_shingles`, `class_id` (smallest id with the same set) and `component_id`."""
+    return labelled(rows, id_column, text, spec).select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
         F.coalesce("class_id", "id").alias("class_id"),
@@ -441,17 +446,23 @@ def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: S
 
 
 def distinct_documents(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
-    """One document of each component, that with the smallest id; rows with equal id and text count once."""
-    found = join(rows, id_column, text, spec)
-    kept = found.where(F.col(id_column).eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy(F.col(id_column).alias("_kept")).agg(F.count(F.lit(1)).alias("times"), F.max("n_shingles").alias("n"))
-    kept = settle_as_table(kept, "kept")
-    again = (F.col("times") > 1) & (F.col("n") > 0)
+    """One row of each component: of those with the smallest id (null is the largest), that with the smallest hash of the text.
+
+    Rows without n-grams link with nothing and stay. Id and hash of the text find the row again; rows equal in both are exact copies.
+    """
+    found = labelled(rows, id_column, text, spec).where(F.col("node").isNotNull())
+    copies = found.groupBy("component", "id", "mark").agg(F.count(F.lit(1)).alias("times"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark", "times")).alias("first")
+    kept = settle_as_table(copies.groupBy("component").agg(first).select("first.id", "first.mark", "first.times"), "kept")
+    has_words = text_of(text).rlike(WORD)
 
     def having(condition: Column) -> DataFrame:
-        ids = kept.where(condition).select("_kept")
-        return rows.join(ids, F.col(id_column).eqNullSafe(F.col("_kept")), "left_semi")
+        ids = kept.where(condition).select(F.col("id").alias("_kept"), F.col("mark").alias("_mark"))
+        same = F.col(id_column).eqNullSafe(F.col("_kept")) & (F.xxhash64(text_of(text)) == F.col("_mark"))
+        return rows.where(has_words).join(ids, same, "left_semi")
 
+    out = having(F.col("times") == 1).unionByName(rows.where(~has_words))
+    again = F.col("times") > 1
     if kept.where(again).isEmpty():
-        return having(F.lit(True))
-    return having(~again).unionByName(having(again).dropDuplicates([id_column, text]))
+        return out
+    return out.unionByName(having(again).dropDuplicates([id_column, text]))
