@@ -164,6 +164,30 @@ def test_lm_scores_each_token_once():
     assert np.allclose(mass[mass > 0], 1)
 
 
+def test_lm_learns_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SAMPLE_DOCS", 2)
+    monkeypatch.setattr(lm_score.sample, "__defaults__", (2,))
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(100, 300, 80) for _ in range(40)]
+    for k, ids in enumerate(texts):
+        ids[10:14] = [50, 1000 + k, 51, 7] if k % 2 else [7, 2000 + k, 52, 50]  # ids that occur once
+    learned = spark.createDataFrame([(bytearray(t.astype("<u2").tobytes()),) for t in texts], "ids binary").repartition(5)
+    model = lm_score.learn(learned, 49408)
+    counts = np.bincount(np.concatenate(texts), minlength=49408)
+    counts[lm_score.END] += len(texts)
+    for one in range(49408):
+        if counts[one] and one != lm_score.END:
+            same = model.class_of == model.class_of[one]
+            chance = (counts[one] + lm_score.SMOOTHING) / (counts[same].sum() + lm_score.SMOOTHING * same.sum())
+            assert model.within[one] == pytest.approx(np.log(chance))
+    once = [1000 + k if k % 2 else 2000 + k for k in range(40)]
+    assert (model.class_of[once] != lm_score.CLASSES - 2).all() and len(set(model.row_of[once])) == 40
+    assert set(model.class_of[once[::2]]).isdisjoint(model.class_of[once[1::2]])
+    begun = lm_score.start_weights(49408)["input"]
+    assert (model.weights["input"][once] != begun[once]).any(axis=1).all()
+    assert (model.weights["input"][3000] == begun[3000]).all()
+
+
 def test_base_scores(spark):
     rows = odd.frame(spark)
     training = rows.where("doc_id is null or doc_id % 3 <> 0")

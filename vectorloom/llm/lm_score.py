@@ -1,9 +1,12 @@
 """Language-model scores of whole texts: a causal self-attention model on subword ids, and word counts.
 
-The model is one attention layer over windows of `WINDOW` ids, trained in numpy on a bounded sample. It
-gives the class of the next id (ids are clustered by their neighbours), and the id within its class follows
-from the sample's counts. Windows overlap: the first scores all its places, every further one those that
-no window has scored, so each token is scored once, with `WINDOW - STRIDE` tokens of context at least.
+The model is one attention layer over windows of `WINDOW` ids. It gives the class of the next id, and the id
+within its class follows from its count. Everything is learned from all training documents: ids are counted
+and clustered by their neighbours over the whole corpus, and the weights, started on the driver with a bounded
+sample, take steps over every window of every task's documents and are averaged over the tasks, an input
+vector by how often the task saw its id. Windows overlap: the first scores all its places, every further one
+those that no window has scored, so each token is scored once, with `WINDOW - STRIDE` tokens of context at
+least. The score depends on how the documents lie in tasks as far as the averaged weights do.
 
 Beside it stands a smoothed unigram score of words over the counts of all training documents. Counts are
 summed in Spark; the most frequent words, a bounded number, are broadcast, and the others of a document
@@ -23,20 +26,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm import subwords
 from vectorloom.llm.text import chunks, lowered, span_hashes, text_of, word_bounds
 from vectorloom.operators.sizing import settle_as_table
 
-SAMPLE_DOCS = 500  # learned documents of the attention model
+SAMPLE_DOCS = 500  # documents on which the driver starts the weights
 WINDOW, STRIDE = 32, 24
 WIDTH, HIDDEN = 8, 16
-CLASSES = 32
-INPUTS = 4096  # ids with a vector of their own; the others share one
-CLUSTERED, NEIGHBOURS = 1500, 150
+CLASSES = 64
+NEIGHBOURS, SHARED = 150, 42  # neighbours with a feature of their own; the others share so many by hash
+PROJECTED = 64
 EPOCHS, BATCH, RATE = 4, 256, 0.01
+CORPUS_RATE = 0.002
+TOKENS_AT_ONCE = 200_000
 SMOOTHING = 0.1
 START, END = 49406, subwords.END
 WINDOWS_AT_ONCE = 2048
@@ -51,7 +56,7 @@ COUNTED_AT_ONCE = 2_000_000
 @dataclass
 class Model:
     weights: dict[str, np.ndarray]
-    row_of: np.ndarray  # id -> row of the input table
+    row_of: np.ndarray  # id -> row of the input table, each its own
     class_of: np.ndarray
     within: np.ndarray  # log probability of an id within its class
 
@@ -134,15 +139,17 @@ def gradient(w: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray) ->
         d_x += (part @ w[name].T).reshape(d_x.shape)
     g["place"] = d_x.sum(axis=0)
     g["input"] = np.zeros_like(w["input"])
-    np.add.at(g["input"], rows.ravel(), d_x.reshape(-1, WIDTH))
+    seen_rows, at = np.unique(rows.ravel(), return_inverse=True)
+    for k, part in enumerate(d_x.reshape(-1, WIDTH).T):
+        g["input"][seen_rows, k] = np.bincount(at.ravel(), part, len(seen_rows))
     return float(loss), g
 
 
-def start_weights(seed: int = 3) -> dict[str, np.ndarray]:
+def start_weights(size: int, seed: int = 3) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.normal(size=shape) * shape[0] ** -0.5).astype(np.float32)
     return {
-        "input": (0.5 * rng.normal(size=(INPUTS, WIDTH))).astype(np.float32),
+        "input": (0.5 * rng.normal(size=(size, WIDTH))).astype(np.float32),
         "place": (0.1 * rng.normal(size=(WINDOW, WIDTH))).astype(np.float32),
         "query": draw(WIDTH, WIDTH),
         "key": draw(WIDTH, WIDTH),
@@ -154,79 +161,229 @@ def start_weights(seed: int = 3) -> dict[str, np.ndarray]:
     }
 
 
-def cluster(texts: list[np.ndarray], counts: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Class of every id: frequent ids by k-means on the frequent ids before and after them.
+def features_of(counts: np.ndarray) -> np.ndarray:
+    """Feature of every id as a neighbour: the most frequent have their own, the others share by hash."""
+    size = len(counts)
+    out = NEIGHBOURS + (np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % SHARED
+    top = np.argsort(-counts, kind="stable")[:NEIGHBOURS]
+    out[top] = np.arange(len(top))
+    return out
 
-    The last class is the end; the last but one holds all ids that are not frequent.
+
+def add_neighbours(table: np.ndarray, texts: list[np.ndarray], feature: np.ndarray) -> None:
+    """Count into `table` (ids x features, those before an id in the second half) who stands beside whom."""
+    flat, half = table.reshape(-1), table.shape[1] // 2
+    for ids in texts:
+        for one, other, shift in ((ids[:-1], ids[1:], 0), (ids[1:], ids[:-1], half)):
+            np.add.at(flat, one * table.shape[1] + feature[other] + shift, 1)
+
+
+def projected(rows: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Points of the feature counts `rows`, whose distances are about those of the square roots of the shares."""
+    shares = np.sqrt(rows / np.maximum(rows.sum(axis=1, keepdims=True), 1))
+    axes = np.random.default_rng(seed).normal(size=(rows.shape[1], PROJECTED)) * PROJECTED**-0.5
+    return (shares @ axes).astype(np.float32)
+
+
+def cluster(ids: np.ndarray, points: np.ndarray, counts: np.ndarray, seed: int = 3) -> np.ndarray:
+    """Class of every id: k-means on the `points` of all `ids` seen, weighted by the roots of their counts.
+
+    The last class is the end; the last but one holds the ids that never occur.
     """
     classes = np.full(len(counts), CLASSES - 2, np.int64)
-    order = np.argsort(-counts, kind="stable")
-    top = order[:CLUSTERED][counts[order[:CLUSTERED]] >= 5]
-    if len(top) >= CLASSES:
-        row, mark = np.full(len(counts), -1), np.full(len(counts), -1)
-        row[top], mark[top[:NEIGHBOURS]] = np.arange(len(top)), np.arange(min(NEIGHBOURS, len(top)))
-        features = np.zeros((len(top), 2 * NEIGHBOURS))
-        for ids in texts:
-            for one, other, shift in ((ids[:-1], ids[1:], 0), (ids[1:], ids[:-1], NEIGHBOURS)):
-                keep = (row[one] >= 0) & (mark[other] >= 0)
-                np.add.at(features, (row[one][keep], mark[other][keep] + shift), 1)
-        features = np.sqrt(features / np.maximum(features.sum(axis=1, keepdims=True), 1))
-        u, s, _ = np.linalg.svd(features - features.mean(axis=0), full_matrices=False)
-        points = u[:, :16] * s[:16]
-        centres = points[np.random.default_rng(seed).choice(len(points), CLASSES - 2, replace=False)]
+    if len(ids) >= CLASSES:
+        weight = np.sqrt(counts[ids].astype(float))
+        points = points - np.average(points, axis=0, weights=weight)
+        values, axes = np.linalg.eigh(points.T @ (points * weight[:, None]))
+        points = points @ axes[:, np.argsort(-values)[:16]]
+        rng = np.random.default_rng(seed)
+        centres = points[rng.choice(len(points), CLASSES - 2, replace=False, p=weight / weight.sum())]
         for _ in range(25):
-            near = ((points[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
-            for c in range(CLASSES - 2):
-                if (near == c).any():
-                    centres[c] = points[near == c].mean(axis=0)
-        classes[top] = near
+            near = ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
+            held = np.bincount(near, weight, CLASSES - 2)
+            sums = np.stack([np.bincount(near, weight * x, CLASSES - 2) for x in points.T], axis=1)
+            centres[held > 0] = sums[held > 0] / held[held > 0, None]
+        classes[ids] = near
     classes[END] = CLASSES - 1
     return classes
 
 
-def train(texts: list[np.ndarray], size: int, epochs: int = EPOCHS, seed: int = 3) -> Model:
-    """From the ids of texts; `size` ids exist."""
-    counts = np.zeros(size, np.int64)
-    for ids in texts:
-        counts += np.bincount(ids, minlength=size)
-    counts[END] += len(texts)
-    classes = cluster(texts, counts, seed)
+def untrained(counts: np.ndarray, ids: np.ndarray, points: np.ndarray, seed: int = 3) -> Model:
+    """Classes and the chances within them from the counts of all ids; weights at their start."""
+    classes = cluster(ids, points, counts, seed)
     members = np.bincount(classes, minlength=CLASSES)
     totals = np.bincount(classes, counts, CLASSES)
     within = np.log((counts + SMOOTHING) / (totals + SMOOTHING * members)[classes])
-    order = np.argsort(-counts, kind="stable")
-    row_of = np.full(size, INPUTS - 1, np.int64)
-    row_of[order[: INPUTS - 2]] = np.arange(INPUTS - 2)
-    row_of[START] = INPUTS - 2
-    w = start_weights(seed)
-    model = Model(w, row_of, classes, within)
+    return Model(start_weights(len(counts), seed), np.arange(len(counts)), classes, within)
+
+
+class Steps:
+    """Adam steps on the weights of a model, which change in place."""
+
+    def __init__(self, model: Model):
+        self.model, self.step = model, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
+
+    def take(self, inputs: np.ndarray, target: np.ndarray, rate: float) -> None:
+        w, classes = self.model.weights, self.model.class_of
+        _, g = gradient(w, self.model.row_of[inputs], np.where(target >= 0, classes[np.maximum(target, 0)], -1))
+        self.step += 1
+        rate *= np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+        for name, value in g.items():
+            self.first[name] += 0.1 * (value - self.first[name])
+            self.second[name] += 0.001 * (value * value - self.second[name])
+            w[name] -= (rate * self.first[name] / (np.sqrt(self.second[name]) + 1e-8)).astype(np.float32)
+
+
+def start(model: Model, texts: list[np.ndarray], epochs: int = EPOCHS, seed: int = 3) -> Model:
+    """Epochs over the ids of a few texts with a falling rate."""
     if not texts:
         return model
     inputs, targets, _ = model.windows(texts)
-    rng = np.random.default_rng(seed)
-    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    steps, step = max(1, epochs * -(-len(inputs) // BATCH)), 0
+    rng, taken = np.random.default_rng(seed), Steps(model)
+    steps = max(1, epochs * -(-len(inputs) // BATCH))
     for _ in range(epochs):
         shuffled = rng.permutation(len(inputs))
         for k in range(0, len(shuffled), BATCH):
             part = shuffled[k : k + BATCH]
-            target = targets[part]
-            _, g = gradient(w, row_of[inputs[part]], np.where(target >= 0, classes[np.maximum(target, 0)], -1))
-            step += 1
-            rate = RATE * (1 - 0.9 * step / steps) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for name, value in g.items():
-                first[name] += 0.1 * (value - first[name])
-                second[name] += 0.001 * (value * value - second[name])
-                w[name] -= (rate * first[name] / (np.sqrt(second[name]) + 1e-8)).astype(np.float32)
+            taken.take(inputs[part], targets[part], RATE * (1 - 0.9 * (taken.step + 1) / steps))
+    return model
+
+
+def train(texts: list[np.ndarray], size: int, epochs: int = EPOCHS, seed: int = 3) -> Model:
+    """From the ids of texts on one machine; `size` ids exist."""
+    counts = np.zeros(size, np.int64)
+    for ids in texts:
+        counts += np.bincount(ids, minlength=size)
+    table = np.zeros((size, 2 * (NEIGHBOURS + SHARED)), np.int32)
+    add_neighbours(table, texts, features_of(counts))
+    ids = np.flatnonzero(counts)
+    points = projected(table[ids])
+    counts[END] += len(texts)
+    return start(untrained(counts, ids, points, seed), texts, epochs, seed)
+
+
+# ---- learning from the whole corpus --------------------------------------------------------------
+
+
+def id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def some_texts(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[list[np.ndarray]]:
+    """The ids of the texts in the first column, about `TOKENS_AT_ONCE` at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for raw in batch.column(0):
+            held.append(np.frombuffer(raw.as_buffer(), kind).astype(np.int64))
+            size += len(held[-1]) + 1
+            if size >= TOKENS_AT_ONCE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def count_ids(learned: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all texts (ids), the end once a text; `size` numbers reach the driver."""
+    kind = id_type(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.int64)
+        for texts in some_texts(batches, kind):
+            counts += np.bincount(np.concatenate(texts), minlength=size)
+            counts[END] += len(texts)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["id", "n"])
+
+    found = learned.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(size, np.int64)
+    counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def neighbour_points(learned: DataFrame, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids seen and their points, from the neighbours in all texts."""
+    size, width, kind = len(counts), 2 * (NEIGHBOURS + SHARED), id_type(len(counts))
+    feature = features_of(counts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((size, width), np.int32)
+        for texts in some_texts(batches, kind):
+            add_neighbours(table, texts, feature)
+        for k in range(0, size, 4096):
+            one, at = np.nonzero(table[k : k + 4096])
+            arrays = [pa.array(one + k), pa.array(at.astype(np.int32)), pa.array(table[k : k + 4096][one, at].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "at", "n"])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                table = np.zeros((part.num_rows, width))
+                for row, cells in zip(table, part.column(1).to_pylist()):
+                    for cell in cells:
+                        row[cell["at"]] = cell["n"]
+                raw = [x.tobytes() for x in projected(table)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["id", "point"])
+
+    cells = learned.mapInArrow(count, "id long, at int, n long").groupBy("id", "at").agg(F.sum("n").alias("n"))
+    rows = cells.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("cells"))
+    found = rows.mapInArrow(project, "id long, point binary").toPandas()
+    ids = found["id"].to_numpy(np.int64)
+    points = np.frombuffer(b"".join(found["point"]), np.float32).reshape(len(ids), PROJECTED)
+    order = np.argsort(ids)
+    return ids[order], points[order]
+
+
+def corpus_steps(learned: DataFrame, model: Model) -> Model:
+    """Each task takes steps over all windows of its texts; the weights are then averaged over the tasks.
+
+    An input vector counts as often as the task saw its id, other weights as often as it saw a window. What
+    reaches the driver is one number a weight.
+    """
+    names, kind = list(model.weights), id_type(len(model.class_of))
+    shared = learned.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = shared.value
+        mine = Model({k: v.copy() for k, v in kept.weights.items()}, kept.row_of, kept.class_of, kept.within)
+        taken, rng = Steps(mine), np.random.default_rng(5)
+        seen, windows = np.zeros(len(mine.weights["input"])), 0
+        for texts in some_texts(batches, kind):
+            inputs, targets, _ = mine.windows(texts)
+            windows += len(inputs)
+            seen += np.bincount(mine.row_of[inputs].ravel(), minlength=len(seen))
+            for part in np.array_split(rng.permutation(len(inputs)), -(-len(inputs) // BATCH)):
+                taken.take(inputs[part], targets[part], CORPUS_RATE)
+        if not windows:
+            return
+        for k, name in enumerate(names):
+            value = mine.weights[name].reshape(-1).astype(np.float64)
+            weight = np.repeat(seen, WIDTH) if name == "input" else np.full(len(value), float(windows))
+            at = np.flatnonzero(weight)
+            arrays = [pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(value[at] * weight[at]), pa.array(weight[at])]
+            yield pa.RecordBatch.from_arrays(arrays, ["name", "at", "value", "weight"])
+
+    parts = learned.mapInArrow(run, "name int, at long, value double, weight double").groupBy("name", "at")
+    found = parts.agg((F.sum("value") / F.sum("weight")).alias("value")).toPandas()
+    for k, part in found.groupby("name"):
+        model.weights[names[k]].reshape(-1)[part["at"].to_numpy(np.int64)] = part["value"].to_numpy(np.float32)
     return model
 
 
-def sample(rows: DataFrame, id_column: str, text: str, docs: int = SAMPLE_DOCS) -> list[str]:
-    """At most `docs` whole texts, those of smallest id hash."""
-    order = F.xxhash64(id_column, F.lit("language model"))
-    wanted = rows.select(order.alias("_order")).orderBy("_order").limit(docs).distinct()
-    found = rows.select(order.alias("_order"), text_of(text).alias("_text")).join(F.broadcast(wanted), "_order")
-    return [r["_text"] for r in sorted(found.collect(), key=lambda r: (r["_order"], r["_text"]))]
+def sample(learned: DataFrame, size: int, docs: int = SAMPLE_DOCS) -> list[np.ndarray]:
+    """The ids of at most `docs` rows, those of smallest hash."""
+    found = learned.orderBy(F.xxhash64("ids"), "ids").limit(docs).collect()
+    return [np.frombuffer(r["ids"], id_type(size)).astype(np.int64) for r in found]
+
+
+def learn(learned: DataFrame, size: int) -> Model:
+    """From all texts (ids) of a settled table; `size` ids exist."""
+    tasks = learned.coalesce(max(2, learned.sparkSession.sparkContext.defaultParallelism))
+    counts = count_ids(tasks, size)
+    model = untrained(counts, *neighbour_points(tasks, counts))
+    return corpus_steps(tasks, start(model, sample(learned, size)))
 
 
 # ---- word counts ---------------------------------------------------------------------------------
@@ -277,14 +434,14 @@ def common_words(counts: DataFrame, most: int = COMMON_WORDS) -> tuple[np.ndarra
     return found["word"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def first_pass(rows: DataFrame, id_column: str, text: str, words: np.ndarray, counts: np.ndarray, model: Model, path: str) -> DataFrame:
-    """Per row: key, id, tokens, known ones and their log sum among the common words, the rest, model score."""
+def first_pass(rows: DataFrame, id_column: str, words: np.ndarray, counts: np.ndarray, path: str, coding: str) -> DataFrame:
+    """Per row (id, text, judged, learned): key, id, tokens, known ones and their log sum among the common words, the rest, subword ids."""
     kind = rows.schema[id_column].dataType.simpleString()
-    shared = rows.sparkSession.sparkContext.broadcast((words, counts, np.log10(counts + 0.5), model))
-    names = ["row", id_column, "n_tokens", "known", "logs", "rest", "times", "score"]
+    shared = rows.sparkSession.sparkContext.broadcast((words, np.log10(counts + 0.5)))
+    names = ["row", id_column, "judged", "learned", "n_tokens", "known", "logs", "rest", "times", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, logs, model = shared.value
+        words, logs = shared.value
         end = np.searchsorted(words, END_HASH)
         has_end = end < len(words) and words[end] == END_HASH
         encode = subwords.encoder(path).encode
@@ -307,35 +464,62 @@ def first_pass(rows: DataFrame, id_column: str, text: str, words: np.ndarray, co
                     times.append(n)
                 count = last - first
                 content = batch.column(1).slice(first, count).to_pylist()
-                ids = [np.frombuffer(x, "<u4") for x in encode(content)]
+                ids = [np.frombuffer(x, "<u4").astype(coding).tobytes() for x in encode(content)]
                 lengths = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(x).astype(np.int64))) for x in (rest, times)]
                 arrays = [
                     pa.array(row + np.arange(count)),
-                    batch.column(0).slice(first, count),
+                    *[batch.column(k).slice(first, count) for k in (0, 2, 3)],
                     pa.array(np.diff(bounds) + 1),
                     pa.array(np.diff(known[bounds]) + int(has_end)),
                     pa.array(np.diff(sums[bounds]) + (logs[end] if has_end else np.log10(0.5))),
                     *lists,
-                    pa.array(model.score(ids) / np.log(10)),
+                    pa.array(ids, pa.binary()),
                 ]
                 row += count
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    schema = f"row long, `{id_column}` {kind}, n_tokens long, known long, logs double, rest array<long>, times array<long>, score double"
-    return rows.select(id_column, text_of(text).alias("text")).mapInArrow(run, schema)
+    counted = "n_tokens long, known long, logs double, rest array<long>, times array<long>"
+    return rows.mapInArrow(run, f"row long, `{id_column}` {kind}, judged boolean, learned boolean, {counted}, ids binary")
+
 
+def model_scores(passed: DataFrame, model: Model) -> DataFrame:
+    """`passed` (…, ids) with the logarithm to base 10 of the model's probability, `score`, in place of the ids."""
+    shared, kind = passed.sparkSession.sparkContext.broadcast(model), id_type(len(model.class_of))
+    kept = [c for c in passed.columns if c != "ids"]
 
-def score_texts(rows: DataFrame, training: DataFrame, id_column: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Per row: id, n_tokens, n_known, train_tokens, base_score and score, learning from `training`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.select([batch.schema.names[0]])
+            scores = [shared.value.score(texts) / np.log(10) for texts in some_texts(iter([held]), kind)]
+            column = pa.array(np.concatenate(scores) if scores else np.empty(0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], column], [*kept, "score"])
+
+    fields = ", ".join(f"`{c}` {kind_of}" for c, kind_of in passed.select(*kept).dtypes)
+    return passed.select("ids", *kept).mapInArrow(run, f"{fields}, score double")
+
+
+def score_texts(rows: DataFrame, training: DataFrame | Column, id_column: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """Per row: id, n_tokens, n_known, train_tokens, base_score and score, learning from `training`.
+
+    `training` is a table, or the condition under which a row of `rows` is learned; then each text is encoded once.
+    """
     path = tokenizer or subwords.default_path()
+    size = subwords.encoder(path).tokenizer.get_vocab_size()
+    judged = [F.col(id_column), text_of(text).alias("text"), F.lit(True).alias("judged")]
+    if isinstance(training, Column):
+        both = rows.select(*judged, F.coalesce(training, F.lit(False)).alias("learned"))
+        training = rows.where(training)
+    else:
+        no_id = F.lit(None).cast(rows.schema[id_column].dataType).alias(id_column)
+        learned = training.select(no_id, text_of(text).alias("text"), F.lit(False).alias("judged"), F.lit(True).alias("learned"))
+        both = rows.select(*judged, F.lit(False).alias("learned")).unionByName(learned)
     counts = settle_as_table(count_words(training, text), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     words, held = common_words(counts)
-    encoder = subwords.encoder(path)
-    learned = [np.frombuffer(x, "<u4").astype(np.int64) for x in encoder.encode(sample(training, id_column, text))]
-    model = train(learned, encoder.tokenizer.get_vocab_size())
-    passed = settle_as_table(first_pass(rows, id_column, text, words, held, model, path), "scores")
+    encoded = settle_as_table(first_pass(both, id_column, words, held, path, id_type(size)), "encoded")
+    model = learn(encoded.where("learned").select("ids"), size)
+    passed = encoded.where("judged").drop("judged", "learned")
     each = passed.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w"))
     each = each.select("row", F.col("w.rest").alias("word"), F.col("w.times").alias("times"))
     met = each.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -343,7 +527,7 @@ def score_texts(rows: DataFrame, training: DataFrame, id_column: str = "doc_id",
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("more_logs"),
     )
-    out = passed.drop("rest", "times").join(met, "row", "left")
+    out = model_scores(passed.drop("rest", "times"), model).join(met, "row", "left")
     norm = float(np.log10(total["n"] + 0.5 * (total["v"] + 1)))
     return out.select(
         id_column,

@@ -100,5 +100,5 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     rows = documents(spark, folder).select("doc_id", "text")
     held_out = crc_remainder("doc_id", 5) == 1
-    scored = lm_score.score_texts(rows, rows.where(~held_out))
+    scored = lm_score.score_texts(rows, ~held_out)
     return scored.withColumn("held_out", held_out)
