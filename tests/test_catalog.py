@@ -49,3 +49,14 @@ def test_every_query_is_listed():
 def test_entry(spark):
     got = contract.entry(spark).toPandas()
     assert sorted(got["split"]) == ["test", "train", "validation"]
+
+
+@pytest.mark.parametrize("name", ["lr_predict", "lr_penalised_predict", "mlpc_predict", "relu_mlp_predict"])
+def test_predictions_cover_every_split(spark, folder, name):
+    got = contract.queries()[name](spark, folder)
+    everything = spark.read.parquet(f"{folder}/embeddings.parquet")
+    assert sorted(r["vec_id"] for r in got.collect()) == sorted(r["vec_id"] for r in everything.collect())
+
+
+def test_training_takes_all_iterations(spark, folder):
+    assert contract.queries()["relu_mlp_history"](spark, folder).count() == 20

@@ -158,6 +158,17 @@ def matrix_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("vec_id", "label", rounded(total, "total"))
 
 
+@query
+def matrix_round_trip_by_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Every split written and read back."""
+    path = scratch_path(spark, "matrix")
+    write_matrix(embeddings(spark, folder), path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    parts = [read_matrix(spark, path, split) for split in ("train", "validation", "test")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rows.select("split", "vec_id", "label", F.size("embedding").alias("width"), rounded(total, "total"))
+
+
 @query
 def file_listing(spark: SparkSession, folder: str) -> DataFrame:
     files = list_files(spark, folder, "*.parquet")
@@ -298,6 +309,46 @@ def run_log_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return log.select("mode", "method", "elapsed_seconds", rounded("elapsed_minutes", "elapsed_minutes", 9))
 
 
+@query
+def run_log_all_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Every column of the log written and read back."""
+    path = scratch_path(spark, "runlog")
+    seconds, kind = F.col("value"), F.col("event_type")
+    numbers = F.when(F.col("event_id") % 3 > 0, F.array(seconds / 1000.0, seconds / 2000.0))
+    runs = table(spark, folder, "events").select(
+        X.run_mode(kind, MODES, "Other").alias("mode"),
+        kind.alias("method"),
+        F.col("ts").alias("started_at"),
+        F.length(kind).alias("epochs"),
+        (F.col("event_id") % 7).cast("int").alias("steps_per_epoch"),
+        seconds.alias("elapsed_seconds"),
+        X.minutes(seconds).alias("elapsed_minutes"),
+        X.hours(seconds).alias("elapsed_hours"),
+        X.run_slots(kind, "click", 2).alias("slots"),
+        (F.col("event_id") % 5).cast("int").alias("parallelism"),
+        (seconds / 1000.0).alias("accuracy"),
+        numbers.alias("accuracy_history"),
+    )
+    append_runs(runs, path)
+    log = read_log(spark, path)
+    history = F.col("accuracy_history")
+    return log.select(
+        "mode",
+        "method",
+        F.unix_micros("started_at").alias("started_micros"),
+        "epochs",
+        "steps_per_epoch",
+        "elapsed_seconds",
+        rounded("elapsed_minutes", "elapsed_minutes", 9),
+        rounded("elapsed_hours", "elapsed_hours", 9),
+        "slots",
+        "parallelism",
+        rounded("accuracy", "accuracy", 9),
+        rounded(history[0], "first_accuracy", 9),
+        rounded(history[1], "second_accuracy", 9),
+    )
+
+
 # ---- profiling -----------------------------------------------------------------------------------
 
 
@@ -476,22 +527,23 @@ def lineitem_gnb_confusion(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.confusion(with_int_prediction(model.transform(shaped)))
 
 
-def _test_predictions(spark: SparkSession, folder: str, estimator) -> DataFrame:
+def _predictions(spark: SparkSession, folder: str, estimator) -> DataFrame:
+    """Rows of every split, scored by a fit on the training split."""
     rows = vectors(embeddings(spark, folder))
     model = estimator.fit(rows.where(F.col("split") == "train"))
-    scored = model.transform(rows.where(F.col("split") == "test"))
+    scored = model.transform(rows)
     return with_int_prediction(scored).select("vec_id", "label", "prediction")
 
 
 @query
 def lr_predict(spark: SparkSession, folder: str) -> DataFrame:
-    return _test_predictions(spark, folder, classify.logistic_regression())
+    return _predictions(spark, folder, classify.logistic_regression())
 
 
 @query
 def lr_penalised_predict(spark: SparkSession, folder: str) -> DataFrame:
     n = train_rows(spark, folder).count()
-    return _test_predictions(spark, folder, classify.penalised_logistic_regression(n))
+    return _predictions(spark, folder, classify.penalised_logistic_regression(n))
 
 
 @query
@@ -518,7 +570,7 @@ def lr_stationarity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def mlpc_predict(spark: SparkSession, folder: str) -> DataFrame:
-    return _test_predictions(spark, folder, classify.sigmoid_perceptron([64, 16, CLASSES], max_iter=10))
+    return _predictions(spark, folder, classify.sigmoid_perceptron([64, 16, CLASSES], max_iter=20))
 
 
 def _held_out(spark: SparkSession, folder: str) -> DataFrame:
@@ -531,7 +583,7 @@ def _relu_model(spark: SparkSession, folder: str) -> ReluPerceptronModel:
         layers=[64, 32, 16, CLASSES],
         featuresCol="embedding",
         idCol="vec_id",
-        maxIter=6,
+        maxIter=20,
         stepSize=0.01,
         validationIndicatorCol="held_out",
     )
@@ -540,8 +592,7 @@ def _relu_model(spark: SparkSession, folder: str) -> ReluPerceptronModel:
 
 @query
 def relu_mlp_predict(spark: SparkSession, folder: str) -> DataFrame:
-    rows = embeddings(spark, folder).where(F.col("split") == "test")
-    scored = _relu_model(spark, folder).transform(rows)
+    scored = _relu_model(spark, folder).transform(embeddings(spark, folder))
     return with_int_prediction(scored).select("vec_id", "label", "prediction")
 
 
@@ -572,7 +623,7 @@ def image_head_history(spark: SparkSession, folder: str) -> DataFrame:
     estimator = ReluPerceptronClassifier(
         layers=[48, 46, 12, CLASSES],
         idCol="vec_id",
-        maxIter=4,
+        maxIter=20,
         solver="sgd",
         stepSize=1e-4,
         decay=1e-6,
@@ -580,7 +631,7 @@ def image_head_history(spark: SparkSession, folder: str) -> DataFrame:
         nesterov=True,
         dropout=[0.2, 0.0],
         miniBatchFraction=0.25,
-        stepsPerEpoch=1,
+        stepsPerEpoch=4,
         validationIndicatorCol="held_out",
         earlyStopPatience=4,
         keepBest=True,
@@ -652,7 +703,7 @@ def cv_mlpc_grid(spark: SparkSession, folder: str) -> DataFrame:
     estimator = classify.sigmoid_perceptron([64, 8, CLASSES])
     layers = tune.perceptron_layers(64, [[8], [4], [8, 4]], CLASSES)
     grid = tune.grid_of(
-        estimator, {"layers": layers, "stepSize": [0.001, 0.0001]}, {"maxIter": 2, "solver": "gd"}
+        estimator, {"layers": layers, "stepSize": [0.001, 0.0001]}, {"maxIter": 20, "solver": "gd"}
     )
     model = tune.cross_validate(
         _search_rows(spark, folder), estimator, grid, fold_column="fold", parallelism=4
@@ -662,7 +713,7 @@ def cv_mlpc_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def cv_relu_grid(spark: SparkSession, folder: str) -> DataFrame:
-    estimator = ReluPerceptronClassifier(layers=[64, 8, CLASSES], idCol="vec_id", maxIter=2)
+    estimator = ReluPerceptronClassifier(layers=[64, 8, CLASSES], idCol="vec_id", maxIter=20)
     layers = tune.perceptron_layers(64, [[50], [10], [50, 20]], CLASSES)
     grid = tune.grid_of(estimator, {"layers": layers, "stepSize": [0.001, 0.0001]})
     model = tune.cross_validate(_search_rows(spark, folder), estimator, grid, fold_column="fold")

@@ -137,6 +137,11 @@ ORACLES: dict[str, str] = {
                round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) + 0.0
                  AS total
         FROM e WHERE split = 'test'""",
+    "matrix_round_trip_by_split": f"""WITH {_E}
+        SELECT split, vec_id, label, len(embedding)::INT AS width,
+               round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) + 0.0
+                 AS total
+        FROM e""",
     "shuffled_rows": "SELECT vec_id, label FROM embeddings",
     "feature_slice": f"""WITH {_M}, s AS (SELECT vec_id, matrix[1:len(matrix) - 10] AS f FROM m)
         SELECT vec_id, len(f)::INT AS n_features, f[1] AS first_value, f[-1] AS last_value,
@@ -179,6 +184,17 @@ ORACLES: dict[str, str] = {
              WHEN 'purchase' THEN 'GPU' ELSE 'Other' END AS mode,
         event_type AS method, value AS elapsed_seconds,
         round(value / 60.0, 9) + 0.0 AS elapsed_minutes FROM events""",
+    "run_log_all_columns": """SELECT
+        CASE event_type WHEN 'click' THEN 'Cluster' WHEN 'view' THEN 'CPU'
+             WHEN 'purchase' THEN 'GPU' ELSE 'Other' END AS mode,
+        event_type AS method, epoch_us(ts) AS started_micros, length(event_type)::INT AS epochs,
+        (event_id % 7)::INT AS steps_per_epoch, value AS elapsed_seconds,
+        round(value / 60.0, 9) + 0.0 AS elapsed_minutes, round(value / 3600.0, 9) + 0.0 AS elapsed_hours,
+        CASE event_type WHEN 'click' THEN 2 ELSE 0 END::INT AS slots, (event_id % 5)::INT AS parallelism,
+        round(value / 1000.0, 9) + 0.0 AS accuracy,
+        CASE WHEN event_id % 3 > 0 THEN round(value / 1000.0, 9) + 0.0 END AS first_accuracy,
+        CASE WHEN event_id % 3 > 0 THEN round(value / 2000.0, 9) + 0.0 END AS second_accuracy
+        FROM events""",
     "column_means": f"WITH {_P} SELECT pos, round(mean, 8) + 0.0 AS mean FROM p",
     "column_stddev_pop": f"WITH {_P} SELECT pos, round(std, 8) + 0.0 AS std FROM p",
     "rank_by_mean": f"""WITH {_P}
