@@ -74,6 +74,21 @@ def test_components_with_frequent_grams_and_many_turns(spark, monkeypatch):
     check(spark, near_copies(2, groups=4, copies=25), ngram_join.Spec())
 
 
+def test_every_link_is_found(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", 5)
+    spec, rows = ngram_join.Spec(), list(enumerate(t for _, t in near_copies(3)))
+    sets = {}
+    for key, text in rows:
+        sets.setdefault(gram_set(text, spec.size), key)
+    wanted = {(a, b) for x, a in sets.items() for y, b in sets.items() if a < b and spec.den * len(x & y) >= spec.num * len(x | y)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(sorted((r["left_id"], r["right_id"]))) for r in ngram_join.links(frame, spec=spec).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    counts = Counter(key for pair in wanted for key in pair)
+    joined = ngram_join.join(frame, spec=spec).collect()
+    assert all(r["n_links"] == counts[sets[gram_set(dict(rows)[r["doc_id"]], spec.size)]] for r in joined) and max(counts.values()) > 5
+
+
 def test_join_of_nothing(spark):
     assert ngram_join.join(odd.frame(spark, empty=True)).count() == 0
 

@@ -18,6 +18,10 @@ How all links are found without comparing all pairs:
   is not compared pair by pair.
 * Pairs whose sizes, places of the n-gram or 256-bit parity maps already rule out the threshold are dropped within the join.
 
+* With the components known, all links are inside them. The classes of a component are dealt into blocks, every
+  pair of blocks is one task, and in it each class looks up its n-grams in the inverted lists of the other block.
+  It gives the number of links of each class (`join`), or the links themselves (`links`).
+
 Components are found by hooking each class to its smallest neighbour and contracting the links.
 
 Defined results: a null text has no n-grams; sets without n-grams link with nothing; rows with equal
@@ -48,6 +52,7 @@ SCOUT = 0.30  # share of a set whose n-grams are counted to find the frequent on
 BLOCK_GRAMS = 400_000  # n-grams of the candidates that one search block holds, about
 SHORT_LIST = 64  # so many classes of a list search in the second turn
 HUBS = 16  # of more than that, so many
+LINK_BLOCK = 512  # classes of a component in one block, about
 SALTS = 64
 MAP_BITS = 1 << 26  # 8 MB
 BITS = ("b0", "b1", "b2", "b3")
@@ -416,6 +421,70 @@ def open_rows(rows: DataFrame, last: bool) -> DataFrame:
     return outside.where(F.col("outside") <= SHORT_LIST).select("node").union(chosen.select("node"))
 
 
+def block_links(left: list[np.ndarray], right: list[np.ndarray], spec: Spec, same: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Per set of `left`: the places in `right` of the sets that link with it; of one block with itself, later ones only."""
+    sizes = np.array([len(r) for r in right])
+    grams = np.concatenate(right)
+    order = np.argsort(grams, kind="stable")
+    grams, owner = grams[order], np.repeat(np.arange(len(right)), sizes)[order]
+    for k, query in enumerate(left):
+        begins, ends = np.searchsorted(grams, query), np.searchsorted(grams, query, "right")
+        lengths = ends - begins
+        at = np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        shared = np.bincount(owner[at], minlength=len(right))
+        found = spec.den * shared >= spec.num * (len(query) + sizes - shared)
+        if same:
+            found[: k + 1] = False
+        yield k, np.flatnonzero(found)
+
+
+def in_blocks(members: DataFrame, sets_of, spec: Spec, counts: bool) -> DataFrame:
+    """(node, n_links), added up by blocks, or the links (left, right), among classes (node, id, component)."""
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
+    blocks = F.ceil(F.col("held") / LINK_BLOCK).cast("int").alias("blocks")
+    linked = settle_as_table(members.join(sizes.select("component", blocks), "component"), "linked")
+    sets = settle_as_table(sets_of(linked.select("id")), "sets").dropDuplicates(["node"])
+    block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
+    dealt = linked.select("component", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    dealt = dealt.join(sets, "node").select("component", low, high, "block", "node", "grams")
+    names = ["node", "n_links"] if counts else ["left", "right"]
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        low, high = group["low"].iloc[0], group["high"].iloc[0]
+        group = group.sort_values("node")
+        sides = [group[group["block"] == b] for b in (low, high)]
+        nodes = [side["node"].to_numpy(np.int64) for side in sides]
+        sets = [[np.frombuffer(raw, np.uint64) for raw in side["grams"]] for side in sides]
+        if not len(nodes[0]) or not len(nodes[1]):
+            return pd.DataFrame([], columns=names).astype("int64")
+        found = block_links(*sets, spec, low == high)
+        if not counts:
+            out = [(nodes[0][k], node) for k, at in found for node in nodes[1][at]]
+            return pd.DataFrame(out, columns=names).astype("int64")
+        n = [np.zeros(len(side), np.int64) for side in nodes]
+        for k, at in found:
+            n[0][k] += len(at)
+            n[1][at] += 1
+        per = pd.DataFrame({"node": np.concatenate(nodes), "n_links": np.concatenate(n)})
+        return per[per["n_links"] > 0]
+
+    out = dealt.groupBy("component", "low", "high").applyInPandas(one, ", ".join(f"{c} long" for c in names))
+    return out.groupBy("node").agg(F.sum("n_links").alias("n_links")) if counts else out
+
+
+def class_members(named: DataFrame) -> DataFrame:
+    return named.where(F.col("node").isNotNull()).groupBy("node", "component").agg(F.min("id").alias("id"))
+
+
+def links(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
+    """All links (left, right) between different sets, each once, as digests of the sets with their smallest ids."""
+    members = settle_as_table(class_members(labelled(rows, id_column, text, spec)), "members")
+    found = in_blocks(members, lambda ids: set_table(rows, text, spec, ids, id_column), spec, counts=False)
+    name = lambda side: members.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id"))
+    return found.join(name("left"), "left").join(name("right"), "right").select("left", "right", "left_id", "right_id")
+
+
 def labelled(rows: DataFrame, id_column: str, text: str, spec: Spec) -> DataFrame:
     """Per row: id, mark, n, node, and of rows with n-grams class_id, component (its smallest node) and component_id."""
     spark: SparkSession = rows.sparkSession
@@ -436,12 +505,18 @@ def labelled(rows: DataFrame, id_column: str, text: str, spec: Spec) -> DataFram
 
 
 def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
-    """Per row: id, `n_shingles`, `class_id` (smallest id with the same set) and `component_id`."""
-    return labelled(rows, id_column, text, spec).select(
+    """Per row: id, `n_shingles`, `class_id` (smallest id with the same set), `component_id` and `n_links`.
+
+    `n_links` is the number of other classes with which the row's class links.
+    """
+    named = settle_as_table(labelled(rows, id_column, text, spec), "named")
+    counted = in_blocks(class_members(named), lambda ids: set_table(rows, text, spec, ids, id_column), spec, counts=True)
+    return named.join(counted, "node", "left").select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
