@@ -69,7 +69,8 @@ def append_runs(runs: DataFrame, path: str) -> None:
         (F.col(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in RUN_SCHEMA.fields
     ]
-    runs.select(*columns).write.mode("append").json(path)
+    # The default writes milliseconds only.
+    runs.select(*columns).write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
 def append_run(
