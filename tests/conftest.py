@@ -1,12 +1,13 @@
 import os
 import sys
 
-import numpy as np
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
+from blobs import blob_arrays  # noqa: E402
+
 from vectorloom.session import build_session  # noqa: E402
 
 TESTDATA = "/root/testdata/sf0.001"
@@ -36,14 +37,6 @@ def folder():
     return TESTDATA
 
 
-def blob_arrays(rows=200, dims=4, gap=3.0, seed=7):
-    """Two Gaussian clouds with an imbalanced label."""
-    rng = np.random.default_rng(seed)
-    labels = (np.arange(rows) % 4 == 0).astype(int)
-    points = rng.normal(size=(rows, dims)) + labels[:, None] * gap
-    return points, labels
-
-
 @pytest.fixture(scope="session")
 def blobs(spark):
     points, labels = blob_arrays()

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import blob_arrays
+from blobs import blob_arrays
 from pyspark.sql import functions as F
 
 from vectorloom.operators import assembly, classify, tune
