@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import archive, langid, lm_score, mixing, ngram_join, packing, quality, secret_scan, syncmers, toxicity
+from vectorloom.llm import alignment, archive, langid, lm_score, mixing, ngram_join, packing, quality, secret_scan, syncmers, toxicity
 from vectorloom.llm.text import crc_remainder, documents
 from vectorloom.operators.sizing import settle_as_table
 from vectorloom.session import scratch_path
@@ -102,3 +102,8 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     held_out = crc_remainder("doc_id", 5) == 1
     scored = lm_score.score_texts(rows, ~held_out)
     return scored.withColumn("held_out", held_out)
+
+
+@query
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(documents(spark, folder), ["doc_id"], groups=False)
