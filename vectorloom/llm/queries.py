@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import alignment, archive, langid, lm_score, mixing, ngram_join, packing, quality, secret_scan, syncmers, toxicity
+from vectorloom.llm import alignment, archive, conversation, langid, lm_score, mixing, ngram_join, packing, quality, secret_scan, syncmers, toxicity
 from vectorloom.llm.text import crc_remainder, documents
 from vectorloom.operators.sizing import settle_as_table
 from vectorloom.session import scratch_path
@@ -107,3 +107,9 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(documents(spark, folder), ["doc_id"], groups=False)
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation.repaired_totals(conversation.damaged(rows), rows)
