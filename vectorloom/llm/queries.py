@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm import alignment, archive, conversation, langid, lm_score, mixing, ngram_join, packing, quality, secret_scan, syncmers, toxicity
+from vectorloom.llm import alignment, archive, conversation, disclosure, langid, lm_score, mixing, ngram_join, packing, quality, secret_scan, syncmers, toxicity
 from vectorloom.llm.text import crc_remainder, documents
 from vectorloom.operators.sizing import settle_as_table
 from vectorloom.session import scratch_path
@@ -104,6 +104,19 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("held_out", held_out)
 
 
+@query
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = disclosure.sanitise(documents(spark, folder).select("doc_id", "text"), ["doc_id"])
+    count = lambda kind: F.size(disclosure.only(F.col("spans"), [kind])).cast("bigint")
+    base = disclosure.digest(disclosure.only(F.col("spans"), disclosure.KINDS))
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in disclosure.KINDS],
+        F.sha2(base, 256).alias("base_sha256"),
+        disclosure.digest(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align(documents(spark, folder), ["doc_id"], groups=False)
