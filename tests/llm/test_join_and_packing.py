@@ -164,6 +164,8 @@ def test_stages(spark, folder):
     assert Counter((r["doc_id"], r["text"]) for r in single) == Counter(kept)
     clean = corpus_pipeline.without_secrets(spark, docs, folder).collect()
     assert len(clean) == len(odd.TEXTS) and not any("AKIA" in (r["text"] or "") for r in clean)
+    extra = lambda rows: Counter((r["doc_id"], r["blob"], r["spans"], r["source"]) for r in rows)
+    assert extra(clean) == extra(docs.collect())
 
 
 def test_one_row_of_each_group(spark):

@@ -8,6 +8,7 @@ import numpy as np
 import odd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vectorloom.llm import langid, lm_score, quality, subwords, toxicity
 from vectorloom.llm.queries import QUERIES
@@ -35,6 +36,14 @@ def test_quality_counts(spark):
     assert kept.columns == odd.frame(spark).columns and kept.count() == sum(r["kept"] for r in got)
 
 
+def test_quality_keeps_clashing_columns(spark):
+    names = ["_content", "content", "kept", "_kept", "n_words", "row"]
+    docs = odd.frame(spark).select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    judged = quality.judge(docs)
+    assert judged.count() == len(odd.TEXTS) and "__kept" in judged.columns
+    assert {tuple(r[2:]) for r in quality.good_documents(docs).collect()} == {tuple(range(len(names)))}
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(1)
     good = rng.random(20_000) < 0.85

@@ -8,14 +8,15 @@ the demand that it pass every rule. Two base rules still reject outright.
 Votes are counted in Spark; what reaches the driver is one row per pattern, 3 to the power of the number of
 rules at most.
 
-Defined results: a null text has no words and is rejected; with no documents the estimates are the starting
-values; rows that are equal have equal results each; clashing columns of the input are kept under a name with
-a leading underscore.
+Defined results: a null text has no words and is rejected; an empty table gives an empty result, and the estimates are
+then the starting values; rows that are equal have equal results each, and a posterior equal to `KEEP` keeps; very long
+texts are counted whole, alone in their chunk; clashing columns of the input are kept under a name with leading
+underscores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.text import chunks, span_hashes, text_of, window_hashes, word_bounds
+from vectorloom.llm.text import chunks, fresh, span_hashes, text_of, window_hashes, word_bounds
 from vectorloom.operators.sizing import settle_as_table
 
 SYMBOLS = b"#*$%&|<>"
 MARKS = b"#*$%&|<>!?@^~=+_\\{}[]"
+CHUNK_BYTES = 1 << 19  # a chunk needs some 40 bytes of work arrays per byte of text
 WINDOW = 3
 LEAST_WORDS = 50
 ROUNDS = 200
@@ -82,34 +84,24 @@ def stats_of(column: pa.Array) -> np.ndarray:
     every = np.arange(256)
     # Letters, digits, and the first bytes of what lies beyond ASCII.
     letter = ((every | 32) >= 97) & ((every | 32) <= 122) | (every >= 48) & (every <= 57) | (every >= 0xC0)
-    for first, end, raw, offsets in chunks(column):
+    sums = lambda flags: np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+    for first, end, raw, offsets in chunks(column, CHUNK_BYTES):
         rows = out[first:end]
         starts, ends, bounds = word_bounds(raw, offsets)
         hashes = span_hashes(raw, starts, ends)
-        leads = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum((raw & 0xC0) != 0x80, out=leads[1:])  # code points are counted by their first bytes
-        chars = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum(leads[ends] - leads[starts], out=chars[1:])
-        marks = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(symbol[raw], out=marks[1:])
-        plain = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(letter[raw], out=plain[1:])
-        odd = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum(mark[raw], out=odd[1:])
-        marked = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum(odd[ends] > odd[starts], out=marked[1:])
-        small = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum((raw >= 97) & (raw <= 122), out=small[1:])
-        large = np.zeros(len(raw) + 1, np.int64)
-        np.cumsum((raw >= 65) & (raw <= 90), out=large[1:])
-        shouts = np.zeros(len(starts) + 1, np.int64)
-        np.cumsum((large[ends] - large[starts] > 1) & (small[ends] == small[starts]), out=shouts[1:])
+        leads = sums((raw & 0xC0) != 0x80)  # code points are counted by their first bytes
+        rows[:, 1] = np.diff(sums(leads[ends] - leads[starts])[bounds])
+        del leads
         rows[:, 0] = np.diff(bounds)
-        rows[:, 1] = np.diff(chars[bounds])
-        rows[:, 2] = np.diff(marks[offsets])
-        rows[:, 6] = np.diff(shouts[bounds])
-        rows[:, 8] = np.diff(marked[bounds])
-        rows[:, 9] = np.diff(plain[offsets])
+        rows[:, 2] = np.diff(sums(symbol[raw])[offsets])
+        rows[:, 9] = np.diff(sums(letter[raw])[offsets])
+        odd = sums(mark[raw])
+        rows[:, 8] = np.diff(sums(odd[ends] > odd[starts])[bounds])
+        del odd
+        small, large = sums((raw >= 97) & (raw <= 122)), sums((raw >= 65) & (raw <= 90))
+        shouts = (large[ends] - large[starts] > 1) & (small[ends] == small[starts])
+        rows[:, 6] = np.diff(sums(shouts)[bounds])
+        del small, large
         text = raw.tobytes()
         for k in range(end - first):
             words = hashes[bounds[k] : bounds[k + 1]]
@@ -119,21 +111,28 @@ def stats_of(column: pa.Array) -> np.ndarray:
     return out
 
 
-def with_stats(rows: DataFrame, text: str = "text") -> DataFrame:
-    """`rows` without the text, and `STATS` of it as longs."""
-    taken = {*STATS, "votes", "posterior", "base_failed", "kept"}
-    kept = [F.col(c).alias("_" + c if c in taken else c) for c in rows.columns if c != text]
-    narrow = rows.select(*kept, text_of(text).alias("_content"))
-    names = [c for c in narrow.columns if c != "_content"]
-    schema = ", ".join([*[f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in names], *[f"{s} long" for s in STATS]])
+def counted(rows: DataFrame, names: list[str], texts: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """The columns `names` of `rows` and `STATS` of the text that `texts` finds in a batch."""
+    schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names], *[f"{s} long" for s in STATS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = stats_of(batch.column(len(names)))
+            stats = stats_of(texts(batch))
             arrays = [batch.column(i) for i in range(len(names))] + [pa.array(stats[:, j]) for j in range(len(STATS))]
             yield pa.RecordBatch.from_arrays(arrays, [*names, *STATS])
 
-    return narrow.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def with_stats(rows: DataFrame, text: str = "text") -> DataFrame:
+    """`rows` without the text, and `STATS` of it as longs."""
+    names: list[str] = []
+    others = [c for c in rows.columns if c != text]
+    for column in others:
+        names.append(fresh([*STATS, "votes", "posterior", "base_failed", "kept", *names], column))
+    content = fresh(names, "content")
+    narrow = rows.select(*[F.col(c).alias(n) for c, n in zip(others, names)], text_of(text).alias(content))
+    return counted(narrow, names, lambda batch: batch.column(len(names)))
 
 
 # ---- rules ---------------------------------------------------------------------------------------
@@ -244,8 +243,9 @@ def judge(rows: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, ke
 def good_documents(rows: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES, keep: float = KEEP) -> DataFrame:
     """The rows that `judge` keeps, with their columns.
 
-    The texts are counted twice, for the estimate and for the filter, and are not shuffled or written.
+    The texts are counted twice, for the estimate and for the filter; they pass Python once each time and are not shuffled or written.
     """
     fitted = estimate(with_stats(rows.select(text), text).withColumn("votes", votes(rules)), rules)
-    held = with_stats(rows.select(F.struct(*rows.columns).alias("row"), F.col(text).alias("_counted")), "_counted")
+    place = rows.columns.index(text)
+    held = counted(rows.select(F.struct(*rows.columns).alias("row")), ["row"], lambda batch: batch.column(0).field(place))
     return held.where(~base_failed() & (posterior_column(fitted, rules) >= keep)).select("row.*")
