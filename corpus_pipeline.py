@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.llm import mixing, ngram_join, packing, quality, secret_scan
-from vectorloom.llm.text import documents
+from vectorloom.llm.text import documents, fresh
 from vectorloom.operators.sizing import settle_as_table
 from vectorloom.session import scratch_path
 
@@ -24,11 +24,15 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark."""
-    found = secret_scan.scan_versions(docs, scratch_path(spark, "secret-ledger"), path="doc_id")
-    clean = found.withColumn("text", secret_scan.redact(F.col("text"), F.col("spans")))
-    length = F.when(F.size("spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", length).select(*docs.columns)
+    """Secrets in the texts are replaced by a mark; columns named like those of the scan keep their values."""
+    aside = {c: fresh(docs.columns, "_" + c) for c in docs.columns if c.lower() in ("blob", "spans", "row", "content")}
+    rows = docs.withColumnsRenamed(aside)
+    found = secret_scan.scan_versions(rows, scratch_path(spark, "secret-ledger"), path="doc_id")
+    changed = {"text": secret_scan.redact(F.col("text"), F.col("spans"))}
+    if "n_chars" in docs.columns:
+        length = F.length(changed["text"]).cast("bigint")
+        changed["n_chars"] = F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars"))
+    return found.select(*[changed.get(c, F.col(aside.get(c, c))).alias(c) for c in docs.columns])
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
