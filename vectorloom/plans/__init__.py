@@ -1,2 +1 @@
-from vectorloom.plans.catalog import QUERIES  # noqa: F401
-from vectorloom.plans.oracles import ORACLES  # noqa: F401
+from vectorloom.plans.training import ORACLES, QUERIES  # noqa: F401  (all of catalog and oracles, and its own)
