@@ -1,18 +1,21 @@
 """Exact quantiles and box-plot statistics without one task per column.
 
-`percentile` collects all distinct values of a group in one buffer. Here, equal values are counted
-first, the counts are sorted across all partitions, and only the partitions that hold a wanted rank
-are looked into.
+`percentile` collects all distinct values of a group in one buffer. Here the wanted ranks are found by
+selection (`selection.py`), which neither sorts nor writes. Only with more groups than the driver can
+hold, equal values are counted, the counts are sorted across all partitions, and the partitions that hold a
+wanted rank are looked into.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectorloom.operators.profile import chosen_columns
+from vectorloom.operators.selection import order_statistics
 from vectorloom.operators.sizing import attach, settle, slices, sort_across
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -55,23 +58,51 @@ def _quantiles(counts: DataFrame, group: Sequence[str], shares: Sequence[float])
     )
 
 
+def _selected(
+    values: DataFrame, group: Sequence[str], shares: Sequence[float]
+) -> list[tuple[tuple, int, list[float]]] | None:
+    """(group, rows, quantiles) by selection; None if there are too many groups."""
+    ends = lambda total, share: (math.floor(share * (total - 1)), math.ceil(share * (total - 1)))
+    found = order_statistics(values, group, lambda total: [r for s in shares for r in ends(total, s)])
+    if found is None:
+        return None
+    out = []
+    for name, own in found.items():
+        quantiles = []
+        for share in shares:
+            lower, upper = (float(own.ranks[r].value) for r in ends(own.total, share))
+            point = share * (own.total - 1)
+            quantiles.append(lower + (upper - lower) * (point - math.floor(point)))
+        out.append((name, own.total, quantiles))
+    return out
+
+
 def exact_quantiles(
     values: DataFrame, group: Sequence[str], shares: Sequence[float] = QUARTILES
 ) -> DataFrame:
-    """Linearly interpolated quantiles of `value` per group: `share`, `total`, `quantile`."""
-    return _quantiles(_sorted_counts(values, group), group, shares)
+    """Linearly interpolated quantiles of `value` per group: `share`, `total`, `quantile`. Null values are left out."""
+    found = _selected(values, group, shares)
+    if found is None:
+        return _quantiles(_sorted_counts(values.where(F.col("value").isNotNull()), group), group, shares)
+    rows = [(*name, share, total, q) for name, total, qs in found for share, q in zip(shares, qs)]
+    kinds = [f"`{c}` {values.schema[c].dataType.simpleString()}" for c in group]
+    return values.sparkSession.createDataFrame(rows, ", ".join([*kinds, "share double, total bigint, quantile double"]))
 
 
-def _fenced(counts: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
-    quartiles = _quantiles(counts, ["pos"], QUARTILES)
+def _boxes(values: DataFrame) -> DataFrame:
     picked = [
         F.max(F.when(F.col("share") == share, F.col("quantile"))).alias(name)
         for share, name in zip(QUARTILES, ("q1", "median", "q3"))
     ]
-    boxes = settle(quartiles.groupBy("pos").agg(F.max("total").alias("total"), *picked))
+    quartiles = exact_quantiles(values, ["pos"], QUARTILES)
+    return settle(quartiles.groupBy("pos").agg(F.max("total").alias("total"), *picked))
+
+
+def _fenced(values: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    boxes = _boxes(values)
     spread = (F.col("q3") - F.col("q1")) * reach
     inside = F.col("value").between(F.col("q1") - spread, F.col("q3") + spread)
-    return boxes, attach(counts, boxes, ["pos"]).withColumn("inside", inside)
+    return boxes, attach(values, boxes, ["pos"]).withColumn("inside", inside)
 
 
 def boxplot_stats(
@@ -82,12 +113,11 @@ def boxplot_stats(
     Whiskers end at the outermost values within `reach` interquartile ranges of the box, and never
     inside the box.
     """
-    counts = _sorted_counts(chosen_columns(rows, features, positions), ["pos"])
-    boxes, marked = _fenced(counts, reach)
+    boxes, marked = _fenced(chosen_columns(rows, features, positions), reach)
     ends = marked.groupBy("pos").agg(
         F.min(F.when(F.col("inside"), F.col("value"))).alias("_low"),
         F.max(F.when(F.col("inside"), F.col("value"))).alias("_high"),
-        F.sum(F.when(F.col("inside"), F.lit(0)).otherwise(F.col("n"))).alias("outliers"),
+        F.count_if(~F.col("inside")).alias("outliers"),
     )
     return boxes.join(ends, "pos").select(
         "pos",
@@ -105,5 +135,5 @@ def boxplot_outliers(
     rows: DataFrame, features: str, positions: Column, reach: float = 1.5
 ) -> DataFrame:
     """The values beyond the whiskers with their multiplicity, left distributed."""
-    counts = _sorted_counts(chosen_columns(rows, features, positions), ["pos"])
-    return _fenced(counts, reach)[1].where(~F.col("inside")).select("pos", "value", "n")
+    marked = _fenced(chosen_columns(rows, features, positions), reach)[1]
+    return marked.where(~F.col("inside")).groupBy("pos", "value").agg(F.count(F.lit(1)).alias("n"))
