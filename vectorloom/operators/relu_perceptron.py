@@ -618,7 +618,7 @@ class _SharedFits:
 def whole_label(label: Column) -> Column:
     """The label as an int; an error if that changes its value."""
     whole = label.cast("int")
-    problem = F.concat(F.lit("labels must be whole numbers, found "), label.cast("string"))
+    problem = F.concat(F.lit("labels must be whole numbers, found "), F.coalesce(label.cast("string"), F.lit("null")))
     return F.when(whole == label, whole).otherwise(F.raise_error(problem).cast("int"))
 
 

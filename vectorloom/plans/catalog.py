@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from vectorloom import functions as X
-from vectorloom.operators import assembly, boxplot, classify, evaluate, folds, inference, profile, tune
+from vectorloom.operators import assembly, boxplot, classify, evaluate, folds, inference, newton, profile, tune
 from vectorloom.operators.relu_perceptron import ReluPerceptronClassifier, ReluPerceptronModel
 from vectorloom.session import scratch_path
 from vectorloom.sources import (
@@ -553,19 +553,11 @@ def lr_stationarity(spark: SparkSession, folder: str) -> DataFrame:
     estimator = classify.penalised_logistic_regression(rows.count(), tol=1e-10)
     model = estimator.fit(rows)
     weights = model.coefficientMatrix.toArray()
-    fitted = spark.createDataFrame(
-        [(k, j, float(w)) for (k, j), w in np.ndenumerate(weights)], "class int, pos int, weight double"
-    )
-    scored = model.transform(rows).select(
-        "label",
-        vector_to_array("features").alias("features"),
-        F.posexplode(vector_to_array("probability")).alias("class", "chance"),
-    )
-    miss = F.col("chance") - (F.col("label") == F.col("class")).cast("double")
-    long = profile.long_form(scored.withColumn("miss", miss), "features", ["class", "miss"])
-    slopes = long.groupBy("class", "pos").agg(F.sum(F.col("miss") * F.col("value")).alias("pull"))
-    total = F.col("pull") + F.col("weight")
-    return slopes.join(fitted, ["class", "pos"]).select("class", "pos", rounded(total, "slope", 2))
+    at = np.hstack([weights, model.interceptVector.toArray()[:, None]])
+    sums = newton.sums_at(newton.labelled(rows, "features", "label"), at, len(at), curved=False)
+    slopes = sums[2:].reshape(at.shape)[:, :-1] + weights
+    found = [(k, j, float(v)) for (k, j), v in np.ndenumerate(slopes)]
+    return spark.createDataFrame(found, "class int, pos int, slope double").select("class", "pos", rounded("slope", "slope", 2))
 
 
 @query

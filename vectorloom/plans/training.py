@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom import functions as X
-from vectorloom.operators import fold_search, tune
+from vectorloom.operators import fold_search, newton, tune
 from vectorloom.operators.relu_perceptron import ReluPerceptronClassifier, layer_views
 from vectorloom.operators.slot_training import fit_in_slots
 from vectorloom.plans.catalog import CLASSES, QUERIES, embeddings, linear_map, query, rounded, train_rows
 from vectorloom.plans.oracles import _E, ORACLES
 from vectorloom.session import scratch_path
+from vectorloom.sources import table
 
 LAYERS = [64, 6, CLASSES]
 STEP = 0.5
@@ -119,6 +120,41 @@ ORACLES["relu_step_history"] = f"""{_STEP}, {_updated(f"(-{STEP} * g)")},
   FROM n, sums, held"""
 
 
+# ---- logistic regression -------------------------------------------------------------------------
+
+
+@query
+def lr_newton_onehot(spark: SparkSession, folder: str) -> DataFrame:
+    """Return flag by line status: with one column per status the optimum is the logarithm of the shares."""
+    flags, statuses = ["A", "N", "R"], ["F", "O"]
+    lines = table(spark, folder, "lineitem").select(
+        X.one_hot_name(F.col("l_linestatus"), statuses).alias("features"),
+        (F.array_position(F.array(*map(F.lit, flags)), F.col("l_returnflag")) - 1).alias("label"),
+    )
+    found = newton.fit(lines, "features", "label", len(statuses), len(flags), intercept=False)
+    rows = [(flags[k], statuses[j], float(v)) for (k, j), v in np.ndenumerate(found.coefficients)]
+    made = spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, coefficient double")
+    return made.select("l_returnflag", "l_linestatus", rounded("coefficient", "coefficient"))
+
+
+ORACLES["lr_newton_onehot"] = """WITH c AS (
+    SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL),
+  d AS (SELECT l_linestatus, l_returnflag, ln(n / sum(n) OVER (PARTITION BY l_linestatus)) AS share FROM c)
+  SELECT l_returnflag, l_linestatus, round(share - avg(share) OVER (PARTITION BY l_linestatus), 6) + 0.0 AS coefficient FROM d"""
+
+
+@query
+def lr_newton_slope(spark: SparkSession, folder: str) -> DataFrame:
+    """Slope of the penalised mean loss at the fit on the training split, per class and column."""
+    rows = train_rows(spark, folder)
+    found = newton.fit(rows, "embedding", "label", 64, CLASSES, penalty=1.0 / rows.count())
+    slopes = [(k, j, float(v)) for (k, j), v in np.ndenumerate(found.slope[:, :-1])]
+    return spark.createDataFrame(slopes, "class int, pos int, slope double").select("class", "pos", rounded("slope", "slope", 8))
+
+
+ORACLES["lr_newton_slope"] = ORACLES["lr_stationarity"]
+
+
 # ---- searches ------------------------------------------------------------------------------------
 
 
