@@ -43,9 +43,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectorloom.llm.text import WORD, chunks, lowered, span_hashes, text_of, window_hashes, word_bounds
+from vectorloom.llm.text import WORD, chunks, give_back, lowered, span_hashes, text_of, window_hashes, word_bounds
 from vectorloom.operators.sizing import settle_as_table
 
+CHUNK_BYTES = 1 << 19
 HOT = 16  # an n-gram in so many rows is frequent; raised until the frequent ones fit `MAX_HOT`
 MAX_HOT = 1_000_000  # n-grams broadcast as frequent, 8 bytes each
 SCOUT = 0.30  # share of a set whose n-grams are counted to find the frequent ones
@@ -75,13 +76,14 @@ class Spec:
 
 def gram_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
-    for _, _, raw, offsets in chunks(column):
+    for _, _, raw, offsets in chunks(column, CHUNK_BYTES):
         raw = lowered(raw)
         starts, ends, bounds = word_bounds(raw, offsets)
         words = span_hashes(raw, starts, ends)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             width = min(size, b - a)
             yield np.unique(window_hashes(words[a:b], width)) if width else np.empty(0, np.uint64)
+    give_back()
 
 
 def digest(grams: np.ndarray) -> int:

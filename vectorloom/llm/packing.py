@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from vectorloom.llm import subwords
-from vectorloom.llm.text import text_of
+from vectorloom.llm.text import give_back, text_of
 
 SEQUENCE = 4096
 PACK_TOKENS = 1 << 20
@@ -149,6 +149,7 @@ def pack_documents(
                     yield flush()
         if held:
             yield flush()
+        give_back()
 
     return rows.select(id_column, text_of(text).alias("text")).mapInArrow(run, schema)
 

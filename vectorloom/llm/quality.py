@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm.text import chunks, fresh, span_hashes, text_of, window_hashes, word_bounds
+from vectorloom.llm.text import chunks, fresh, give_back, span_hashes, text_of, window_hashes, word_bounds
 from vectorloom.operators.sizing import settle_as_table
 
 SYMBOLS = b"#*$%&|<>"
@@ -120,6 +120,7 @@ def counted(rows: DataFrame, names: list[str], texts: Callable[[pa.RecordBatch],
             stats = stats_of(texts(batch))
             arrays = [batch.column(i) for i in range(len(names))] + [pa.array(stats[:, j]) for j in range(len(STATS))]
             yield pa.RecordBatch.from_arrays(arrays, [*names, *STATS])
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

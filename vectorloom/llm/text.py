@@ -5,6 +5,7 @@ Words are runs of bytes other than space and U+0009..U+000D everywhere. A null t
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import zlib
 from collections.abc import Iterator
@@ -86,6 +87,14 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def worker_cache() -> dict:
     """What this process keeps between tasks. Task code travels by value, so its globals do not stay."""
     return sys.modules.setdefault("_vectorloom_cache", ModuleType("_vectorloom_cache")).__dict__
