@@ -200,7 +200,8 @@ def _search(
     folds = counts.groupBy("point", "fold").agg((F.sum("hits") / F.sum("n")).alias("accuracy"))
     means = folds.groupBy("point").agg(F.avg("accuracy").alias("fold_mean"), F.stddev_pop("accuracy").alias("fold_std"))
     grid = spark.createDataFrame([(k, json.dumps({name: p})) for k, p in enumerate(points)], "point int, params string")
-    order = Window.orderBy(F.desc("fold_mean"), F.asc("point"))  # one row per point
+    # One row per point. Equal means may differ in their last bit by the order of folds; ties go to the earlier point.
+    order = Window.orderBy(F.round("fold_mean", 12).desc(), F.asc("point"))
     report = grid.join(F.broadcast(means), "point").withColumn("rank", F.row_number().over(order))
     return report.select("point", "params", "fold_mean", "fold_std", "rank")
 

@@ -212,7 +212,7 @@ def _report(points: list[float], name: str, scores: str) -> str:
   acc AS (SELECT point, held, avg((k = label)::INT) AS accuracy FROM hit GROUP BY point, held),
   rep AS (SELECT point, avg(accuracy) AS m, stddev_pop(accuracy) AS s FROM acc GROUP BY point)
   SELECT point::INT AS point, params, round(m, 6) + 0.0 AS fold_mean, round(s, 6) + 0.0 AS fold_std,
-         row_number() OVER (ORDER BY m DESC, point)::INT AS rank
+         row_number() OVER (ORDER BY round(m, 12) DESC, point)::INT AS rank
   FROM rep JOIN g USING (point)"""
 
 
