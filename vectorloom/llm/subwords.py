@@ -8,6 +8,7 @@ words that are new in a batch go to the tokenizer in one call.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 import regex
@@ -28,24 +29,19 @@ def default_path() -> str:
     return public_tokenizers.path(FILE)
 
 
-class Table(dict):
-    """Known words, and beside them those of the batch at hand for which there was no room."""
-
-    extra: dict[str, bytes] = {}
-
-    def __missing__(self, word: str) -> bytes:
-        return self.extra[word]
-
-
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, limit: int = CACHED_WORDS):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Parts are normalised and split already; without these steps the same model takes less time.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.limit = limit
-        self.known = Table()
+        self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         tokens = (self.tokenizer.id_to_token(i) or "" for i in range(size))
@@ -56,7 +52,7 @@ class Encoder:
 
     def learn_parts(self, parts: list[str]) -> dict[str, bytes]:
         """Ids of pre-split parts: one call, cut where a word ends."""
-        joined = self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0]
+        joined = self.merges.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0]
         ids = np.asarray(joined.ids, "<u4")
         cuts = np.flatnonzero(self.closes[ids]) + 1
         if len(cuts) != len(parts):
@@ -64,22 +60,44 @@ class Encoder:
         raw, begins = ids.tobytes(), [0, *(4 * cuts[:-1]).tolist()]
         return {p: raw[a:b] for p, a, b in zip(parts, begins, (4 * cuts).tolist())}
 
+    def split(self, word: str) -> list[str]:
+        if word.isascii():
+            return [word.lower()] if word.isalpha() else WORDS.findall(word.lower())
+        return WORDS.findall(self.tokenizer.normalizer.normalize_str(word))
+
     def learn(self, words: Iterable[str]) -> dict[str, bytes]:
-        normal = self.tokenizer.normalizer.normalize_str
-        split = {w: WORDS.findall(w.lower() if w.isascii() else normal(w)) for w in words}
-        new = sorted(set().union(*split.values()).difference(self.parts))
+        split = {w: self.split(w) for w in words}
+        new = list(set().union(*split.values()).difference(self.parts))
         fresh = self.learn_parts(new) if new else {}
         found = {w: b"".join([self.parts.get(p) or fresh[p] for p in parts]) for w, parts in split.items()}
-        for table, items in ((self.parts, fresh), (self.known, found)):
-            room = self.limit - len(table)
-            table.update(items if len(items) <= room else list(items.items())[: max(room, 0)])
+        room = max(self.limit - len(self.parts), 0)
+        self.parts.update(islice(fresh.items(), room))
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(odd in t for odd in DIRECT) else t.split() for t in texts]
-        self.known.extra = self.learn(set().union(*filter(None, split)).difference(self.known))
+        """Texts of known words take one pass; the new words of the others are learned together first."""
         find = self.known.__getitem__
-        return [self.direct(t) if words is None else b"".join(map(find, words)) for t, words in zip(texts, split)]
+        out: list[bytes | None] = []
+        late: list[tuple[int, list[str]]] = []
+        for text in texts:
+            if any(odd in text for odd in DIRECT):
+                out.append(self.direct(text))
+                continue
+            words = text.split()
+            try:
+                out.append(b"".join(map(find, words)))
+            except KeyError:
+                late.append((len(out), words))
+                out.append(None)
+        if late:
+            found = self.learn(set().union(*(words for _, words in late)).difference(self.known))
+            room = max(self.limit - len(self.known), 0)
+            self.known.update(found)
+            for place, words in late:
+                out[place] = b"".join(map(find, words))
+            for word in islice(found, room, None):  # what there is no room for
+                del self.known[word]
+        return out
 
 
 def encoder(path: str) -> Encoder:
