@@ -97,3 +97,15 @@ def test_records_are_checked():
 def test_ranges_join_neighbours():
     got = list(archive.ranges([100, 0, 50, 10_000], [10, 50, 50, 5], gap=64))
     assert got == [(0, 110, [1, 2, 0]), (10_000, 5, [3])]
+
+
+@pytest.mark.parametrize("max_rows", [0, 1, 2, 3])
+def test_repeated_payloads_beyond_the_broadcast(spark, max_rows):
+    rows = [(k, f"{k % 7}" * (90 + k % 7 * 4)) for k in range(60)] + [(None, "3" * 102), (100, None), (101, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(4)
+    plan = archive.plan_records(pages, "page_id", "html", None, max_rows=max_rows)
+    got = {(r["key"], len(r["payload"]), r["refers_to"]) for r in plan.collect()}
+    whole = archive.plan_records(pages, "page_id", "html", None)
+    assert sorted(map(tuple, plan.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert (None, 102, 3) in got and (10, 102, 3) in got and (3, 102, None) in got and (101, 0, None) in got
+    assert plan.count() == len(rows)

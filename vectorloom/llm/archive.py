@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vectorloom.operators.sizing import MAX_BROADCAST_ROWS, settle
+
 PACKAGE_BYTES = 64 << 20
 LEAST = 100
 GAP = 64 << 10  # records closer than this are fetched in one range
@@ -238,20 +240,47 @@ def parse_record(raw: bytes) -> tuple[int | None, str | None, int, str, str, int
 # ---- Spark ----------------------------------------------------------------------------------------
 
 
-def plan_records(pages: DataFrame, key: str, payload: str, url: str | None, least: int = LEAST) -> DataFrame:
-    """(key, url, payload, digest, refers_to): who holds each payload and who revisits it."""
+def plan_records(
+    pages: DataFrame, key: str, payload: str, url: str | None, least: int = LEAST, max_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """(key, url, payload, digest, refers_to): who holds each payload and who revisits it.
+
+    Only digests and keys are shuffled to find payloads that repeat. The most frequent of these, `max_rows` at
+    most, are broadcast; a payload moves only if its digest may be one of the others.
+    """
     raw = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     link = F.col(url).cast("string") if url else F.lit(None).cast("string")
     rows = pages.select(F.col(key).cast("long").alias("key"), link.alias("url"), raw.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     long_enough = F.octet_length("payload") >= least
     firsts = rows.where(long_enough).groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first")
-    rows = rows.join(firsts, "digest", "left")
+    firsts = settle(firsts.where((F.col("n") > 1) & F.col("first").isNotNull()))
+    few = firsts.count() <= max_rows
+    frequent = firsts if few else settle(firsts.orderBy(F.desc("n"), "digest").limit(max_rows))
+    rows = rows.join(F.broadcast(frequent.select("digest", "first")), "digest", "left")
+    if not few:
+        rows = with_rare(rows, firsts.join(F.broadcast(frequent.select("digest")), "digest", "left_anti"))
     met = F.col("key").isNull() | (F.col("key") > F.col("first"))
     return rows.select("key", "url", "payload", "digest", F.when(met, F.col("first")).alias("refers_to"))
 
 
+def with_rare(rows: DataFrame, rare: DataFrame) -> DataFrame:
+    """`rows` (…, digest, first) with `first` of the digests in `rare`, too many to broadcast.
+
+    A bit map of at most 2^20 words of 64 bits, addressed by the first 26 bits of a digest, tells which rows
+    may have one; the others stay where they are. No digest in `rare` is frequent, so none makes a hot task.
+    """
+    number = F.conv(F.substring("digest", 1, 7), 16, 10).cast("long")
+    word, bit = F.shiftright(number, 8), F.shiftright(number, 2).bitwiseAND(F.lit(63)).cast("int")
+    marks = rare.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    marked = rows.withColumn("word", word).join(F.broadcast(settle(marks)), "word", "left")
+    maybe = F.col("first").isNull() & F.coalesce(F.call_function("getbit", "bits", bit) == 1, F.lit(False))
+    columns = ["key", "url", "payload", "digest", "first"]
+    stay = marked.where(~maybe).select(*columns)
+    move = marked.where(maybe).drop("first").join(rare.select("digest", "first"), "digest", "left")
+    return stay.unionByName(move.select(*columns))
+
+
 def write_packages(records: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Write `records` as packages below `folder`; one row (package, records) per file."""
 
