@@ -79,3 +79,16 @@ def test_array_features_do_not_depend_on_batches(spark):
     for size, parts in ((7, 1), (64, 4)):
         found = inference.featurise(rows.repartition(parts), "v", factory, [2], batch_size=size)
         assert all(r.features == [r.id + 2.0] for r in found.collect())
+
+
+def test_resized_column_keeps_nulls_and_invalid_images_apart(spark):
+    rng = np.random.default_rng(8)
+    image = rng.integers(0, 255, (5, 4, 3)).astype(np.uint8)
+    struct = "struct<height int, width int, nChannels int, data binary>"
+    rows = [(0, (5, 4, 3, image.tobytes())), (1, None), (2, (-1, -1, -1, b"")), (3, (5, 4, 3, None)), (4, (5, 4, 3, image.tobytes()))]
+    frame = spark.createDataFrame(rows, f"id int, image {struct.replace(' int', ': int').replace(' binary', ': binary')}")
+    found = {r["id"]: r["p"] for r in frame.select("id", inference.resize_images("image", 7, 2, 1).alias("p")).collect()}
+    wanted = inference.bilinear(inference.rgb(5, 4, 3, [image.tobytes()]), 7, 2)[0].ravel()
+    assert found[1] is None and found[2] is None and found[3] is None
+    np.testing.assert_allclose(found[0], wanted)
+    np.testing.assert_allclose(found[4], wanted)

@@ -8,9 +8,11 @@ travel with the rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,19 +21,22 @@ from pyspark.sql.types import ArrayType, DataType, FloatType, StructField, Struc
 Factory = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
+@lru_cache(maxsize=256)
+def taps(size: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The weight matrix of one axis, two entries a row: their places and the weight of the second."""
+    at = np.clip((np.arange(target) + 0.5) * (size / target) - 0.5, 0, size - 1)
+    low = np.floor(at).astype(np.int64)
+    return low, np.minimum(low + 1, size - 1), (at - low).astype(np.float32)
+
+
 def bilinear(images: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear resize of equally large images (count, rows, columns, channels).
 
     Half-pixel centres and clamped borders, without anti-aliasing.
     """
 
-    def axis(size: int, target: int):
-        at = np.clip((np.arange(target) + 0.5) * (size / target) - 0.5, 0, size - 1)
-        low = np.floor(at).astype(np.int64)
-        return low, np.minimum(low + 1, size - 1), (at - low).astype(np.float32)
-
-    top, bottom, down = axis(images.shape[1], height)
-    left, right, along = axis(images.shape[2], width)
+    top, bottom, down = taps(images.shape[1], height)
+    left, right, along = taps(images.shape[2], width)
     down, along = down[:, None, None], along[:, None]
     pixels = images.astype(np.float32)
     rows = pixels[:, top] * (1 - down) + pixels[:, bottom] * down
@@ -67,15 +72,23 @@ def batches_of(frame: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
 def resize_images(image: str | Column, height: int, width: int, batch_size: int = 64) -> Column:
     """Image struct to a flat `array<float>` of height x width x 3; null for an invalid image."""
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def resize(images: pd.DataFrame) -> pd.Series:
-        out = np.full(len(images), None, dtype=object)
-        start = 0
-        for part in batches_of(images, batch_size):
-            for pixels, place in zip(*resized(part, height, width)):
-                out[start + place] = pixels.ravel()
-            start += len(part)
-        return pd.Series(out)
+    @F.arrow_udf(ArrayType(FloatType()))
+    def resize(images: pa.Array) -> pa.Array:
+        names = ("height", "width", "nChannels", "data")
+        frame = pd.DataFrame({n: images.field(n).to_pandas() for n in names})
+        sizes = frame[list(names[:3])].fillna(0).astype(np.int64)
+        frame = frame.assign(**sizes)
+        valid = (sizes > 0).all(axis=1).to_numpy() & frame["data"].notna().to_numpy()
+        frame.loc[~valid, "height"] = 0
+        each = height * width * 3
+        pixels, start = np.empty((int(valid.sum()), each), np.float32), 0
+        for part in batches_of(frame, batch_size):
+            found, _ = resized(part, height, width)
+            pixels[start : start + len(found)] = found.reshape(len(found), each)
+            start += len(found)
+        offsets = np.concatenate([[0], np.cumsum(valid)]) * each
+        values, missing = pa.array(pixels.ravel()), pa.array(~valid)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=missing)
 
     struct = F.col(image) if isinstance(image, str) else image
     parts = [struct[name].alias(name) for name in ("height", "width", "nChannels", "data")]

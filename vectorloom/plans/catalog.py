@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from vectorloom import functions as X
-from vectorloom.operators import assembly, boxplot, classify, evaluate, folds, inference, newton, profile, tune
+from vectorloom.operators import assembly, boxplot, classify, evaluate, folds, inference, newton, permutation, profile, tune
 from vectorloom.operators.relu_perceptron import ReluPerceptronClassifier, ReluPerceptronModel
 from vectorloom.session import scratch_path
 from vectorloom.sources import (
@@ -181,6 +181,14 @@ def shuffled_rows(spark: SparkSession, folder: str) -> DataFrame:
     return shuffled(table(spark, folder, "embeddings").select("vec_id", "label"), seed=4321)
 
 
+@query
+def shuffled_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    """The keys that order the rows in three epochs, of the rows in the order of the last."""
+    rows = shuffled(table(spark, folder, "embeddings").select("vec_id", "label"), seed=17, epoch=2)
+    keys = [permutation.permuted(F.col("vec_id"), 17, epoch).alias(f"key_{epoch}") for epoch in range(3)]
+    return rows.select("vec_id", "label", *keys)
+
+
 @query
 def feature_slice(spark: SparkSession, folder: str) -> DataFrame:
     features = X.feature_slice(F.col("matrix"), CLASSES)
@@ -455,6 +463,25 @@ def image_resize(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def image_resize_colour(spark: SparkSession, folder: str) -> DataFrame:
+    """Each embedding drawn as a 6 x 3 colour image, reduced 2:1 and 3:2 and enlarged; all channels."""
+    drawn = F.struct(
+        F.lit(6).alias("height"),
+        F.lit(3).alias("width"),
+        F.lit(3).alias("nChannels"),
+        F.substring("image.data", 1, 54).alias("data"),
+    )
+    rows = image_rows(spark, folder).select("vec_id", drawn.alias("image"))
+    sizes = [(3, 1), (4, 2), (12, 6)]
+    resized = [inference.resize_images("image", h, w).alias(f"r{h}x{w}") for h, w in sizes]
+    rows = rows.select("vec_id", *resized)
+    each = F.array(*[F.struct(F.lit(f"{h}x{w}").alias("size"), F.col(f"r{h}x{w}").alias("pixels")) for h, w in sizes])
+    rows = rows.select("vec_id", F.explode(each).alias("one"))
+    rows = rows.select("vec_id", "one.size", F.posexplode("one.pixels").alias("pos", "value"))
+    return rows.withColumn("value", F.col("value").cast("double"))
+
+
 @query
 def image_label_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Resized pixels and one-hot label of every image, the class name standing for its folder."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from vectorloom.operators.permutation import LOW, MULTIPLIER, round_keys
+
 _E = """e AS (
   SELECT vec_id, embedding, label, CAST(label < 7 AS INT) AS label2,
          CASE WHEN vec_id % 10 <= 6 THEN 'train' WHEN vec_id % 10 <= 8 THEN 'test'
@@ -117,6 +119,20 @@ def _dot(width: int, output: int, value: str) -> str:
 
 
 _PIXEL = "floor((CAST(embedding[{0} + 1] AS DOUBLE) + 1) * 127.5)"
+
+def _epochs(seed: int, epochs: int) -> str:
+    """Keys of ids below 2^32 in each epoch, one step of the permutation after the other."""
+    sql = "SELECT vec_id, label, " + ", ".join(f"0::BIGINT AS l{e}, vec_id AS r{e}" for e in range(epochs))
+    sql += " FROM embeddings"
+    for keys in zip(*(round_keys(seed, e) for e in range(epochs))):
+        mixed = [f"(r{e} * {MULTIPLIER} + {key}) & {LOW} AS m{e}" for e, key in enumerate(keys)]
+        turned = [f"r{e} AS l{e}, xor(l{e}, xor(m{e}, m{e} >> 15)) AS r{e}" for e in range(epochs)]
+        sql = f"SELECT vec_id, label, {', '.join(turned)} FROM (SELECT *, {', '.join(mixed)} FROM ({sql}))"
+    # A key is the two halves as one signed number.
+    key = "(CASE WHEN l{0} >= 2147483648 THEN l{0} - 4294967296 ELSE l{0} END) * 4294967296 + r{0} AS key_{0}"
+    return f"SELECT vec_id, label, {', '.join(key.format(e) for e in range(epochs))} FROM ({sql})"
+
+
 # A 2:1 reduction with half-pixel centres takes the mean of each 2 x 2 square.
 _SQUARE = "({}) / 4".format(
     " + ".join(_PIXEL.format(f"(16 * (i // 4) + 2 * (i % 4) + {d})") for d in (0, 1, 8, 9))
@@ -142,6 +158,7 @@ ORACLES: dict[str, str] = {
                round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) + 0.0
                  AS total
         FROM e""",
+    "shuffled_epochs": _epochs(17, 3),
     "shuffled_rows": "SELECT vec_id, label FROM embeddings",
     "feature_slice": f"""WITH {_M}, s AS (SELECT vec_id, matrix[1:len(matrix) - 10] AS f FROM m)
         SELECT vec_id, len(f)::INT AS n_features, f[1] AS first_value, f[-1] AS last_value,
@@ -223,6 +240,22 @@ ORACLES: dict[str, str] = {
     "image_resize": f"""WITH i AS (
           SELECT vec_id, embedding, unnest(range(16))::INT AS i FROM embeddings)
         SELECT vec_id, i AS pos, {_SQUARE} AS value FROM i""",
+    "image_resize_colour": """WITH px AS (
+          SELECT vec_id, list_transform(embedding[1:54], lambda v:
+            floor((CAST(v AS DOUBLE) + 1.0) * 127.5)) AS px FROM embeddings),
+        s AS (SELECT * FROM (VALUES (3, 1), (4, 2), (12, 6)) s(h, w)),
+        y AS (SELECT h, w, y, greatest(least((y + 0.5::DOUBLE) * 6 / h - 0.5, 5), 0) AS at
+              FROM s, unnest(range(h)) AS u(y)),
+        x AS (SELECT h, w, x, greatest(least((x + 0.5::DOUBLE) * 3 / w - 0.5, 2), 0) AS at
+              FROM s, unnest(range(w)) AS u(x)),
+        g AS (SELECT y.h, y.w, c, (y * y.w + x) * 3 + c AS pos,
+                floor(y.at)::INT AS top, least(floor(y.at)::INT + 1, 5) AS bottom, y.at - floor(y.at) AS down,
+                floor(x.at)::INT AS l, least(floor(x.at)::INT + 1, 2) AS r, x.at - floor(x.at) AS along
+              FROM y JOIN x ON y.h = x.h AND y.w = x.w, unnest(range(3)) AS u(c))
+        SELECT vec_id, h || 'x' || w AS size, pos::INT AS pos,
+          (px[(top * 3 + l) * 3 + 3 - c] * (1 - along) + px[(top * 3 + r) * 3 + 3 - c] * along) * (1 - down)
+          + (px[(bottom * 3 + l) * 3 + 3 - c] * (1 - along) + px[(bottom * 3 + r) * 3 + 3 - c] * along) * down AS value
+        FROM px, g""",
     "image_label_rows": f"""WITH i AS (
           SELECT vec_id, label, list_sum(list_transform(range(0, 16), lambda i: {_SQUARE})) * 3
                    AS total FROM embeddings),

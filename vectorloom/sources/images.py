@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.functions.scalars import parent_dir
+from vectorloom.operators.permutation import shuffle
 
 
 def list_files(
@@ -21,7 +22,7 @@ def list_files(
     """Files below `root` with the class taken from the parent directory.
 
     File bytes are read only with `content=True`; otherwise the column is pruned and listing costs
-    no reads. A shuffled order is a distributed sort and made only when a seed is given.
+    no reads. A shuffled order moves every row and is made only when a seed is given.
     """
     files = spark.read.format("binaryFile").load(f"{root}/{pattern}")
     name = F.element_at(F.split("path", "/"), -1)
@@ -31,9 +32,9 @@ def list_files(
     return files if shuffle_seed is None else shuffled(files, shuffle_seed)
 
 
-def shuffled(rows: DataFrame, seed: int) -> DataFrame:
-    """The same rows in a random order."""
-    return rows.orderBy(F.rand(seed))
+def shuffled(rows: DataFrame, seed: int, id_column: str | None = None, epoch: int = 0) -> DataFrame:
+    """The same rows in a random order, fixed by seed and epoch, by `id_column` or else the first column."""
+    return shuffle(rows, id_column or rows.columns[0], seed, epoch)
 
 
 def scan_images(
