@@ -196,3 +196,25 @@ def test_model_round_trip(spark, blobs, tmp_path):
     again = NaiveBayesModel.load(str(tmp_path / "nb"))
     both = [m.transform(rows).orderBy("id").select("prediction").collect() for m in (model, again)]
     assert both[0] == both[1]
+
+
+def test_written_shards_and_their_manifest(spark, tmp_path):
+    from vectorloom.sources import npy_manifest, write_npy
+
+    matrix = np.random.default_rng(2).normal(size=(40, 3))
+    rows = spark.createDataFrame([(row.tolist(),) for row in matrix], "x array<double>").repartition(3)
+    shards = write_npy(rows, "x", str(tmp_path / "m"), "<f8", shard_bytes=100).collect()
+    assert sum(r["rows"] for r in shards) == 40
+    found = npy_manifest(spark, str(tmp_path / "m"), files_per_task=2).collect()
+    assert len(found) == len(shards) and sum(r["rows"] for r in found) == 40
+    assert {(r["kind"], r["item_bytes"], r["width"], r["by_column"]) for r in found} == {("f", 8, 3, False)}
+    assert all(r["bytes"] == r["offset"] + 24 * r["rows"] for r in found)
+    back = sorted(tuple(r["features"]) for r in read_npy(spark, str(tmp_path / "m")).collect())
+    assert back == sorted(map(tuple, matrix.tolist()))
+    for bad in ([[1.0], [1.0, 2.0]], [[1.0], None], [[1.0], [None]]):
+        broken = spark.createDataFrame([(b,) for b in bad], "x array<double>").coalesce(1)
+        with pytest.raises(Exception, match="no nulls|different length"):
+            write_npy(broken, "x", str(tmp_path / "bad")).collect()
+    np.save(tmp_path / "m" / "z.npy", np.zeros((2, 4)))
+    with pytest.raises(ValueError, match="different width"):
+        read_npy(spark, str(tmp_path / "m"))

@@ -21,12 +21,15 @@ from vectorloom.session import scratch_path
 from vectorloom.sources import (
     append_runs,
     list_files,
+    npy_manifest,
     read_log,
     read_matrix,
+    read_npy,
     shuffled,
     table,
     with_split,
     write_matrix,
+    write_npy,
 )
 
 CLASSES = 10
@@ -176,6 +179,34 @@ def file_listing(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(name.alias("file_name"), "length", "class_name")
 
 
+def npy_shards(spark: SparkSession, folder: str) -> str:
+    """The id, features and label of each embedding as `.npy` shards, half of the rows in single precision."""
+    path = scratch_path(spark, "npy")
+    rows = table(spark, folder, "embeddings")
+    values = F.transform("embedding", lambda v: v.cast("double"))
+    row = F.concat(F.array(F.col("vec_id").cast("double")), values, F.array(F.col("label").cast("double")))
+    for kind, part in (("<f4", 0), ("<f8", 1)):
+        half = rows.where(F.pmod("vec_id", F.lit(2)) == part).select(row.alias("row"))
+        write_npy(half, "row", f"{path}/{kind[1:]}", kind).write.format("noop").mode("overwrite").save()
+    return path
+
+
+@query
+def npy_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Shards of two precisions written, planned by their headers and read back; every cell."""
+    found = read_npy(spark, npy_shards(spark, folder))
+    single = F.col("path").contains("/f4/")
+    found = found.select(F.col("features")[0].cast("bigint").alias("vec_id"), single.alias("single"), F.posexplode("features").alias("pos", "value"))
+    return found.where("pos > 0").select("vec_id", "single", "pos", rounded("value", "value"))
+
+
+@query
+def npy_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, width and element of the shards by precision."""
+    found = npy_manifest(spark, npy_shards(spark, folder))
+    return found.groupBy("kind", "item_bytes", "width").agg(F.sum("rows").alias("n_rows"))
+
+
 @query
 def shuffled_rows(spark: SparkSession, folder: str) -> DataFrame:
     return shuffled(table(spark, folder, "embeddings").select("vec_id", "label"), seed=4321)

@@ -158,6 +158,11 @@ ORACLES: dict[str, str] = {
                round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 6) + 0.0
                  AS total
         FROM e""",
+    "npy_scan": """SELECT vec_id, vec_id % 2 = 0 AS single, unnest(range(1, 66))::INT AS pos,
+          round(unnest(list_append(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), CAST(label AS DOUBLE))), 6) + 0.0
+            AS value FROM embeddings""",
+    "npy_headers": """SELECT 'f' AS kind, CASE WHEN vec_id % 2 = 0 THEN 4 ELSE 8 END::BIGINT AS item_bytes,
+          66::BIGINT AS width, count(*)::BIGINT AS n_rows FROM embeddings GROUP BY ALL""",
     "shuffled_epochs": _epochs(17, 3),
     "shuffled_rows": "SELECT vec_id, label FROM embeddings",
     "feature_slice": f"""WITH {_M}, s AS (SELECT vec_id, matrix[1:len(matrix) - 10] AS f FROM m)

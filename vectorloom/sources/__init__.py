@@ -1,5 +1,5 @@
 from vectorloom.sources.images import list_files, scan_images, shuffled  # noqa: F401
-from vectorloom.sources.npy import NpyMatrixSource, read_npy  # noqa: F401
+from vectorloom.sources.npy import NpyMatrixSource, npy_manifest, read_npy, write_npy  # noqa: F401
 from vectorloom.sources.runlog import (  # noqa: F401
     RUN_SCHEMA,
     append_run,

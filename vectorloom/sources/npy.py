@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from numpy.lib import format as npy_format
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import (
@@ -138,13 +139,26 @@ class _NpyReader(DataSourceReader):
         )
 
 
+ELEMENTS = {"float": np.float32, "long": np.int64, "double": np.float64}
+
+
+def _common_element(widths: set[int], kinds: set[tuple[str, int]]) -> str:
+    """The narrowest of float, long and double that holds the elements of every file."""
+    if len(widths) > 1:
+        raise ValueError(f"files of different width: {sorted(widths)}")
+    letters, largest = {kind for kind, _ in kinds}, max(size for _, size in kinds)
+    if letters <= set("iub") and largest == 8:
+        return "long"  # double would round them
+    return "float" if letters == {"f"} and largest <= 4 else "double"
+
+
 class NpyMatrixSource(DataSource):
     """`spark.read.format("npy").load(path)` → `path`, `row_index`, `features`.
 
     `path` is a file or a folder of `.npy` files. Elements are `float` if all files hold
     single (or half) precision numbers, `long` if all hold whole numbers and some of them 64-bit ones, and `double` otherwise; files of
     different width are an error. Option `splitBytes` sets the range
-    size.
+    size. Option `element` (float, long, double) saves reading the headers while the query is planned.
     """
 
     @classmethod
@@ -152,7 +166,9 @@ class NpyMatrixSource(DataSource):
         return "npy"
 
     def _element(self) -> type:
-        """The narrowest of float, long and double that holds the elements of every file."""
+        """As told by `read_npy`; else from the headers of all files, which are read one by one."""
+        if "element" in self.options:
+            return ELEMENTS[self.options["element"]]
         files = _list_npy(self.options["path"])
         if not files:
             raise FileNotFoundError(f"no .npy file below {self.options['path']}")
@@ -162,12 +178,7 @@ class NpyMatrixSource(DataSource):
             with filesystem.open_input_file(inner) as stream:
                 headers.append(_read_header(stream))
         widths = {h.width for h in headers}
-        if len(widths) > 1:
-            raise ValueError(f"files of different width: {sorted(widths)}")
-        kinds = {h.dtype.kind for h in headers}
-        if kinds <= set("iub") and max(h.dtype.itemsize for h in headers) == 8:
-            return np.int64  # double would round them
-        return np.float32 if kinds == {"f"} and max(h.dtype.itemsize for h in headers) <= 4 else np.float64
+        return ELEMENTS[_common_element(widths, {(h.dtype.kind, h.dtype.itemsize) for h in headers})]
 
     def schema(self) -> StructType:
         element = {np.float32: FloatType(), np.int64: LongType(), np.float64: DoubleType()}[self._element()]
@@ -188,6 +199,79 @@ class NpyMatrixSource(DataSource):
         )
 
 
+def npy_manifest(spark: SparkSession, path: str, files_per_task: int = 200) -> DataFrame:
+    """What the headers of the files below `path` say, read by tasks: `path`, `bytes`, `rows`, `width`, `kind`,
+    `item_bytes`, `by_column`, `offset` of the first element."""
+    files = _list_npy(path)
+    if not files:
+        raise FileNotFoundError(f"no .npy file below {path}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, _ = _open_filesystem(path)
+        for batch in batches:
+            held = []
+            for inner, size in zip(*(c.to_pylist() for c in batch.columns)):
+                with filesystem.open_input_file(inner) as stream:
+                    h = _read_header(stream)
+                held.append((inner, size, h.rows, h.width, h.dtype.kind, h.dtype.itemsize, h.by_column, h.offset))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held)], MANIFEST_NAMES)
+
+    listed = spark.createDataFrame(files, "path string, bytes long")
+    return listed.repartition(-(-len(files) // files_per_task)).mapInArrow(run, MANIFEST)
+
+
+MANIFEST_NAMES = ["path", "bytes", "rows", "width", "kind", "item_bytes", "by_column", "offset"]
+MANIFEST = "path string, bytes long, rows long, width long, kind string, item_bytes long, by_column boolean, offset long"
+
+
 def read_npy(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Rows of all files; a first stage reads the headers, and few distinct layouts reach the driver."""
+    layouts = npy_manifest(spark, path).select("width", "kind", "item_bytes").distinct().limit(1000).collect()
+    element = _common_element({r["width"] for r in layouts}, {(r["kind"], r["item_bytes"]) for r in layouts})
     spark.dataSource.register(NpyMatrixSource)
-    return spark.read.format("npy").option("splitBytes", split_bytes).load(path)
+    return spark.read.format("npy").option("splitBytes", split_bytes).option("element", element).load(path)
+
+
+def write_npy(rows: DataFrame, features: str, folder: str, dtype: str = "<f4", shard_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Write a column of equally long arrays as `.npy` shards below `folder`; one row (path, rows) per shard.
+
+    Shards are named by partition, so a repeated task replaces its own. A null array or element and arrays of
+    different length are errors. Write each folder once: shards of an earlier, longer table are not removed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = _open_filesystem(folder)
+        filesystem.create_dir(root, recursive=True)
+        part, count = TaskContext.get().partitionId(), 0
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            matrix = np.concatenate(held)
+            name = f"part-{part:05d}-{count:05d}.npy"
+            with filesystem.open_output_stream(f"{root}/{name}") as sink:
+                head = {"descr": npy_format.dtype_to_descr(matrix.dtype), "fortran_order": False, "shape": matrix.shape}
+                npy_format.write_array_header_1_0(sink, head)
+                sink.write(matrix.tobytes())
+            held.clear()
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "rows": [len(matrix)]})
+
+        for batch in batches:
+            column = batch.column(0)
+            values = column.flatten()
+            if column.null_count or values.null_count:
+                raise ValueError("a matrix has no nulls")
+            if not len(column):
+                continue
+            width = len(values) // len(column)
+            lengths = np.diff(column.offsets.to_numpy())
+            if (lengths != width).any() or held and held[0].shape[1] != width:
+                raise ValueError("rows of different length")
+            held.append(values.to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), width))
+            if sum(m.nbytes for m in held) >= shard_bytes:
+                yield flush()
+                count += 1
+        if held:
+            yield flush()
+
+    return rows.select(features).mapInArrow(run, "path string, rows long")
