@@ -229,3 +229,35 @@ def test_encoder_equals_tokenizer():
     for _ in range(2):
         for text, raw in zip(texts, encoder.encode(texts)):
             assert np.frombuffer(raw, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    """Each text is scored alike however the rows lie, with steps taken in several parts."""
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    texts = [(i, " ".join(words[(i * k + k) % 8] for k in range(1, 20 + i % 7))) for i in range(60)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    learn = lm_score.learn
+    monkeypatch.setattr(lm_score, "PART_TOKENS", 200)
+    parts = []
+
+    def watched(learned, size):
+        parts.append(learned.rdd.getNumPartitions())
+        return learn(learned, size)
+
+    monkeypatch.setattr(lm_score, "learn", watched)
+    trained = F.col("doc_id") % 5 != 1
+    one, other = (
+        {r["doc_id"]: r for r in lm_score.score_texts(part, trained).collect()} for part in (rows.coalesce(1), rows.repartition(6, "text"))
+    )
+    assert parts[0] != parts[1]
+    for key, row in one.items():
+        assert row["score"] == pytest.approx(other[key]["score"], rel=1e-5)
+        assert row["base_score"] == pytest.approx(other[key]["base_score"], rel=1e-9)
+
+
+def test_lm_log_sums_beyond_the_bound():
+    logits = np.array([[300.0, 299.0], [-300.0, -301.0]], np.float32)
+    far = {"out": np.full((2, 2), 200, np.float32), "out_add": np.zeros(2, np.float32)}
+    np.testing.assert_allclose(lm_score.log_sums(far, logits), np.logaddexp(*logits.T.astype(float)), rtol=1e-6)
+    near = {"out": np.full((2, 2), 2, np.float32), "out_add": np.zeros(2, np.float32)}
+    np.testing.assert_allclose(lm_score.log_sums(near, logits / 100), np.logaddexp(*(logits / 100).T.astype(float)), rtol=1e-5)

@@ -4,9 +4,10 @@ The model is one attention layer over windows of `WINDOW` ids. It gives the clas
 within its class follows from its count. Everything is learned from all training documents: ids are counted
 and clustered by their neighbours over the whole corpus, and the weights, started on the driver with a bounded
 sample, take steps over every window of every task's documents and are averaged over the tasks, an input
-vector by how often the task saw its id. Windows overlap: the first scores all its places, every further one
+vector by how often the task saw its id. A task's documents hang on hashes of id and text alone and are
+taken in that order, so neither the cluster nor the layout of the input changes the score. Windows overlap: the first scores all its places, every further one
 those that no window has scored, so each token is scored once, with `WINDOW - STRIDE` tokens of context at
-least. The score depends on how the documents lie in tasks as far as the averaged weights do.
+least.
 
 Beside it stands a smoothed unigram score of words over the counts of all training documents. Counts are
 summed in Spark; the most frequent words, a bounded number, are broadcast, and the others of a document
@@ -42,9 +43,10 @@ PROJECTED = 64
 EPOCHS, BATCH, RATE = 4, 256, 0.01
 CORPUS_RATE = 0.002
 TOKENS_AT_ONCE = 200_000
+PART_TOKENS = 4_000_000  # about what one task takes steps on
 SMOOTHING = 0.1
 START, END = 49406, subwords.END
-WINDOWS_AT_ONCE = 2048
+WINDOWS_AT_ONCE = 256  # their logits stay in a core's cache
 COMMON_WORDS = 300_000  # broadcast with their counts, 16 bytes each
 END_HASH = -1
 COUNTED_AT_ONCE = 2_000_000
@@ -82,8 +84,7 @@ class Model:
             part = slice(k, k + WINDOWS_AT_ONCE)
             target = np.maximum(targets[part], 0)
             logits = forward(self.weights, self.row_of[inputs[part]])[0]
-            top = logits.max(axis=2)
-            norm = np.log(np.exp(logits - top[:, :, None]).sum(axis=2)) + top
+            norm = log_sums(self.weights, logits)
             chosen = np.take_along_axis(logits, self.class_of[target][:, :, None], axis=2)[:, :, 0]
             value = np.where(targets[part] >= 0, chosen - norm + self.within[target], 0)
             out += np.bincount(owner[part], value.sum(axis=1, dtype=np.float64), len(texts))
@@ -110,19 +111,33 @@ def forward(w: dict[str, np.ndarray], rows: np.ndarray):
     return logits, (rows, x, q, k, v, weight, both, hidden)
 
 
+def bounded(w: dict[str, np.ndarray]) -> bool:
+    """Whether no logit can leave the range in which its exponential is exact; hidden values lie within 1."""
+    return float((np.abs(w["out"]).sum(axis=0) + np.abs(w["out_add"])).max()) < 40
+
+
+def log_sums(w: dict[str, np.ndarray], logits: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials over the last axis."""
+    ones = np.ones(logits.shape[-1], logits.dtype)
+    if bounded(w):
+        return np.log(np.exp(logits) @ ones)
+    top = logits.max(axis=-1)
+    return np.log(np.exp(logits - top[..., None]) @ ones) + top
+
+
 def gradient(w: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross-entropy of the classes (-1: not scored) and its gradient."""
     logits, (rows, x, q, k, v, weight, both, hidden) = forward(w, rows)
     count, size = rows.shape
     flat = logits.reshape(-1, logits.shape[2])
-    p = np.exp(flat - flat.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
+    p = np.exp(flat - log_sums(w, flat)[:, None])
     label = classes.ravel()
     used = label >= 0
     here = np.arange(len(label)), np.maximum(label, 0)
     loss = -np.log(np.maximum(p[here], 1e-30))[used].mean()
     p[here] -= 1
-    d = (p * (used / used.sum())[:, None]).astype(p.dtype)
+    d = p
+    d *= (used / used.sum()).astype(p.dtype)[:, None]
     g = {"out": hidden.T @ d, "out_add": d.sum(axis=0)}
     d_mix = (d @ w["out"].T) * (1 - hidden * hidden)
     g["mix"], g["mix_add"] = both.T @ d_mix, d_mix.sum(axis=0)
@@ -173,9 +188,10 @@ def features_of(counts: np.ndarray) -> np.ndarray:
 def add_neighbours(table: np.ndarray, texts: list[np.ndarray], feature: np.ndarray) -> None:
     """Count into `table` (ids x features, those before an id in the second half) who stands beside whom."""
     flat, half = table.reshape(-1), table.shape[1] // 2
-    for ids in texts:
-        for one, other, shift in ((ids[:-1], ids[1:], 0), (ids[1:], ids[:-1], half)):
-            np.add.at(flat, one * table.shape[1] + feature[other] + shift, 1)
+    for shift, one, other in ((0, slice(None, -1), slice(1, None)), (half, slice(1, None), slice(None, -1))):
+        cells = [ids[one] * table.shape[1] + feature[ids[other]] + shift for ids in texts]
+        if cells:
+            np.add.at(flat, np.concatenate(cells), 1)
 
 
 def projected(rows: np.ndarray, seed: int = 3) -> np.ndarray:
@@ -379,11 +395,20 @@ def sample(learned: DataFrame, size: int, docs: int = SAMPLE_DOCS) -> list[np.nd
 
 
 def learn(learned: DataFrame, size: int) -> Model:
-    """From all texts (ids) of a settled table; `size` ids exist."""
-    tasks = learned.coalesce(max(2, learned.sparkSession.sparkContext.defaultParallelism))
+    """From all texts (id, ids) of a settled table; `size` ids exist. How the rows lie changes nothing.
+
+    Counts are whole numbers and add up the same in any parts; steps are taken in parts of about `PART_TOKENS`
+    that hang on hashes of id and text. Rows equal in both lie in one part.
+    """
+    name = learned.columns[0]
+    held = learned.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-held // (PART_TOKENS * np.dtype(id_type(size)).itemsize)))
+    texts = learned.select("ids")
+    tasks = texts.coalesce(max(1, parts // 2))
     counts = count_ids(tasks, size)
-    model = untrained(counts, *neighbour_points(tasks, counts))
-    return corpus_steps(tasks, start(model, sample(learned, size)))
+    model = start(untrained(counts, *neighbour_points(tasks, counts)), sample(texts, size))
+    keyed = learned.select("ids", F.xxhash64(name, "ids").alias("key")).repartition(parts, "key")
+    return corpus_steps(keyed.sortWithinPartitions("key", "ids"), model)
 
 
 # ---- word counts ---------------------------------------------------------------------------------
@@ -511,14 +536,14 @@ def score_texts(rows: DataFrame, training: DataFrame | Column, id_column: str =
         both = rows.select(*judged, F.coalesce(training, F.lit(False)).alias("learned"))
         training = rows.where(training)
     else:
-        no_id = F.lit(None).cast(rows.schema[id_column].dataType).alias(id_column)
-        learned = training.select(no_id, text_of(text).alias("text"), F.lit(False).alias("judged"), F.lit(True).alias("learned"))
+        own = F.col(id_column) if id_column in training.columns else F.lit(None)
+        learned = training.select(own.cast(rows.schema[id_column].dataType).alias(id_column), text_of(text).alias("text"), F.lit(False).alias("judged"), F.lit(True).alias("learned"))
         both = rows.select(*judged, F.lit(False).alias("learned")).unionByName(learned)
     counts = settle_as_table(count_words(training, text), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     words, held = common_words(counts)
     encoded = settle_as_table(first_pass(both, id_column, words, held, path, id_type(size)), "encoded")
-    model = learn(encoded.where("learned").select("ids"), size)
+    model = learn(encoded.where("learned").select(id_column, "ids"), size)
     passed = encoded.where("judged").drop("judged", "learned")
     each = passed.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w"))
     each = each.select("row", F.col("w.rest").alias("word"), F.col("w.times").alias("times"))
