@@ -1 +1 @@
-from vectorloom.plans.training import ORACLES, QUERIES  # noqa: F401  (all of catalog and oracles, and its own)
+from vectorloom.plans.records import ORACLES, QUERIES  # noqa: F401  (all of catalog, oracles and training, and its own)

@@ -348,13 +348,11 @@ def run_log_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return log.select("mode", "method", "elapsed_seconds", rounded("elapsed_minutes", "elapsed_minutes", 9))
 
 
-@query
-def run_log_all_columns(spark: SparkSession, folder: str) -> DataFrame:
-    """Every column of the log written and read back."""
-    path = scratch_path(spark, "runlog")
+def run_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a record of the log, with all its columns."""
     seconds, kind = F.col("value"), F.col("event_type")
     numbers = F.when(F.col("event_id") % 3 > 0, F.array(seconds / 1000.0, seconds / 2000.0))
-    runs = table(spark, folder, "events").select(
+    return table(spark, folder, "events").select(
         X.run_mode(kind, MODES, "Other").alias("mode"),
         kind.alias("method"),
         F.col("ts").alias("started_at"),
@@ -368,10 +366,11 @@ def run_log_all_columns(spark: SparkSession, folder: str) -> DataFrame:
         (seconds / 1000.0).alias("accuracy"),
         numbers.alias("accuracy_history"),
     )
-    append_runs(runs, path)
-    log = read_log(spark, path)
+
+
+def record_columns() -> list[str | Column]:
     history = F.col("accuracy_history")
-    return log.select(
+    return [
         "mode",
         "method",
         F.unix_micros("started_at").alias("started_micros"),
@@ -385,7 +384,15 @@ def run_log_all_columns(spark: SparkSession, folder: str) -> DataFrame:
         rounded("accuracy", "accuracy", 9),
         rounded(history[0], "first_accuracy", 9),
         rounded(history[1], "second_accuracy", 9),
-    )
+    ]
+
+
+@query
+def run_log_all_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """Every column of the log written and read back."""
+    path = scratch_path(spark, "runlog")
+    append_runs(run_records(spark, folder), path)
+    return read_log(spark, path).select(*record_columns())
 
 
 # ---- profiling -----------------------------------------------------------------------------------

@@ -26,11 +26,11 @@ def given_weights() -> np.ndarray:
     return np.concatenate([linear_map(64, 6).ravel(), np.zeros(6), last.ravel(), np.zeros(CLASSES)])
 
 
-def _one_step(spark: SparkSession, folder: str, **settings):
-    """One full-batch step over the training split in two slots, scored on the validation split."""
+def _one_step(spark: SparkSession, folder: str, epochs: int = 1, **settings):
+    """One full-batch step an epoch over the training split in two slots, scored on the validation split."""
     rows = embeddings(spark, folder).where(F.col("split") != "test").withColumn("held_out", F.col("split") == "validation")
     estimator = ReluPerceptronClassifier(
-        layers=LAYERS, featuresCol="embedding", idCol="vec_id", maxIter=1, validationIndicatorCol="held_out", **settings
+        layers=LAYERS, featuresCol="embedding", idCol="vec_id", maxIter=epochs, validationIndicatorCol="held_out", **settings
     )
     return fit_in_slots(rows, estimator, slots=2, start_weights=given_weights())
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import struct
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.functions.scalars import parent_dir
 from vectorloom.operators.permutation import shuffle
+from vectorloom.sources.files import open_folder, put, shared_uri
 
 
 def list_files(
@@ -57,3 +62,45 @@ def scan_images(
         (F.col("image.height") > 0).alias("valid"),
     )
 
+
+
+def png_bytes(height: int, width: int, channels: int, data: bytes) -> bytes:
+    """A PNG file of the pixels of an image row: grey, or blue-green-red with or without alpha."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+    if channels > 1:
+        pixels = pixels[..., [2, 1, 0, 3][:channels]]
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), pixels.reshape(height, -1)], axis=1)
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def write_images(rows: DataFrame, root: str, name: str, class_name: str, image: str = "image") -> int:
+    """Write each image as `<root>/<class>/<name>.png`, from the tasks; gives the number of files.
+
+    Names must be unique within a class, else the last writer stays. A null or invalid image gives no file.
+    """
+    uri = shared_uri(rows.sparkSession, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, inner = open_folder(uri)
+        made: set[str] = set()
+        for batch in batches:
+            count = 0
+            for stem, folder, one in zip(*[column.to_pylist() for column in batch.columns]):
+                if one is None or one["data"] is None or not (one["height"] or 0) > 0:
+                    continue
+                if folder not in made:
+                    filesystem.create_dir(f"{inner}/{folder}", recursive=True)
+                    made.add(folder)
+                put(filesystem, f"{inner}/{folder}/{stem}.png", png_bytes(one["height"], one["width"], one["nChannels"], one["data"]))
+                count += 1
+            yield pa.RecordBatch.from_pydict({"files": pa.array([count], pa.int64())})
+
+    parts = [F.col(image)[part].alias(part) for part in ("height", "width", "nChannels", "data")]
+    whole = F.when(F.col(image).isNotNull(), F.struct(*parts))
+    drawn = rows.select(F.col(name).cast("string").alias("stem"), F.col(class_name).cast("string").alias("folder"), whole.alias("image"))
+    return drawn.mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]
