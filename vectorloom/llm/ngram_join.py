@@ -10,11 +10,11 @@ How all links are found without comparing all pairs:
   lists are built by a shuffle on the n-gram; lists of one class are dropped.
 * A list does not emit its pairs. One class of every list, its hub, searches the others of its lists: blocks
   of candidates get a local inverted index of the hub's n-grams, whose short lists are merged with a heap and
-  whose long lists are probed by binary search (`divide_skip`). A hub has then found all its links, and
-  leaves all lists.
-* Links make components, and within one no further comparison is needed. In the second turn a bounded number
-  of classes outside the largest component of each list search, in the third all that are still outside, and
-  only in other components. So no link between components is missed, and a group of thousands of near copies
+  whose long lists are probed by binary search (`divide_skip`).
+* Links make components, and within one no further comparison is needed. Near copies share many n-grams, so the
+  first turn finds most components from one list in `FIRST`. In the second turn a bounded number
+  of classes outside the largest component of each list search all lists, in the third all that are still outside, and
+  only in other components. A hub of these turns has found all its links to other components, and leaves all lists. So no link between components is missed, and a group of thousands of near copies
   is not compared pair by pair.
 * Pairs whose sizes, places of the n-gram or 256-bit parity maps already rule out the threshold are dropped within the join.
 
@@ -51,6 +51,7 @@ HOT = 16  # an n-gram in so many rows is frequent; raised until the frequent one
 MAX_HOT = 1_000_000  # n-grams broadcast as frequent, 8 bytes each
 SCOUT = 0.30  # share of a set whose n-grams are counted to find the frequent ones
 BLOCK_GRAMS = 400_000  # n-grams of the candidates that one search block holds, about
+FIRST = 8  # the first turn takes one list of so many, a power of two; the later ones take all
 SHORT_LIST = 64  # so many classes of a list search in the second turn
 HUBS = 16  # of more than that, so many
 LINK_BLOCK = 512  # classes of a component in one block, about
@@ -92,21 +93,27 @@ def digest(grams: np.ndarray) -> int:
 
 
 def keyed_sets(rows: DataFrame, id_column: str, text: str, spec: Spec) -> DataFrame:
-    """(id, mark, n, node, b0..b3) per row: hash of the text, size, digest and parity map of its set; node is null without n-grams."""
+    """(id, mark, n, node, b0..b3, scout) per row: hash of the text, size, digest and parity map of its set, and the n-grams
+    of smallest hash in it, `SCOUT` of the set; node is null without n-grams."""
     kind = rows.schema[id_column].dataType.simpleString()
     size = spec.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, nodes, bits = [], [], np.zeros((batch.num_rows, len(BITS)), np.int64)
-            for k, grams in enumerate(gram_sets(batch.column(2), size)):
-                counts.append(len(grams))
-                nodes.append(digest(grams) if len(grams) else None)
-                bits[k] = parity(grams)
-            arrays = [*batch.columns[:2], pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), *map(pa.array, bits.T.copy())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "mark", "n", "node", *BITS])
-
-    schema = ", ".join([f"id {kind}, mark long, n long, node long", *[f"{b} long" for b in BITS]])
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                counts, nodes, scouts, bits = [], [], [], np.zeros((part.num_rows, len(BITS)), np.int64)
+                for k, grams in enumerate(gram_sets(part.column(2), size)):
+                    counts.append(len(grams))
+                    nodes.append(digest(grams) if len(grams) else None)
+                    scouts.append(grams[: int(SCOUT * len(grams)) + 2].copy())
+                    bits[k] = parity(grams)
+                offsets = np.cumsum([0, *map(len, scouts)]).astype(np.int32)
+                scout = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(scouts).view(np.int64)))
+                arrays = [*part.columns[:2], pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), *map(pa.array, bits.T.copy()), scout]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "mark", "n", "node", *BITS, "scout"])
+
+    schema = ", ".join([f"id {kind}, mark long, n long, node long", *[f"{b} long" for b in BITS], "scout array<long>"])
     texts = rows.select(F.col(id_column).alias("id"), F.xxhash64(text_of(text)).alias("mark"), text_of(text).alias("text"))
     return texts.mapInArrow(run, schema)
 
@@ -117,26 +124,12 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def scouted(rows: DataFrame, text: str, spec: Spec) -> DataFrame:
-    """(gram): for every row the n-grams of smallest hash, a third of its set."""
-    size = spec.size
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [grams[: int(SCOUT * len(grams)) + 2] for grams in gram_sets(batch.column(0), size)]
-            for k in range(0, len(parts), 512):
-                grams = np.concatenate(parts[k : k + 512]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(grams)], ["gram"])
-
-    return rows.select(text_of(text).alias("text")).mapInArrow(run, "gram long")
-
-
-def frequent(rows: DataFrame, text: str, spec: Spec) -> np.ndarray:
-    """Frequent n-grams, sorted; which ones are does not affect the result, only the length of lists.
+def frequent(keys: DataFrame) -> np.ndarray:
+    """Frequent n-grams, sorted, from the column `scout`; which ones are does not affect the result, only the length of lists.
 
     All rows are counted. What comes to the driver is bounded by `MAX_HOT`: the limit doubles until it fits.
     """
-    counts = scouted(rows, text, spec).groupBy("gram").count().where(F.col("count") >= HOT)
+    counts = keys.select(F.explode("scout").alias("gram")).groupBy("gram").count().where(F.col("count") >= HOT)
     counts = settle_as_table(counts, "grams")
     level = F.floor(F.log2(F.col("count") / HOT)).cast("int")
     by_level = {r["level"]: r["n"] for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -378,17 +371,20 @@ def components(links: DataFrame, known: DataFrame | None) -> DataFrame:
         edges = renamed(renamed(edges, "left", hooks), "right", hooks)
 
 
-def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> DataFrame | None:
-    """Components (node, component) from the inverted `lists` (gram, at, node), with enough links to find all.
+def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> tuple[DataFrame | None, DataFrame | None]:
+    """Components (node, component) from the inverted `lists` (gram, at, node), with enough links to find all, and the
+    sets (node, grams) of all classes that were compared.
 
-    `classes` has (node, id, n, b0..b3); `sets_of(ids)` gives the sets (node, grams) of some of them.
+    `classes` has (node, id, n, b0..b3); `sets_of(ids)` gives the sets of some of them. It is asked once for each class.
     """
     lists = lists.join(classes.drop("id"), "node")
-    known = None
+    known = sets = held = None
     for turn in range(3):
         rows = lists.withColumn("component", F.col("node"))
         if known is not None:
             rows = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if turn == 0:
+            rows = rows.where(F.col("gram").bitwiseAND(F.lit(FIRST - 1)) == 0)
         heads = rows.groupBy("gram").agg(F.min("node").alias("node")) if turn == 0 else open_rows(rows, last=turn == 2)
         heads = heads.select("node").distinct().withColumn("is_hub", F.lit(True))
         rows = rows.join(heads, "node", "left").withColumn("is_hub", F.col("is_hub").isNotNull())
@@ -401,10 +397,17 @@ def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> Dat
         pairs = settle_as_table(pairs, "pairs")
         if not pairs.isEmpty():
             nodes = pairs.select("node").union(pairs.select("hub")).distinct()
-            sets = settle_as_table(sets_of(classes.join(nodes, "node", "left_semi").select("id")), "sets")
+            if held is not None:
+                nodes = nodes.join(held, "node", "left_anti")
+            nodes = settle_as_table(classes.join(nodes, "node", "left_semi").select("node", "id"), "compared")
+            if not nodes.isEmpty():
+                more = settle_as_table(sets_of(nodes.select("id")).join(nodes.select("node"), "node", "left_semi"), "sets")
+                sets = more if sets is None else sets.unionByName(more)
+                held = nodes.select("node") if held is None else held.unionByName(nodes.select("node"))
             known = components(settle_as_table(search(pairs, sets, spec), "links"), known)
-        lists = rows.where(~F.col("is_hub")).drop("is_hub", "component")
-    return known
+        if turn > 0:
+            lists = rows.where(~F.col("is_hub")).drop("is_hub", "component")
+    return known, sets
 
 
 def open_rows(rows: DataFrame, last: bool) -> DataFrame:
@@ -440,12 +443,15 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray], spec: Spec, sam
         yield k, np.flatnonzero(found)
 
 
-def in_blocks(members: DataFrame, sets_of, spec: Spec, counts: bool) -> DataFrame:
-    """(node, n_links), added up by blocks, or the links (left, right), among classes (node, id, component)."""
+def in_blocks(members: DataFrame, sets: DataFrame, spec: Spec, counts: bool) -> DataFrame:
+    """(node, n_links), added up by blocks, or the links (left, right), among classes (node, id, component).
+
+    `sets` (node, grams) holds the sets of all classes that have a link.
+    """
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1)
     blocks = F.ceil(F.col("held") / LINK_BLOCK).cast("int").alias("blocks")
     linked = settle_as_table(members.join(sizes.select("component", blocks), "component"), "linked")
-    sets = settle_as_table(sets_of(linked.select("id")), "sets").dropDuplicates(["node"])
+    sets = sets.join(linked.select("node"), "node", "left_semi").dropDuplicates(["node"])
     block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
     dealt = linked.select("component", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
@@ -481,29 +487,35 @@ def class_members(named: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
     """All links (left, right) between different sets, each once, as digests of the sets with their smallest ids."""
-    members = settle_as_table(class_members(labelled(rows, id_column, text, spec)), "members")
-    found = in_blocks(members, lambda ids: set_table(rows, text, spec, ids, id_column), spec, counts=False)
+    named, sets = labelled(rows, id_column, text, spec)
+    members = settle_as_table(class_members(named), "members")
+    found = in_blocks(members, sets, spec, counts=False)
     name = lambda side: members.select(F.col("node").alias(side), F.col("id").alias(f"{side}_id"))
     return found.join(name("left"), "left").join(name("right"), "right").select("left", "right", "left_id", "right_id")
 
 
-def labelled(rows: DataFrame, id_column: str, text: str, spec: Spec) -> DataFrame:
-    """Per row: id, mark, n, node, and of rows with n-grams class_id, component (its smallest node) and component_id."""
+def labelled(rows: DataFrame, id_column: str, text: str, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """Per row: id, mark, n, node, and of rows with n-grams class_id, component (its smallest node) and component_id.
+
+    Beside it the sets (node, grams) of the classes that were compared, all classes with a link among them.
+    """
     spark: SparkSession = rows.sparkSession
     keys = settle_as_table(keyed_sets(rows, id_column, text, spec), "keys")
     least = [F.first(c).alias(c) for c in ("n", *BITS)]
     classes = keys.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), *least)
     classes = settle_as_table(classes, "classes")
-    hot = spark.sparkContext.broadcast(frequent(rows, text, spec))
+    hot = spark.sparkContext.broadcast(frequent(keys))
     lists = settle_as_table(shared_lists(postings(rows, text, spec, hot)), "lists")
-    found = link_lists(lists, classes, lambda ids: set_table(rows, text, spec, ids, id_column), spec)
+    found, sets = link_lists(lists, classes, lambda ids: set_table(rows, text, spec, ids, id_column), spec)
     members = classes.select("node", "id").withColumn("component", F.col("node"))
     if found is not None:
         members = classes.select("node", "id").join(found, "node", "left")
         members = members.withColumn("component", F.coalesce("component", "node"))
     names = members.groupBy("component").agg(F.min("id").alias("component_id"))
     named = members.join(names, "component").select("node", F.col("id").alias("class_id"), "component", "component_id")
-    return keys.drop(*BITS).join(named, "node", "left")
+    if sets is None:
+        sets = spark.createDataFrame([], "node long, grams binary")
+    return keys.drop("scout", *BITS).join(named, "node", "left"), sets
 
 
 def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
@@ -511,8 +523,9 @@ def join(rows: DataFrame, id_column: str = "doc_id", text: str = "text", spec: S
 
     `n_links` is the number of other classes with which the row's class links.
     """
-    named = settle_as_table(labelled(rows, id_column, text, spec), "named")
-    counted = in_blocks(class_members(named), lambda ids: set_table(rows, text, spec, ids, id_column), spec, counts=True)
+    found, sets = labelled(rows, id_column, text, spec)
+    named = settle_as_table(found, "named")
+    counted = in_blocks(class_members(named), sets, spec, counts=True)
     return named.join(counted, "node", "left").select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
@@ -527,7 +540,7 @@ def distinct_documents(rows: DataFrame, id_column: str = "doc_id", text: str = "
 
     Rows without n-grams link with nothing and stay. Id and hash of the text find the row again; rows equal in both are exact copies.
     """
-    found = labelled(rows, id_column, text, spec).where(F.col("node").isNotNull())
+    found = labelled(rows, id_column, text, spec)[0].where(F.col("node").isNotNull())
     copies = found.groupBy("component", "id", "mark").agg(F.count(F.lit(1)).alias("times"))
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "mark", "times")).alias("first")
     kept = settle_as_table(copies.groupBy("component").agg(first).select("first.id", "first.mark", "first.times"), "kept")
