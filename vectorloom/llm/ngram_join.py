@@ -189,8 +189,9 @@ def shared_lists(lists: DataFrame) -> DataFrame:
     A rare n-gram's list is in one partition; lists of frequent ones, in many, are kept as they are.
     """
     dealt = lists.repartition("gram", "salt")
-    per = dealt.groupBy("gram", "salt").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    per = per.where((F.col("salt") > 0) | (F.col("low") != F.col("high"))).select("gram", "salt")
+    per = dealt.groupBy("gram", "salt").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min("at").alias("first"))
+    # With `at` both sides read the same columns, and so the same shuffle.
+    per = per.where((F.col("first") >= 0) & ((F.col("salt") > 0) | (F.col("low") != F.col("high")))).select("gram", "salt")
     return dealt.join(per, ["gram", "salt"]).select("gram", "at", "node").distinct()
 
 
