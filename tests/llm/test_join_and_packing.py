@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import odd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vectorloom.llm import ngram_join, packing, secret_scan, subwords
@@ -217,3 +218,22 @@ def test_pipeline(spark, folder):
     tokens = {p["doc_id"]: p["doc_tokens"] for p in pieces}
     assert all(n % tokens[key] == 0 and n <= 3 * tokens[key] for key, n in copies.items())
     assert secret_scan.RULES
+
+
+def test_hubs_of_short_lists_do_not_search_long_ones(spark, monkeypatch):
+    """Classes that are hubs of pairs stay out of the search of a list that all are in, until the last turn."""
+    count, asked = 200, []
+    postings = [(0, 0, k) for k in range(count)] + [(8 * (1 + k // 2), 0, k) for k in range(count)]
+    lists = spark.createDataFrame(postings, "gram long, at int, node long")
+    classes = spark.createDataFrame([(k, k, 50, 0, 0, 0, 0) for k in range(count)], "node long, id long, n long, b0 long, b1 long, b2 long, b3 long")
+
+    def search(pairs, sets, spec):
+        asked.append(pairs.count())
+        return spark.createDataFrame([], "left long, right long")
+
+    monkeypatch.setattr(ngram_join, "search", search)
+    ngram_join.link_lists(lists, classes, lambda ids: ids.select(F.col("id").alias("node"), F.lit(b"").alias("grams")), ngram_join.Spec())
+    first, second, last = asked
+    assert first <= len(postings)
+    assert second <= ngram_join.HUBS * len(postings)
+    assert last == count * (count - 1) // 2  # nothing linked, so all of the long list is compared

@@ -8,13 +8,14 @@ How all links are found without comparing all pairs:
 * N-grams have one global order: rare ones by hash, then those that are frequent in the whole corpus. A
   set keeps as many leading n-grams (`prefix`) that two sets which link must share one. These short inverted
   lists are built by a shuffle on the n-gram; lists of one class are dropped.
-* A list does not emit its pairs. One class of every list, its hub, searches the others of its lists: blocks
+* A list does not emit its pairs. Some classes of a list, its hubs, search the others of that list: blocks
   of candidates get a local inverted index of the hub's n-grams, whose short lists are merged with a heap and
   whose long lists are probed by binary search (`divide_skip`).
 * Links make components, and within one no further comparison is needed. Near copies share many n-grams, so the
-  first turn finds most components from one list in `FIRST`. In the second turn a bounded number
-  of classes outside the largest component of each list search all lists, in the third all that are still outside, and
-  only in other components. A hub of these turns has found all its links to other components, and leaves all lists. So no link between components is missed, and a group of thousands of near copies
+  first turn finds most components from one list in `FIRST` with one hub each. In the second turn every list has as hubs the
+  classes outside its largest component, which completes it; a long list has only a bounded number of them, and is completed
+  in the third turn, when most of its classes are in one component. Hubs search other components only. So no link between
+  components is missed, the first two turns cost in proportion to the lists, and a group of thousands of near copies
   is not compared pair by pair.
 * Pairs whose sizes, places of the n-gram or 256-bit parity maps already rule out the threshold are dropped within the join.
 
@@ -52,7 +53,7 @@ MAX_HOT = 1_000_000  # n-grams broadcast as frequent, 8 bytes each
 SCOUT = 0.30  # share of a set whose n-grams are counted to find the frequent ones
 BLOCK_GRAMS = 400_000  # n-grams of the candidates that one search block holds, about
 FIRST = 8  # the first turn takes one list of so many, a power of two; the later ones take all
-SHORT_LIST = 64  # so many classes of a list search in the second turn
+SHORT_LIST = 64  # so many classes outside its largest component search a list in the second turn
 HUBS = 16  # of more than that, so many
 LINK_BLOCK = 512  # classes of a component in one block, about
 SALTS = 64
@@ -386,9 +387,10 @@ def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> tup
             rows = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn == 0:
             rows = rows.where(F.col("gram").bitwiseAND(F.lit(FIRST - 1)) == 0)
-        heads = rows.groupBy("gram").agg(F.min("node").alias("node")) if turn == 0 else open_rows(rows, last=turn == 2)
-        heads = heads.select("node").distinct().withColumn("is_hub", F.lit(True))
-        rows = rows.join(heads, "node", "left").withColumn("is_hub", F.col("is_hub").isNotNull())
+            first = rows.groupBy("gram").agg(F.min("node").alias("first"))
+            rows = rows.join(first, "gram").withColumn("is_hub", F.col("node") == F.col("first")).drop("first")
+        else:
+            rows = open_rows(rows, last=turn == 2)
         rows = settle_as_table(rows, "lists")
         kept = ["node", "n", "at", "component", *BITS]
         hubs = rows.where("is_hub").select("gram", *[F.col(c).alias(f"hub_{c}".replace("hub_node", "hub")) for c in kept])
@@ -406,25 +408,29 @@ def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> tup
                 sets = more if sets is None else sets.unionByName(more)
                 held = nodes.select("node") if held is None else held.unionByName(nodes.select("node"))
             known = components(settle_as_table(search(pairs, sets, spec), "links"), known)
-        if turn > 0:
-            lists = rows.where(~F.col("is_hub")).drop("is_hub", "component")
+        if turn == 1:
+            lists = rows.where("is_long").drop("is_hub", "is_long", "component")
     return known, sets
 
 
 def open_rows(rows: DataFrame, last: bool) -> DataFrame:
-    """Which classes (node) search next: of lists with several components, those outside the largest one.
+    """The lists with several components: `rows` of these with `is_hub`, the classes outside a list's largest component,
+    and `is_long`.
 
-    Unless it is the last turn, long lists let only one class of each of `HUBS` parts search.
+    Unless it is the last turn, long lists have only one hub in each of `HUBS` parts, and so cost in proportion to their length.
     """
     cells = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("held"))
     largest = F.max_by("component", F.struct("held", "component"))
     per = cells.groupBy("gram").agg(largest.alias("main"), (F.sum("held") - F.max("held")).alias("outside"))
-    outside = rows.join(per.where(F.col("outside") > 0), "gram").where(F.col("component") != F.col("main"))
+    rows = rows.join(per.where(F.col("outside") > 0), "gram").withColumn("is_hub", F.col("component") != F.col("main"))
+    rows = rows.withColumn("is_long", F.col("outside") > SHORT_LIST).drop("main", "outside")
     if last:
-        return outside
-    part = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS))
-    chosen = outside.where(F.col("outside") > SHORT_LIST).groupBy("gram", part.alias("part")).agg(F.min("node").alias("node"))
-    return outside.where(F.col("outside") <= SHORT_LIST).select("node").union(chosen.select("node"))
+        return rows
+    rows = settle_as_table(rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS))), "open")
+    chosen = rows.where(F.col("is_long") & F.col("is_hub")).groupBy("gram", "part").agg(F.min("node").alias("first"))
+    rows = rows.join(chosen, ["gram", "part"], "left")
+    hub = F.col("is_hub") & (~F.col("is_long") | (F.col("node") == F.col("first")))
+    return rows.withColumn("is_hub", hub).drop("part", "first")
 
 
 def block_links(left: list[np.ndarray], right: list[np.ndarray], spec: Spec, same: bool) -> Iterator[tuple[int, np.ndarray]]:
