@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectorloom.llm import subwords
-from vectorloom.llm.text import chunks, lowered, span_hashes, text_of, word_bounds
+from vectorloom.llm.text import chunks, give_back, lowered, span_hashes, text_of, word_bounds
 from vectorloom.operators.sizing import settle_as_table
 
 SAMPLE_DOCS = 500  # documents on which the driver starts the weights
@@ -311,6 +311,7 @@ def count_ids(learned: DataFrame, size: int) -> np.ndarray:
             counts[END] += len(texts)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["id", "n"])
+        give_back()
 
     found = learned.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
@@ -331,6 +332,8 @@ def neighbour_points(learned: DataFrame, counts: np.ndarray) -> tuple[np.ndarray
             one, at = np.nonzero(table[k : k + 4096])
             arrays = [pa.array(one + k), pa.array(at.astype(np.int32)), pa.array(table[k : k + 4096][one, at].astype(np.int64))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "at", "n"])
+        del table, arrays
+        give_back()
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,6 +345,7 @@ def neighbour_points(learned: DataFrame, counts: np.ndarray) -> tuple[np.ndarray
                         row[cell["at"]] = cell["n"]
                 raw = [x.tobytes() for x in projected(table)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["id", "point"])
+        give_back()
 
     cells = learned.mapInArrow(count, "id long, at int, n long").groupBy("id", "at").agg(F.sum("n").alias("n"))
     rows = cells.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("cells"))
@@ -380,6 +384,8 @@ def corpus_steps(learned: DataFrame, model: Model) -> Model:
             at = np.flatnonzero(weight)
             arrays = [pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(value[at] * weight[at]), pa.array(weight[at])]
             yield pa.RecordBatch.from_arrays(arrays, ["name", "at", "value", "weight"])
+        del mine, taken, arrays
+        give_back()
 
     parts = learned.mapInArrow(run, "name int, at long, value double, weight double").groupBy("name", "at")
     found = parts.agg((F.sum("value") / F.sum("weight")).alias("value")).toPandas()
@@ -440,6 +446,7 @@ def count_words(rows: DataFrame, text: str) -> DataFrame:
             yield flush()
         if texts:
             yield pa.RecordBatch.from_arrays([pa.array([END_HASH], pa.int64()), pa.array([texts], pa.int64())], ["word", "n"])
+        give_back()
 
     counted = rows.select(text_of(text).alias("text")).mapInArrow(run, "word long, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -503,6 +510,7 @@ def first_pass(rows: DataFrame, id_column: str, words: np.ndarray, counts: np.nd
                 ]
                 row += count
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        give_back()
 
     counted = "n_tokens long, known long, logs double, rest array<long>, times array<long>"
     return rows.mapInArrow(run, f"row long, `{id_column}` {kind}, judged boolean, learned boolean, {counted}, ids binary")
@@ -519,6 +527,7 @@ def model_scores(passed: DataFrame, model: Model) -> DataFrame:
             scores = [shared.value.score(texts) / np.log(10) for texts in some_texts(iter([held]), kind)]
             column = pa.array(np.concatenate(scores) if scores else np.empty(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], column], [*kept, "score"])
+        give_back()
 
     fields = ", ".join(f"`{c}` {kind_of}" for c, kind_of in passed.select(*kept).dtypes)
     return passed.select("ids", *kept).mapInArrow(run, f"{fields}, score double")
