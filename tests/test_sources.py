@@ -126,6 +126,25 @@ def test_listing_by_name(spark, image_root):
     assert bytes(content.first().content) == b"no image"
 
 
+def test_folders_are_listed_not_single_files(spark, tmp_path):
+    """Many files make neither a listing job with a task a file nor a read task for every few of them."""
+    for k in range(600):
+        folder = tmp_path / ("a", "b")[k % 2]
+        folder.mkdir(exist_ok=True)
+        (folder / f"{k}.txt").write_bytes(b"x")
+    (tmp_path / "a" / "deep").mkdir()
+    (tmp_path / "a" / "deep" / "in.txt").write_bytes(b"x")
+    (tmp_path / "top.txt").write_bytes(b"x")
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    rows = list_files(spark, str(tmp_path))
+    assert not context.statusTracker().getJobIdsForGroup("listing")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert rows.rdd.getNumPartitions() <= 4 * context.defaultParallelism
+    assert rows.count() == 601 and rows.where("class_name = 'deep'").count() == 1
+    assert list_files(spark, str(tmp_path), "*/1*.txt").count() == 111
+
+
 def test_shuffle_keeps_the_rows(spark, image_root):
     plain = list_files(spark, image_root)
     mixed = list_files(spark, image_root, shuffle_seed=3)

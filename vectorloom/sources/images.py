@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from vectorloom.functions.scalars import parent_dir
@@ -16,6 +18,30 @@ from vectorloom.operators.permutation import shuffle
 from vectorloom.sources.files import open_folder, put, shared_uri
 
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+TASK_PARTS = 32  # so many of Spark's parts of small files are read by one task
+
+
+def read_below(reader: DataFrameReader, spark: SparkSession, root: str, pattern: str, path: str) -> DataFrame:
+    """What `reader` gives of the files that `pattern` matches below `root`, and of those in folders that it matches.
+
+    Folders are listed; a pattern that names the files would have Spark look each one up by a path of its own. A
+    part holds a few small files only, so tasks take several parts.
+    """
+    folders, _, name = pattern.rpartition("/")
+    if not folders or "{" in root + pattern:
+        return reader.load(f"{root}/{pattern}")
+    depth = re.sub(SCHEME, "", shared_uri(spark, root)).rstrip("/").count("/") + pattern.count("/") + 1
+    inner = F.regexp_replace(path, SCHEME, "")
+    below = F.size(F.split(inner, "/")) - 1 - depth
+    fits = lambda place: F.element_at(F.split(inner, "/"), place).rlike("^(?:" + fnmatch.translate(name).replace("\\Z", "$").replace("\\z", "$") + ")")
+    rows = reader.option("recursiveFileLookup", "true").load(f"{root}/{folders}")
+    rows = rows.where(((below == 0) & fits(-1)) | ((below == 1) & fits(-2)))
+    parts = rows.rdd.getNumPartitions()
+    few = max(4 * spark.sparkContext.defaultParallelism, parts // TASK_PARTS)
+    return rows.coalesce(few) if parts > few else rows
+
+
 def list_files(
     spark: SparkSession,
     root: str,
@@ -29,7 +55,7 @@ def list_files(
     File bytes are read only with `content=True`; otherwise the column is pruned and listing costs
     no reads. A shuffled order moves every row and is made only when a seed is given.
     """
-    files = spark.read.format("binaryFile").load(f"{root}/{pattern}")
+    files = read_below(spark.read.format("binaryFile"), spark, root, pattern, "path")
     name = F.element_at(F.split("path", "/"), -1)
     files = files.where(~name.isin(*exclude)) if exclude else files
     columns = ["path", "length", "modificationTime", parent_dir(F.col("path")).alias("class_name")]
@@ -49,11 +75,8 @@ def scan_images(
 
     A file that does not decode keeps its row, marked `valid = false`, unless `keep_invalid` is off.
     """
-    rows = (
-        spark.read.format("image")
-        .option("dropInvalid", str(not keep_invalid).lower())
-        .load(f"{root}/{pattern}")
-    )
+    reader = spark.read.format("image").option("dropInvalid", str(not keep_invalid).lower())
+    rows = read_below(reader, spark, root, pattern, "image.origin")
     path = F.col("image.origin")
     return rows.select(
         path.alias("path"),
