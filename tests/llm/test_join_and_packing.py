@@ -237,3 +237,38 @@ def test_hubs_of_short_lists_do_not_search_long_ones(spark, monkeypatch):
     assert first <= len(postings)
     assert second <= ngram_join.HUBS * len(postings)
     assert last == count * (count - 1) // 2  # nothing linked, so all of the long list is compared
+
+
+def test_long_lists_connect_over_bounded_turns(spark, monkeypatch):
+    """A group in which a class links with one in 32 is not compared pair by pair."""
+    count, asked = 1200, []
+    lists = spark.createDataFrame([(g, g, k) for g in (1, 2, 3) for k in range(count)], "gram long, at int, node long")
+    classes = spark.createDataFrame([(k, k, 500, 0, 0, 0, 0) for k in range(count)], "node long, id long, n long, b0 long, b1 long, b2 long, b3 long")
+
+    def search(pairs, sets, spec):
+        asked.append(pairs.count())
+        return pairs.where(F.pmod(F.xxhash64(F.least("hub", "node"), F.greatest("hub", "node")), F.lit(32)) == 0).select(F.col("hub").alias("left"), F.col("node").alias("right"))
+
+    monkeypatch.setattr(ngram_join, "search", search)
+    known, _ = ngram_join.link_lists(lists, classes, lambda ids: ids.select(F.col("id").alias("node"), F.lit(b"").alias("grams")), ngram_join.Spec())
+    assert known.select("component").distinct().count() == 1 and known.count() == count
+    assert sum(asked) <= (1 + ngram_join.MORE + 4) * ngram_join.HUBS * count  # of 719,400 pairs
+
+
+def test_pairs_of_many_lists_meet_once(spark):
+    rows = spark.createDataFrame([(g, g, k) for g in range(20) for k in range(3) if (g, k) != (0, 2)], "gram long, at int, node long")
+    early, once = ngram_join.with_early(rows)
+    hubs = early.select("gram", F.col("gram").alias("hub_gram"), F.col("early").alias("hub_early"), F.col("node").alias("hub"))
+    met = early.join(hubs, "gram").where((F.col("hub") < F.col("node")) & once).select("hub", "node", "gram").collect()
+    assert sorted(tuple(r) for r in met) == [(0, 1, 0), (0, 2, 1), (1, 2, 1)]
+
+
+def test_overlaps_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        query = np.unique(rng.integers(0, 200, 120).astype(np.uint64))
+        others = [np.unique(rng.integers(0, 200, rng.integers(1, 150)).astype(np.uint64)) for _ in range(rng.integers(1, 30))]
+        least = int(rng.integers(1, 60))
+        found = ngram_join.overlaps(query, np.concatenate(others), np.array([len(o) for o in others]), least)
+        shared = {k: len(np.intersect1d(query, o)) for k, o in enumerate(others)}
+        assert dict(zip(*(x.tolist() for x in found))) == {k: n for k, n in shared.items() if n >= least}

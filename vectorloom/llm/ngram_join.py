@@ -9,14 +9,16 @@ How all links are found without comparing all pairs:
   set keeps as many leading n-grams (`prefix`) that two sets which link must share one. These short inverted
   lists are built by a shuffle on the n-gram; lists of one class are dropped.
 * A list does not emit its pairs. Some classes of a list, its hubs, search the others of that list: blocks
-  of candidates get a local inverted index of the hub's n-grams, whose short lists are merged with a heap and
-  whose long lists are probed by binary search (`divide_skip`).
+  of candidates get a local inverted index of the hub's n-grams, whose short lists are merged and whose long
+  lists are probed by binary search (`divide_skip`).
 * Links make components, and within one no further comparison is needed. Near copies share many n-grams, so the
   first turn finds most components from one list in `FIRST` with one hub each. In the second turn every list has as hubs the
-  classes outside its largest component, which completes it; a long list has only a bounded number of them, and is completed
-  in the third turn, when most of its classes are in one component. Hubs search other components only. So no link between
-  components is missed, the first two turns cost in proportion to the lists, and a group of thousands of near copies
-  is not compared pair by pair.
+  classes outside its largest component, which completes it; a long list has only a bounded number of them. It stays for
+  further turns, each with `MORE` times as many hubs, and is completed when few enough of its classes are outside. Hubs search
+  other components only. So no link between components is missed, a turn costs in proportion to the lists, and a group of
+  thousands of near copies is not compared pair by pair.
+* From the third turn on, two classes that share several long lists meet in the first one only, as far as the first
+  `EARLY` long lists of both tell. In the first n-gram of all that two sets share, they always meet.
 * Pairs whose sizes, places of the n-gram or 256-bit parity maps already rule out the threshold are dropped within the join.
 
 * With the components known, all links are inside them. The classes of a component are dealt into blocks, every
@@ -34,12 +36,11 @@ other columns cannot clash. N-grams are compared by 64-bit hashes, sets by 64-bi
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,8 @@ BLOCK_GRAMS = 400_000  # n-grams of the candidates that one search block holds,
 FIRST = 8  # the first turn takes one list of so many, a power of two; the later ones take all
 SHORT_LIST = 64  # so many classes outside its largest component search a list in the second turn
 HUBS = 16  # of more than that, so many
+MORE = 8  # both limits grow by this factor with every further turn
+EARLY = 8  # long lists of a class that tell where a pair meets first
 LINK_BLOCK = 512  # classes of a component in one block, about
 SALTS = 64
 MAP_BITS = 1 << 26  # 8 MB
@@ -251,53 +254,64 @@ def may_link(spec: Spec) -> Column:
 
 
 def divide_skip(lists: list[np.ndarray], least: int, spread: float = SPREAD) -> dict[int, int]:
-    """Ids that occur in at least `least` of the sorted id `lists`, with the number of lists.
+    """Ids that occur in at least `least` of the sorted id `lists`, with the number of lists."""
+    lengths = np.array([len(x) for x in lists], np.int64)
+    if not lengths.sum():
+        return {}
+    ids, counts = in_many(np.concatenate(lists).astype(np.int64), lengths, least, spread)
+    return dict(zip(ids.tolist(), counts.tolist()))
+
 
-    The longest lists, fewer than `least` of them, are set aside; the short ones are merged with a heap, and
-    an id that occurs there often enough is looked up in the long ones by binary search.
+def in_many(flat: np.ndarray, lengths: np.ndarray, least: int, spread: float = SPREAD) -> tuple[np.ndarray, np.ndarray]:
+    """`divide_skip` on lists laid end to end in `flat`: ids, ascending, and the number of lists.
+
+    The longest lists, fewer than `least` of them, are set aside; the short ones are merged, and an id that
+    occurs there often enough is looked up in the long ones by binary search.
     """
-    lists = sorted((x for x in lists if len(x)), key=len)
-    if least <= 0 or len(lists) < least:
-        return {}
-    longest = len(lists[-1])
+    if least <= 0 or np.count_nonzero(lengths) < least:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    longest = int(lengths.max())
     aside = min(least - 1, int(least / (spread * np.log2(longest + 1) / 16 + 1)) if longest > 1 else 0)
-    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    heads = [(int(x[0]), k, 0) for k, x in enumerate(short)]
-    heapq.heapify(heads)
-    found: dict[int, int] = {}
-    need = least - aside
-    while heads:
-        current, count = heads[0][0], 0
-        while heads and heads[0][0] == current:
-            _, k, at = heads[0]
-            count += 1
-            if at + 1 < len(short[k]):
-                heapq.heapreplace(heads, (int(short[k][at + 1]), k, at + 1))
-            else:
-                heapq.heappop(heads)
-        if count >= need:
-            found[current] = count
-    if found and long:
-        ids = np.fromiter(found, np.int64, len(found))
-        counts = np.fromiter(found.values(), np.int64, len(found))
-        for x in long:
-            place = np.minimum(np.searchsorted(x, ids), len(x) - 1)
-            counts += x[place] == ids
-        found = dict(zip(ids.tolist(), counts.tolist()))
-    return {i: c for i, c in found.items() if c >= least}
-
-
-def overlaps(query: np.ndarray, others: list[np.ndarray], least: int) -> dict[int, int]:
-    """Which of `others` share at least `least` n-grams with `query`, and how many."""
-    sizes = np.array([len(o) for o in others])
-    grams = np.concatenate(others)
-    owner = np.repeat(np.arange(len(others)), sizes)
+    long = np.zeros(len(lengths), bool)
+    if aside:
+        long[np.argsort(lengths, kind="stable")[len(lengths) - aside :]] = True
+    in_long = np.repeat(long, lengths)
+    merged = np.sort(flat[~in_long], kind="stable")
+    begins = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
+    counts = np.diff(np.append(begins, len(merged)))
+    ids, counts = merged[begins][counts >= least - aside].astype(np.int64), counts[counts >= least - aside]
+    if aside and len(ids):
+        # The long lists keep apart in one sorted array: list number first, then id.
+        width = max(int(flat.max()), int(ids[-1])) + 1
+        keys = np.repeat(np.arange(aside), lengths[long]) * width + flat[in_long]
+        wanted = (np.arange(aside) * width)[:, None] + ids
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        counts = counts + (keys[place] == wanted).sum(axis=0)
+    enough = counts >= least
+    return ids[enough], counts[enough]
+
+
+def overlaps(query: np.ndarray, grams: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the sets laid end to end in `grams` share at least `least` n-grams with `query`, and how many."""
+    small = np.uint16 if max(len(query), len(sizes)) < 1 << 16 else np.int64  # short numbers are sorted by digits
     place = np.minimum(np.searchsorted(query, grams), len(query) - 1)
     hit = query[place] == grams
-    place, owner = place[hit], owner[hit]
-    order = np.lexsort((owner, place))
-    bounds = np.searchsorted(place[order], np.arange(len(query) + 1))
-    return divide_skip([owner[order[a:b]] for a, b in zip(bounds[:-1], bounds[1:])], least)
+    place, owner = place[hit], np.repeat(np.arange(len(sizes), dtype=small), sizes)[hit]
+    order = np.argsort(place.astype(small), kind="stable")
+    return in_many(owner[order], np.bincount(place, minlength=len(query)), least)
+
+
+def laid_out(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a binary column end to end, and the size of each."""
+    parts, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for raw in column.chunks:
+        if not len(raw):
+            continue
+        offsets = np.frombuffer(raw.buffers()[1], np.int64 if pa.types.is_large_binary(raw.type) else np.int32)
+        offsets = offsets[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+        parts.append(np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64))
+        sizes.append(np.diff(offsets) // 8)
+    return np.concatenate(parts), np.concatenate(sizes)
 
 
 def search(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
@@ -314,23 +328,19 @@ def search(pairs: DataFrame, sets: DataFrame, spec: Spec) -> DataFrame:
     wanted = wanted.unionByName(blocks.select("hub", "block", F.col("hub").alias("node")))
     both = wanted.join(sets.dropDuplicates(["node"]), "node").select("hub", "block", "node", "grams")
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        hub = group["hub"].iloc[0]
-        mine = group["node"] == hub
-        query = np.frombuffer(group.loc[mine, "grams"].iloc[0], np.uint64)
-        others = group[~mine]
-        out = []
-        if len(others):
-            sets_of = [np.frombuffer(raw, np.uint64) for raw in others["grams"]]
-            least = -(-num * len(query) // den)
-            names = others["node"].to_numpy()
-            for k, shared in overlaps(query, sets_of, least).items():
-                union = len(query) + len(sets_of[k]) - shared
-                if den * shared >= num * union:
-                    out.append((hub, names[k]))
-        return pd.DataFrame(out, columns=["left", "right"]).astype("int64")
-
-    return both.groupBy("hub", "block").applyInPandas(one, "left long, right long")
+    def one(group: pa.Table) -> pa.Table:
+        hub, names = group.column("hub")[0].as_py(), group.column("node").to_numpy()
+        mine = names == hub
+        query = laid_out(group.filter(pa.array(mine)).column("grams"))[0]
+        grams, sizes = laid_out(group.filter(pa.array(~mine)).column("grams"))
+        names = names[~mine]
+        found = np.empty(0, np.int64)
+        if len(names):
+            found, shared = overlaps(query, grams, sizes, -(-num * len(query) // den))
+            found = found[den * shared >= num * (len(query) + sizes[found] - shared)]
+        return pa.table({"left": pa.array(np.full(len(found), hub, np.int64)), "right": pa.array(names[found].astype(np.int64))})
+
+    return both.groupBy("hub", "block").applyInArrow(one, "left long, right long")
 
 
 # ---- components ----------------------------------------------------------------------------------
@@ -381,8 +391,8 @@ def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> tup
     """
     lists = lists.join(classes.drop("id"), "node")
     known = sets = held = None
-    for turn in range(3):
-        rows = lists.withColumn("component", F.col("node"))
+    for turn in count():
+        rows, kept = lists.withColumn("component", F.col("node")), ["node", "n", "at", "component", *BITS]
         if known is not None:
             rows = lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         if turn == 0:
@@ -390,13 +400,16 @@ def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> tup
             first = rows.groupBy("gram").agg(F.min("node").alias("first"))
             rows = rows.join(first, "gram").withColumn("is_hub", F.col("node") == F.col("first")).drop("first")
         else:
-            rows = open_rows(rows, last=turn == 2)
+            rows = open_rows(rows, MORE ** (turn - 1))
+        met_first = F.lit(True)
+        if turn > 1:
+            rows, met_first = with_early(rows)
+            kept += ["gram", "early"]
         rows = settle_as_table(rows, "lists")
-        kept = ["node", "n", "at", "component", *BITS]
         hubs = rows.where("is_hub").select("gram", *[F.col(c).alias(f"hub_{c}".replace("hub_node", "hub")) for c in kept])
         other = (F.col("component") != F.col("hub_component")) & (~F.col("is_hub") | (F.col("hub") < F.col("node")))
         same = rows["gram"] == hubs["gram"]
-        pairs = rows.join(hubs, same & other & may_link(spec)).select("hub", "node", "n").distinct()
+        pairs = rows.join(hubs, same & other & may_link(spec) & met_first).select("hub", "node", "n").distinct()
         pairs = settle_as_table(pairs, "pairs")
         if not pairs.isEmpty():
             nodes = pairs.select("node").union(pairs.select("hub")).distinct()
@@ -408,25 +421,35 @@ def link_lists(lists: DataFrame, classes: DataFrame, sets_of, spec: Spec) -> tup
                 sets = more if sets is None else sets.unionByName(more)
                 held = nodes.select("node") if held is None else held.unionByName(nodes.select("node"))
             known = components(settle_as_table(search(pairs, sets, spec), "links"), known)
-        if turn == 1:
-            lists = rows.where("is_long").drop("is_hub", "is_long", "component")
-    return known, sets
+        if turn > 0:
+            lists = rows.where("is_long").drop("is_hub", "is_long", "component", "early")
+            if lists.isEmpty():
+                return known, sets
+
+
+def with_early(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """`rows` with `early`, the first n-grams of each class in these lists, and whether a pair has not met in an earlier list.
+
+    Two sets have the n-grams that they share in one order. So where the first that both name is another one, it is earlier.
+    """
+    held = F.array_sort(F.collect_list(F.struct("at", "gram")))
+    early = rows.groupBy("node").agg(F.slice(held, 1, EARLY)["gram"].alias("early"))
+    both = F.array_intersect("early", "hub_early")
+    return rows.join(early, "node"), (F.size(both) == 0) | (F.get(both, F.lit(0)) == F.col("hub_gram"))
 
 
-def open_rows(rows: DataFrame, last: bool) -> DataFrame:
+def open_rows(rows: DataFrame, more: int = 1) -> DataFrame:
     """The lists with several components: `rows` of these with `is_hub`, the classes outside a list's largest component,
     and `is_long`.
 
-    Unless it is the last turn, long lists have only one hub in each of `HUBS` parts, and so cost in proportion to their length.
+    Long lists, with over `more` x `SHORT_LIST` such classes, have only one hub in each of `more` x `HUBS` parts.
     """
     cells = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("held"))
     largest = F.max_by("component", F.struct("held", "component"))
     per = cells.groupBy("gram").agg(largest.alias("main"), (F.sum("held") - F.max("held")).alias("outside"))
     rows = rows.join(per.where(F.col("outside") > 0), "gram").withColumn("is_hub", F.col("component") != F.col("main"))
-    rows = rows.withColumn("is_long", F.col("outside") > SHORT_LIST).drop("main", "outside")
-    if last:
-        return rows
-    rows = settle_as_table(rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(HUBS))), "open")
+    rows = rows.withColumn("is_long", F.col("outside") > more * SHORT_LIST).drop("main", "outside")
+    rows = settle_as_table(rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(more * HUBS))), "open")
     chosen = rows.where(F.col("is_long") & F.col("is_hub")).groupBy("gram", "part").agg(F.min("node").alias("first"))
     rows = rows.join(chosen, ["gram", "part"], "left")
     hub = F.col("is_hub") & (~F.col("is_long") | (F.col("node") == F.col("first")))
@@ -465,26 +488,28 @@ def in_blocks(members: DataFrame, sets: DataFrame, spec: Spec, counts: bool) ->
     dealt = dealt.join(sets, "node").select("component", low, high, "block", "node", "grams")
     names = ["node", "n_links"] if counts else ["left", "right"]
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        low, high = group["low"].iloc[0], group["high"].iloc[0]
-        group = group.sort_values("node")
-        sides = [group[group["block"] == b] for b in (low, high)]
-        nodes = [side["node"].to_numpy(np.int64) for side in sides]
-        sets = [[np.frombuffer(raw, np.uint64) for raw in side["grams"]] for side in sides]
-        if not len(nodes[0]) or not len(nodes[1]):
-            return pd.DataFrame([], columns=names).astype("int64")
-        found = block_links(*sets, spec, low == high)
-        if not counts:
-            out = [(nodes[0][k], node) for k, at in found for node in nodes[1][at]]
-            return pd.DataFrame(out, columns=names).astype("int64")
-        n = [np.zeros(len(side), np.int64) for side in nodes]
-        for k, at in found:
-            n[0][k] += len(at)
-            n[1][at] += 1
-        per = pd.DataFrame({"node": np.concatenate(nodes), "n_links": np.concatenate(n)})
-        return per[per["n_links"] > 0]
-
-    out = dealt.groupBy("component", "low", "high").applyInPandas(one, ", ".join(f"{c} long" for c in names))
+    def one(group: pa.Table) -> pa.Table:
+        group = group.sort_by("node")
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        sides = [group.filter(pa.array(group.column("block").to_numpy() == b)) for b in (low, high)]
+        nodes = [side.column("node").to_numpy().astype(np.int64) for side in sides]
+        first, second = np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(nodes[0]) and len(nodes[1]):
+            laid = [laid_out(side.column("grams")) for side in sides]
+            found = block_links(*[np.split(grams, np.cumsum(sizes)[:-1]) for grams, sizes in laid], spec, low == high)
+            if not counts:
+                pairs = [(np.full(len(at), nodes[0][k]), nodes[1][at]) for k, at in found]
+                first, second = (np.concatenate(x) for x in zip(*pairs))
+            else:
+                n = [np.zeros(len(side), np.int64) for side in nodes]
+                for k, at in found:
+                    n[0][k] += len(at)
+                    n[1][at] += 1
+                first, second = np.concatenate(nodes), np.concatenate(n)
+                first, second = first[second > 0], second[second > 0]
+        return pa.table({names[0]: pa.array(first, pa.int64()), names[1]: pa.array(second, pa.int64())})
+
+    out = dealt.groupBy("component", "low", "high").applyInArrow(one, ", ".join(f"{c} long" for c in names))
     return out.groupBy("node").agg(F.sum("n_links").alias("n_links")) if counts else out
 
 
