@@ -10,8 +10,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vectorloom.llm import langid, lm_score, quality, subwords, toxicity
+from vectorloom.llm import langid, lm_score, quality, subwords, toxicity, window_graph
 from vectorloom.llm.queries import QUERIES
+from vectorloom.llm.text import lowered, span_hashes, text_buffers, word_bounds
 
 
 def brute_stats(text):
@@ -261,3 +262,54 @@ def test_lm_log_sums_beyond_the_bound():
     np.testing.assert_allclose(lm_score.log_sums(far, logits), np.logaddexp(*logits.T.astype(float)), rtol=1e-6)
     near = {"out": np.full((2, 2), 2, np.float32), "out_add": np.zeros(2, np.float32)}
     np.testing.assert_allclose(lm_score.log_sums(near, logits / 100), np.logaddexp(*(logits / 100).T.astype(float)), rtol=1e-5)
+
+
+def lm_case(texts=9):
+    rng = np.random.default_rng(2)
+    model = lm_score.untrained(np.arange(49408) % 7, np.arange(200), rng.normal(size=(200, lm_score.PROJECTED)))
+    inputs, targets, _ = model.windows([rng.integers(0, 200, n) for n in rng.integers(0, 150, texts)])
+    return model, inputs, targets, np.where(targets >= 0, model.class_of[np.maximum(targets, 0)], -1)
+
+
+def test_lm_graph_equals_the_plain_form(monkeypatch):
+    model, inputs, targets, classes = lm_case()
+    assert window_graph.runtime() and {0, 8} == {first for first, chosen in lm_score.scored_from(targets) if len(chosen)}
+    texts = [np.arange(n) % 90 for n in (0, 1, 31, 32, 33, 100)]
+    fast, scores = lm_score.gradient(model.weights, inputs, classes), model.score(texts)
+    monkeypatch.setattr(window_graph, "runtime", lambda: None)
+    plain = lm_score.gradient(model.weights, inputs, classes)
+    assert set(fast) == set(plain) == set(model.weights)
+    for name, value in plain.items():
+        assert np.abs(fast[name] - value).max() < 1e-5 * np.abs(value).max(), name
+    assert scores == pytest.approx(model.score(texts), rel=1e-6)
+
+
+def test_lm_steps_cost_the_vectors_seen_only():
+    model, inputs, targets, _ = lm_case()
+    begun = {k: v.copy() for k, v in model.weights.items()}
+    taken = lm_score.Steps(model)
+    for part in (slice(0, 5), slice(5, None)):  # more vectors are seen by the second step
+        taken.take(inputs[part], targets[part], 0.01)
+        assert len(taken.weights["input"]) == len(taken.first["input"]) == len(np.unique(inputs[: part.stop]))
+    taken.end()
+    seen = np.unique(inputs)
+    assert (model.weights["input"][seen] != begun["input"][seen]).any(axis=1).all()
+    unseen = np.setdiff1d(np.arange(49408), seen)
+    assert (model.weights["input"][unseen] == begun["input"][unseen]).all()
+
+
+def test_numbered_words_equal_the_tokenizer():
+    texts = [t or "" for _, t in odd.TEXTS] + ["don't they'll 12.5% J̌ ǰ H̱ İ Für für x\u0085y a b", "ΣΑΣ İ ﬁ É́"]
+    encoder = subwords.Encoder(subwords.default_path(), limit=20)
+    for more in ([], ["<|endoftext|> a\x1cb c", "Two words"]):
+        raw, offsets = text_buffers(pa.array(texts + more))
+        small = lowered(raw)
+        starts, ends, bounds = word_bounds(small, offsets)
+        hashes = span_hashes(small, starts, ends).view(np.int64)
+        table = lm_score.SortedWords(np.unique(hashes)[::2])
+        place = table.find(hashes)
+        assert [table.words[k] if k >= 0 else None for k in place] == [h if h in table.words else None for h in hashes]
+        ids, cuts = subwords.NumberedWords(encoder, len(table.words) + 1).encode(raw, offsets, starts, ends, bounds, place)
+        for text, a, b in zip(texts + more, cuts[:-1], cuts[1:]):
+            assert ids[a:b].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert (lm_score.SortedWords(np.empty(0, np.int64)).find(np.arange(3)) == -1).all()

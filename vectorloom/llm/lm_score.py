@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectorloom.llm import subwords
+from vectorloom.llm import subwords, window_graph
 from vectorloom.llm.text import chunks, give_back, lowered, span_hashes, text_of, word_bounds
 from vectorloom.operators.sizing import settle_as_table
 
@@ -65,32 +65,43 @@ class Model:
     def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs and targets of all windows (target -1: not scored here), and the text of each."""
         lengths = np.array([len(ids) + 1 for ids in texts], np.int64)
-        stream = np.concatenate([part for ids in texts for part in ((START,), ids, (END,))]).astype(np.int64)
+        edge, over = np.array([END, START], np.int32), np.full(WINDOW, START, np.int32)
+        stream = np.concatenate([edge[1:], *(part for ids in texts for part in (ids, edge)), over], dtype=np.int32, casting="unsafe")
         begins = np.cumsum(lengths + 1) - (lengths + 1)
         counts = 1 + np.maximum(0, -(-(lengths - WINDOW) // STRIDE))
         owner = np.repeat(np.arange(len(texts)), counts)
         turn = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        place = (turn * STRIDE)[:, None] + np.arange(WINDOW)
-        valid = place < lengths[owner][:, None]
-        at = np.minimum(begins[owner][:, None] + place, len(stream) - 2)
-        fresh = valid & ((turn[:, None] == 0) | (np.arange(WINDOW) >= WINDOW - STRIDE))
-        return np.where(valid, stream[at], START), np.where(fresh, stream[at + 1], -1), owner
+        at = (begins[owner] + turn * STRIDE)[:, None] + np.arange(WINDOW)
+        inputs = stream.take(at)
+        targets = stream[1:].take(at)
+        ends = np.cumsum(counts) - 1  # only the last window of a text may reach beyond it
+        beyond = (turn[ends] * STRIDE)[:, None] + np.arange(WINDOW) >= lengths[:, None]
+        inputs[ends] = np.where(beyond, START, inputs[ends])
+        targets[ends] = np.where(beyond, -1, targets[ends])
+        targets[turn > 0, : WINDOW - STRIDE] = -1
+        return inputs, targets, owner
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of each text, its end included."""
         out = np.zeros(len(texts))
         inputs, targets, owner = self.windows(texts)
-        for k in range(0, len(owner), WINDOWS_AT_ONCE):
-            part = slice(k, k + WINDOWS_AT_ONCE)
-            target = np.maximum(targets[part], 0)
-            logits = forward(self.weights, self.row_of[inputs[part]])[0]
-            norm = log_sums(self.weights, logits)
-            chosen = np.take_along_axis(logits, self.class_of[target][:, :, None], axis=2)[:, :, 0]
-            value = np.where(targets[part] >= 0, chosen - norm + self.within[target], 0)
-            out += np.bincount(owner[part], value.sum(axis=1, dtype=np.float64), len(texts))
+        for first, chosen in scored_from(targets):
+            for k in range(0, len(chosen), WINDOWS_AT_ONCE):
+                part = chosen[k : k + WINDOWS_AT_ONCE]
+                wanted = targets[part, first:]
+                target = np.maximum(wanted, 0)
+                value = log_chances(self.weights, self.row_of.take(inputs[part]), self.class_of.take(target), first)
+                value = np.where(wanted >= 0, value + self.within.take(target), 0)
+                out += np.bincount(owner[part], value.sum(axis=1), len(texts))
         return out
 
 
+def scored_from(targets: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Windows by the place from which they are scored; those that begin a text are scored whole."""
+    later = targets[:, 0] < 0
+    return [(first, np.flatnonzero(part)) for first, part in ((0, ~later), (WINDOW - STRIDE, later))]
+
+
 MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
@@ -125,8 +136,34 @@ def log_sums(w: dict[str, np.ndarray], logits: np.ndarray) -> np.ndarray:
     return np.log(np.exp(logits - top[..., None]) @ ones) + top
 
 
-def gradient(w: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy of the classes (-1: not scored) and its gradient."""
+def log_chances(w: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray, first: int) -> np.ndarray:
+    """Log probability of the classes (windows x scored places), which begin at place `first`."""
+    if window_graph.runtime():
+        return window_graph.log_chances(w, rows, classes, first)
+    logits = forward(w, rows)[0][:, first:]
+    return np.take_along_axis(logits, classes[:, :, None], axis=2)[:, :, 0] - log_sums(w, logits)
+
+
+def gradient(w: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the mean cross-entropy of the classes (-1: not scored)."""
+    if not window_graph.runtime():
+        return plain_gradient(w, rows, classes)
+    total, size = np.count_nonzero(classes >= 0), w["input"].size
+    g = {name: np.zeros_like(value) for name, value in w.items() if name != "input"}
+    g["input"] = np.zeros(size)
+    for first, chosen in scored_from(classes):
+        if len(chosen):
+            found, d_x = window_graph.gradient(w, rows[chosen], classes[chosen, first:], first, total)
+            for name, value in found.items():
+                g[name] += value
+            g["place"] += d_x.sum(axis=0)
+            cells = (rows[chosen][:, :, None] * WIDTH + np.arange(WIDTH)).ravel()
+            g["input"] += np.bincount(cells, d_x.ravel(), size)
+    return g | {"input": g["input"].reshape(w["input"].shape).astype(np.float32)}
+
+
+def plain_gradient(w: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray]:
+    """The same in numpy, for where ONNX Runtime is missing."""
     logits, (rows, x, q, k, v, weight, both, hidden) = forward(w, rows)
     count, size = rows.shape
     flat = logits.reshape(-1, logits.shape[2])
@@ -134,7 +171,6 @@ def gradient(w: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray) ->
     label = classes.ravel()
     used = label >= 0
     here = np.arange(len(label)), np.maximum(label, 0)
-    loss = -np.log(np.maximum(p[here], 1e-30))[used].mean()
     p[here] -= 1
     d = p
     d *= (used / used.sum()).astype(p.dtype)[:, None]
@@ -157,7 +193,7 @@ def gradient(w: dict[str, np.ndarray], rows: np.ndarray, classes: np.ndarray) ->
     seen_rows, at = np.unique(rows.ravel(), return_inverse=True)
     for k, part in enumerate(d_x.reshape(-1, WIDTH).T):
         g["input"][seen_rows, k] = np.bincount(at.ravel(), part, len(seen_rows))
-    return float(loss), g
+    return g
 
 
 def start_weights(size: int, seed: int = 3) -> dict[str, np.ndarray]:
@@ -191,7 +227,7 @@ def add_neighbours(table: np.ndarray, texts: list[np.ndarray], feature: np.ndarr
     for shift, one, other in ((0, slice(None, -1), slice(1, None)), (half, slice(1, None), slice(None, -1))):
         cells = [ids[one] * table.shape[1] + feature[ids[other]] + shift for ids in texts]
         if cells:
-            np.add.at(flat, np.concatenate(cells), 1)
+            np.add.at(flat, np.concatenate(cells), table.dtype.type(1))
 
 
 def projected(rows: np.ndarray, seed: int = 3) -> np.ndarray:
@@ -234,15 +270,35 @@ def untrained(counts: np.ndarray, ids: np.ndarray, points: np.ndarray, seed: int
 
 
 class Steps:
-    """Adam steps on the weights of a model, which change in place."""
+    """Adam steps on the weights of a model, which change in place; its input vectors do at the `end`.
+
+    Only the input vectors seen so far are held: the others have no gradient yet and would not move.
+    """
 
     def __init__(self, model: Model):
         self.model, self.step = model, 0
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
+        self.rows = np.empty(0, np.int64)
+        self.slot = np.full(len(model.weights["input"]), -1, np.int64)
+        self.weights = model.weights | {"input": np.empty((0, WIDTH), np.float32)}
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
+
+    def hold(self, rows: np.ndarray) -> np.ndarray:
+        """The places at which the input vectors of `rows` are held from now on."""
+        slots = self.slot.take(rows)
+        new = np.unique(rows[slots < 0])
+        if len(new):
+            self.slot[new] = len(self.rows) + np.arange(len(new))
+            self.rows = np.concatenate([self.rows, new])
+            self.weights["input"] = np.concatenate([self.weights["input"], self.model.weights["input"][new]])
+            for moment in (self.first, self.second):
+                moment["input"] = np.concatenate([moment["input"], np.zeros((len(new), WIDTH), np.float32)])
+            slots = self.slot.take(rows)
+        return slots
 
     def take(self, inputs: np.ndarray, target: np.ndarray, rate: float) -> None:
-        w, classes = self.model.weights, self.model.class_of
-        _, g = gradient(w, self.model.row_of[inputs], np.where(target >= 0, classes[np.maximum(target, 0)], -1))
+        w, classes = self.weights, self.model.class_of
+        held = self.hold(self.model.row_of.take(inputs))
+        g = gradient(w, held, np.where(target >= 0, classes.take(np.maximum(target, 0)), -1))
         self.step += 1
         rate *= np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
         for name, value in g.items():
@@ -250,6 +306,9 @@ class Steps:
             self.second[name] += 0.001 * (value * value - self.second[name])
             w[name] -= (rate * self.first[name] / (np.sqrt(self.second[name]) + 1e-8)).astype(np.float32)
 
+    def end(self) -> None:
+        self.model.weights["input"][self.rows] = self.weights["input"]
+
 
 def start(model: Model, texts: list[np.ndarray], epochs: int = EPOCHS, seed: int = 3) -> Model:
     """Epochs over the ids of a few texts with a falling rate."""
@@ -263,6 +322,7 @@ def start(model: Model, texts: list[np.ndarray], epochs: int = EPOCHS, seed: int
         for k in range(0, len(shuffled), BATCH):
             part = shuffled[k : k + BATCH]
             taken.take(inputs[part], targets[part], RATE * (1 - 0.9 * (taken.step + 1) / steps))
+    taken.end()
     return model
 
 
@@ -373,11 +433,12 @@ def corpus_steps(learned: DataFrame, model: Model) -> Model:
         for texts in some_texts(batches, kind):
             inputs, targets, _ = mine.windows(texts)
             windows += len(inputs)
-            seen += np.bincount(mine.row_of[inputs].ravel(), minlength=len(seen))
+            seen += np.bincount(mine.row_of.take(inputs.ravel()), minlength=len(seen))
             for part in np.array_split(rng.permutation(len(inputs)), -(-len(inputs) // BATCH)):
                 taken.take(inputs[part], targets[part], CORPUS_RATE)
         if not windows:
             return
+        taken.end()
         for k, name in enumerate(names):
             value = mine.weights[name].reshape(-1).astype(np.float64)
             weight = np.repeat(seen, WIDTH) if name == "input" else np.full(len(value), float(windows))
@@ -466,6 +527,39 @@ def common_words(counts: DataFrame, most: int = COMMON_WORDS) -> tuple[np.ndarra
     return found["word"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
+class SortedWords:
+    """Places of word hashes in a sorted table, by the leading bits and a short search."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        self.shift = np.int64(64 - max(1, len(words).bit_length() + 1))
+        half = 1 << (63 - int(self.shift))
+        self.begins = np.searchsorted(words >> self.shift, np.arange(-half, half + 1)).astype(np.int32)
+        self.most, self.half = int(np.diff(self.begins).max()), half
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        place = np.full(len(hashes), -1, np.int64)
+        if len(self.words):
+            at = self.begins.take((hashes >> self.shift) + self.half)
+            for _ in range(self.most):
+                np.minimum(at, len(self.words) - 1, out=at)
+                np.copyto(place, at, where=self.words.take(at) == hashes)
+                at += 1
+        return place
+
+
+def rest_words(hashes: np.ndarray, rows: np.ndarray, count: int) -> tuple[pa.Array, pa.Array]:
+    """Per row its distinct words and how often each occurs, as lists; `rows` ascends."""
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    at = np.flatnonzero(new)
+    offsets = pa.array(np.searchsorted(rows[at], np.arange(count + 1)).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (hashes[at], np.diff(np.append(at, len(rows)))))
+
+
 def first_pass(rows: DataFrame, id_column: str, words: np.ndarray, counts: np.ndarray, path: str, coding: str) -> DataFrame:
     """Per row (id, text, judged, learned): key, id, tokens, known ones and their log sum among the common words, the rest, subword ids."""
     kind = rows.schema[id_column].dataType.simpleString()
@@ -474,31 +568,24 @@ def first_pass(rows: DataFrame, id_column: str, words: np.ndarray, counts: np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, logs = shared.value
-        end = np.searchsorted(words, END_HASH)
-        has_end = end < len(words) and words[end] == END_HASH
-        encode = subwords.encoder(path).encode
+        table, encode = SortedWords(words), subwords.NumberedWords(subwords.encoder(path), len(words) + 1).encode
+        end = table.find(np.array([END_HASH]))[0]
+        has_end, logs = end >= 0, np.append(logs, 0.0)  # the last is that of a word not found
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, last, raw, offsets in chunks(batch.column(1), 1 << 20):
                 small = lowered(raw)
                 starts, ends, bounds = word_bounds(small, offsets)
                 hashes = span_hashes(small, starts, ends).view(np.int64)
-                place = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-                hit = words[place] == hashes if len(words) else np.zeros(len(hashes), bool)
-                sums = np.zeros(len(hashes) + 1)
-                np.cumsum(np.where(hit, logs[place], 0.0) if len(words) else np.zeros(len(hashes)), out=sums[1:])
-                known = np.zeros(len(hashes) + 1, np.int64)
+                place, count = table.find(hashes), last - first
+                hit = place >= 0
+                sums, known = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1, np.int64)
+                np.cumsum(logs[place], out=sums[1:])
                 np.cumsum(hit, out=known[1:])
-                rest, times = [], []
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    one, n = np.unique(hashes[a:b][~hit[a:b]], return_counts=True)
-                    rest.append(one)
-                    times.append(n)
-                count = last - first
-                content = batch.column(1).slice(first, count).to_pylist()
-                ids = [np.frombuffer(x, "<u4").astype(coding).tobytes() for x in encode(content)]
-                lengths = np.concatenate([[0], np.cumsum([len(r) for r in rest])]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(x).astype(np.int64))) for x in (rest, times)]
+                others = np.flatnonzero(~hit)
+                lists = rest_words(hashes[others], np.searchsorted(bounds, others, side="right") - 1, count)
+                ids, ends_at = encode(raw, offsets, starts, ends, bounds, place)
+                ids, ends_at = ids.astype(coding), (ends_at * np.dtype(coding).itemsize).astype(np.int32)
                 arrays = [
                     pa.array(row + np.arange(count)),
                     *[batch.column(k).slice(first, count) for k in (0, 2, 3)],
@@ -506,7 +593,7 @@ def first_pass(rows: DataFrame, id_column: str, words: np.ndarray, counts: np.nd
                     pa.array(np.diff(known[bounds]) + int(has_end)),
                     pa.array(np.diff(sums[bounds]) + (logs[end] if has_end else np.log10(0.5))),
                     *lists,
-                    pa.array(ids, pa.binary()),
+                    pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(ends_at), pa.py_buffer(ids)]),
                 ]
                 row += count
                 yield pa.RecordBatch.from_arrays(arrays, names)

@@ -74,6 +74,17 @@ class Encoder:
         self.parts.update(islice(fresh.items(), room))
         return found
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Single words, in which nothing of `DIRECT` occurs."""
+        found = list(map(self.known.get, words))
+        late = [k for k, x in enumerate(found) if x is None]
+        if late:
+            learned = self.learn({words[k] for k in late})
+            self.known.update(islice(learned.items(), max(self.limit - len(self.known), 0)))
+            for k in late:
+                found[k] = learned[words[k]]
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Texts of known words take one pass; the new words of the others are learned together first."""
         find = self.known.__getitem__
@@ -100,6 +111,52 @@ class Encoder:
         return out
 
 
+class NumberedWords:
+    """Ids of texts whose words are cut already; words with a number are encoded once and then copied.
+
+    A number stands for one word in small letters. A text in which the tokenizer may cut elsewhere is encoded whole.
+    """
+
+    def __init__(self, encoder: Encoder, count: int):
+        self.encoder = encoder
+        self.begins, self.lengths = np.zeros(count, np.int64), np.full(count, -1, np.int64)
+        self.ids = np.empty(0, "<u4")
+
+    def learn(self, numbers: np.ndarray, words: list[str]) -> None:
+        found = self.encoder.encode_words(words)
+        lengths = np.array([len(x) // 4 for x in found], np.int64)
+        self.begins[numbers] = len(self.ids) + np.cumsum(lengths) - lengths
+        self.lengths[numbers] = lengths
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row and the offsets of the texts in them; a word without a number has -1."""
+        data = raw.tobytes()
+        if b"<|" in data or ((raw >= 0x1C) & (raw <= 0x1F)).any():
+            texts = [data[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
+            found = self.encoder.encode(texts)
+            return np.frombuffer(b"".join(found), "<u4"), np.cumsum([0, *(len(x) // 4 for x in found)])
+        if not data.isascii():
+            # Capitals become small after accents have joined their letters, so these words are taken as they stand.
+            odd, large = (np.cumsum(np.concatenate([[0], x]), dtype=np.int32) for x in (raw >= 128, (raw >= 65) & (raw <= 90)))
+            numbers = np.where((odd[ends] > odd[starts]) & (large[ends] > large[starts]), -1, numbers)
+        cut = lambda at: [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+        late = np.flatnonzero((numbers >= 0) & (self.lengths[numbers] < 0))
+        if len(late):
+            new, at = np.unique(numbers[late], return_index=True)
+            self.learn(new, cut(late[at]))
+        begins, lengths = self.begins[numbers], self.lengths[numbers]
+        rest = np.flatnonzero(numbers < 0)
+        found = self.encoder.encode_words(cut(rest))
+        lengths[rest] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins[rest] = len(self.ids) + np.cumsum(lengths[rest]) - lengths[rest]
+        source = np.concatenate([self.ids, np.frombuffer(b"".join(found), "<u4")])
+        offset = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(begins - offset[:-1], lengths)
+        at += np.arange(len(at))
+        return source.take(at), offset[bounds]
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per worker process."""
     kept = worker_cache()
